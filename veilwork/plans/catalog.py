@@ -1,0 +1,4 @@
+"""Queries over the test tables by name, and the SQL that each must equal."""
+
+QUERIES = {}
+ORACLES = {}
