@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_native
+from . import q_native, q_text
 
-QUERIES = {**q_native.QUERIES}
-ORACLES = {**q_native.ORACLES}
+MODULES = (q_native, q_text)
+
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
