@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_native, q_text
+from . import q_native, q_search, q_text
 
-MODULES = (q_native, q_text)
+MODULES = (q_native, q_text, q_search)
 
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
