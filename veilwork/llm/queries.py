@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
 from . import q_native, q_search, q_text
 
 MODULES = (q_native, q_text, q_search)
 
-QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()} | {"pipeline": pipeline}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
