@@ -13,7 +13,6 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ _OTHER = re.compile("[^\\t\\n\\x0b\\x0c\\r -~¡-įı-ňŊ-žƀ-ǃǍ-ǰ‐-‧‰
 _SPECIAL = "<|"
 #: Words a worker's cache holds before it starts anew.
 CACHE = 600_000
-#: Longer words are encoded each time.
+#: Longer words are not nominated.
 LONG_WORD = 200
 #: Words that a task nominates for the table of frequent words, and those that the table holds.
 NOMINEES, FREQUENT = 2048, 32_768
@@ -67,12 +66,55 @@ def plain(text: str) -> bool:
     return not _OTHER.search(text) and _SPECIAL not in text
 
 
+#: Signs that end words so often that word and signs are encoded apart.
+_TAIL = ".,;:!?"
+
+
 class Words:
-    """A worker's cache from words to values; the frozen part outlives every reset."""
+    """A worker's cache from words to values that add up over pre-tokens; the frozen part outlives every reset.
+
+    ``lead`` is what precedes a word where it is encoded. Words of letters are one pre-token each, so many go through the
+    library as one text; closing signs after a letter or digit are a pre-token of their own.
+    """
 
-    def __init__(self, encode, frozen: dict | None = None):
-        self.encode, self.frozen = encode, frozen or {}
-        self.known = dict(self.frozen)
+    def __init__(self, tok, value, lead: str, frozen: dict | None = None):
+        self.tok, self.value, self.lead, self.frozen = tok, value, lead, frozen or {}
+        self.known, self.tails = dict(self.frozen), {}
+
+    def _encode(self, texts: list[str]) -> list:
+        return [self.value(e.ids) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> list:
+        e = self.tok.encode(" " + " ".join(words), add_special_tokens=False)
+        of = np.array(e.word_ids)
+        starts = np.flatnonzero(np.diff(of, prepend=-1))
+        if len(starts) != len(words):
+            return self._encode([self.lead + w for w in words])
+        ids, ends = e.ids, [*starts[1:].tolist(), len(of)]
+        return [self.value(ids[a:b]) for a, b in zip(starts.tolist(), ends, strict=True)]
+
+    def _learn(self, missing: set[str]) -> None:
+        ended, need = [], set()
+        for w in missing:
+            stem = w.rstrip(_TAIL)
+            if stem is not w and stem[-1:].isalnum():
+                ended.append((w, stem, w[len(stem) :]))
+                need.add(stem)
+            else:
+                need.add(w)
+        need.difference_update(self.known)
+        letters = [w for w in need if w.isalpha()]
+        others = [w for w in need if not w.isalpha()]
+        for i in range(0, len(letters), 20_000):
+            self.known.update(zip(letters[i : i + 20_000], self._letters(letters[i : i + 20_000]), strict=True))
+        for i in range(0, len(others), 20_000):
+            self.known.update(zip(others[i : i + 20_000], self._encode([self.lead + w for w in others[i : i + 20_000]]), strict=True))
+        new = list({t for _, _, t in ended}.difference(self.tails))
+        if len(self.tails) > 10_000:
+            self.tails, new = {}, list({t for _, _, t in ended})
+        self.tails.update(zip(new, self._encode(new), strict=True))
+        for w, stem, tail in ended:
+            self.known[w] = self.known[stem] + self.tails[tail]
 
     def fill(self, lists: list[list[str]]) -> None:
         missing = set().union(*lists).difference(self.known)
@@ -80,9 +122,25 @@ class Words:
             self.known = dict(self.frozen)
             missing = set().union(*lists).difference(self.known)
         if missing:
-            words = list(missing)
-            for i in range(0, len(words), 20_000):
-                self.known.update(zip(words[i : i + 20_000], self.encode(words[i : i + 20_000]), strict=True))
+            self._learn(missing)
+
+    def combine(self, lists: list[list[str] | None], join) -> list:
+        """``join`` of the values of each list; None stays."""
+        out: list = [None] * len(lists)
+        late = []
+        get = self.known.__getitem__
+        for i, ws in enumerate(lists):
+            if ws is not None:
+                try:
+                    out[i] = join(map(get, ws))
+                except KeyError:
+                    late.append(i)
+        if late:
+            self.fill([lists[i] for i in late])
+            get = self.known.__getitem__
+            for i in late:
+                out[i] = join(map(get, lists[i]))
+        return out
 
 
 def groups(texts: list, size: int = 2_000_000) -> Iterator[list]:
@@ -103,19 +161,14 @@ class WordIds:
 
     def __init__(self, path: str):
         self.tok = load(path)
-        self.words = Words(lambda ws: [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(ws, add_special_tokens=False)])
+        self.words = Words(self.tok, lambda ids: np.array(ids, "<u4").tobytes(), "")
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         for run in groups(texts):
-            lists = [t.lower().split() if plain(t) else None for t in run]
-            self.words.fill([x for x in lists if x])
-            get = self.words.known.__getitem__
-            for t, ws in zip(run, lists, strict=True):
-                if ws is None:
-                    yield np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-                else:
-                    yield b"".join(map(get, ws))
+            found = self.words.combine([t.lower().split() if plain(t) else None for t in run], b"".join)
+            for t, ids in zip(run, found, strict=True):
+                yield np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if ids is None else ids
 
 
 #: A space that ends a word and starts the next: the only place where texts are cut for byte_bpe_50k.json.
@@ -133,7 +186,7 @@ class TokenCounts:
 
     def __init__(self, path: str, frequent: dict[str, int] | None = None):
         self.tok = load(path)
-        self.words = Words(lambda ws: self.count([" " + w for w in ws]), frequent)
+        self.words = Words(self.tok, len, " ", frequent)
 
     def count(self, texts: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
@@ -141,17 +194,10 @@ class TokenCounts:
     def __call__(self, texts: list[str]) -> Iterator[int]:
         for run in groups(texts):
             lists = [cut(t) if plain(t) else None for t in run]
-            first = [x[0] for x in lists if x]
-            heads = iter(self.count(first))
-            rest = [x[1:] for x in lists if x]
-            long = {w for w in chain.from_iterable(rest) if len(w) > LONG_WORD}
-            self.words.fill([[w for w in ws if w not in long] for ws in rest] if long else rest)
-            known = self.words.known
-            if long:
-                known = {**{w: n for w, n in zip(long, self.count([" " + w for w in long]), strict=True)}, **{w: known[w] for w in set().union(*rest) - long}}
-            get = known.__getitem__
-            for t, ws in zip(run, lists, strict=True):
-                yield self.count([t])[0] if ws is None else next(heads) + sum(map(get, ws[1:]))
+            heads = iter(self.count([x[0] for x in lists if x is not None]))
+            found = self.words.combine([x if x is None else x[1:] for x in lists], sum)
+            for t, n in zip(run, found, strict=True):
+                yield self.count([t])[0] if n is None else next(heads) + n
 
 
 def frequent_pieces(df: DataFrame, text: str, path: str) -> dict[str, int]:
