@@ -26,6 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ._util import durable
 
 HASH_BITS = 20
 STEMS = (4, 5, 6)
@@ -61,31 +64,19 @@ class Model(NamedTuple):
         return float(1 / (1 + np.exp(-min(35.0, max(-35.0, z)))))
 
 
-def fit(docs: list[set[int]], labels: list[int], weights: list[float], seed: int = 7) -> Model:
+def fit(chosen: list[int], docs: list[list[int]], labels: list[int], weights: list[float], seed: int = 7) -> Model:
+    """Weights of the ``chosen`` hash places from documents as lists of those that they hold."""
     y, cost = np.array(labels, float), np.array(weights, float)
     share = float((y * cost).sum() / cost.sum()) if len(y) else 0.0
     w0 = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
     if not len(y) or y.min() == y.max():
         return Model({}, w0, np.zeros(0), np.zeros((0, FACTORS)))
-    # Places by the z value of the difference between their class frequencies.
-    counts: dict[int, list[int]] = {}
-    for terms, label in zip(docs, labels, strict=True):
-        for t in terms:
-            counts.setdefault(t, [0, 0])[label] += 1
-    n1 = int(y.sum())
-    n0 = len(y) - n1
-    ids = np.array(list(counts), np.int64)
-    c = np.array(list(counts.values()), float)
-    p0, p1, p = c[:, 0] / n0, c[:, 1] / n1, c.sum(1) / len(y)
-    z = (p1 - p0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n0 + 1 / n1))
-    good = np.flatnonzero((np.abs(z) > 3.5) & (c.sum(1) >= 4))
-    chosen = sorted(ids[good[np.lexsort((ids[good], -np.abs(z[good])))[:MAX_TERMS]]].tolist())
     row = {t: i for i, t in enumerate(chosen)}
     x = np.zeros((len(docs), len(row)), np.float32)
     for i, terms in enumerate(docs):
-        x[i, [row[t] for t in terms if t in row]] = 1
-    # Adam over mini-batches.
+        x[i, [row[t] for t in terms]] = 1
     rng = np.random.default_rng(seed)
+    # Adam over mini-batches.
     w, v, b = np.zeros(len(row), np.float32), rng.normal(0, 0.01, (len(row), FACTORS)).astype(np.float32), np.array([w0], np.float32)
     y, cost = y.astype(np.float32), cost.astype(np.float32)
     params = [b, w, v]
@@ -123,18 +114,29 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
         picked = part if picked is None else picked.unionByName(part)
     if picked is None:
-        return fit([], [], [])
+        return fit([], [], [], [])
 
     def terms(batches):
         for b in batches:
-            sets = [sorted(set().union(*map(places, set((t or "").split())))) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int32()))], ["y", "terms"])
+            sets = [sorted(set().union(*map(places, set((t or "").split())))) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.list_(pa.int32()))], ["id", "y", "terms"])
 
     # 2 * max_rows ids at most: a bounded side.
     rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("t")).join(F.broadcast(picked), "_id").groupBy("_id", "y").agg(F.max("t").alias("t"))
-    got = rows.orderBy("_id").select("y", "t").mapInArrow(terms, "y int, terms array<int>").toPandas()
-    n = got["y"].value_counts().to_dict()
-    return fit([set(t) for t in got["terms"]], got["y"].tolist(), [totals[y] / n[y] for y in got["y"]])
+    kind = docs.schema[id].dataType.simpleString()
+    rows = durable(rows.select("_id", "y", "t").mapInArrow(terms, f"id {kind}, y int, terms array<int>"))
+    n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    if len(n) < 2:
+        return fit([], [], list(n), [1.0] * len(n))
+    # Places by the z value of the difference between their class frequencies.
+    seen = rows.select("y", F.explode("terms").alias("t")).groupBy("t").agg(F.sum("y").alias("c1"), F.count(F.lit(1)).alias("c"))
+    p1, p0, p = F.col("c1") / n[1], (F.col("c") - F.col("c1")) / n[0], F.col("c") / (n[0] + n[1])
+    z = F.abs(p1 - p0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * (1 / n[0] + 1 / n[1]))
+    best = seen.where("c >= 4").withColumn("z", z).where("z > 3.5").orderBy(F.desc("z"), "t").limit(MAX_TERMS)
+    chosen = sorted(r["t"] for r in best.collect())
+    held = F.array(*map(F.lit, chosen)).cast("array<int>")
+    got = rows.select("id", "y", F.array_intersect("terms", held).alias("terms")).orderBy("id").collect()  # of MAX_TERMS places each
+    return fit(chosen, [r["terms"] for r in got], [r["y"] for r in got], [totals[r["y"]] / n[r["y"]] for r in got])
 
 
 _scorers: dict[int, Scorer] = {}
@@ -159,9 +161,9 @@ class Scorer:
         return self.model.score(sorted(set().union(*map(self.known.__getitem__, tokens))))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """All rows and columns of ``docs`` with ``score`` and ``predicted``."""
-    columns = [c for c in docs.columns if c not in ("score", "predicted")]
+def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """All rows and columns of ``docs`` with the score and whether it reaches the threshold; columns of those names are replaced."""
+    columns = [c for c in docs.columns if c not in names]
     docs = docs.select(*columns)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at, token = columns.index(text), uuid.uuid4().int
@@ -173,7 +175,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
         scorer = _scorers[token]
         for b in batches:
             s = np.array([scorer(t) for t in b.column(at).to_pylist()], float)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*columns, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*columns, *names])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, score double, predicted int")
+    schema = T.StructType([*docs.schema, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
+    return docs.mapInArrow(run, schema)
