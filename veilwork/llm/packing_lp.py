@@ -17,6 +17,9 @@ import numpy as np
 
 STEP, EPSILON, ETA, ROUNDS = 0.3, 0.004, 1.0, 100
 
+#: Start of the dual prices: items over half or a third of the capacity, of which few share a bin, are worth more than their length.
+FIRST = 0.03
+
 Configuration = tuple[tuple[int, int], ...]  # (length, copies), longest first
 
 
@@ -66,15 +69,18 @@ def solve(histogram: dict[int, int], capacity: int) -> list[tuple[Configuration,
         used[((capacity, 1),)] += left.pop(capacity)
     total = dict(left)
     bias = dict.fromkeys(left, 0.0)
-    for turn in range(4 * ROUNDS):
+    rest: dict[int, int] = {}  # lengths with too few items for a configuration that repeats them
+    for turn in range(4 * ROUNDS + capacity):
         slack = EPSILON if turn < ROUNDS else 1.0  # every length moves in late rounds, so few items are left to best fit
         if sum(left.values()) < 64:
             break
         lengths = np.array(sorted(left), np.int64)
         weights = lengths / capacity * np.exp(np.array([bias[n] for n in lengths.tolist()]) * 0.02)
+        weights *= 1 + FIRST * ((2 * lengths > capacity) * 1.0 + (3 * lengths > capacity))
         best, taken = price(lengths, weights, capacity)
         value = weights + best[capacity - lengths]
-        quota = {n: -int(-c * STEP // 1) for n, c in left.items()}
+        step = STEP if turn < 2 * ROUNDS else 1.0
+        quota = {n: -int(-c * step // 1) for n, c in left.items()}
         before = dict(left)
         for i in np.argsort(-value, kind="stable"):
             if value[i] < (1 - slack) * value.max():
@@ -91,13 +97,18 @@ def solve(histogram: dict[int, int], capacity: int) -> list[tuple[Configuration,
                     quota[n] -= times * k
                     left[n] -= times * k
         if left == before:
-            break
+            few = {n: c for n, c in left.items() if -int(-c * step // 1) < capacity // n}
+            if not few:
+                break
+            rest |= few
+            left = {n: c for n, c in left.items() if n not in few}
+            continue
         covered = {n: (before[n] - left[n]) / total[n] for n in before}
         mean = sum(covered.values()) / len(covered)
         for n, share in covered.items():
             bias[n] += ETA * (mean - share)
         left = {n: c for n, c in left.items() if c > 0}
-    used.update(best_fit(left, capacity))
+    used.update(best_fit(rest | left, capacity))
     return sorted(used.items(), reverse=True)
 
 
