@@ -126,9 +126,10 @@ def mix(df: DataFrame, id: str = "doc_id", source: str = "source", text: str = "
     return one.select(F.col("x.items.id").alias(id), F.col("source").alias(source), *[F.col(f"x.items.{f}").alias(f) for f in fields if f != "id"], F.col("x.copies").alias("copies"))
 
 
-def mix_documents(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them."""
-    plan = mix(docs, **how).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies")
-    full = docs.withColumn("_own_size", word_count(F.col("text")))
-    on = full["doc_id"].eqNullSafe(plan["_id"]) & full["source"].eqNullSafe(plan["_source"]) & (full["_own_size"] == plan["_size"])
-    return full.join(plan, on).select(*[full[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+def mix_documents(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
+    """The rows of ``docs``, with all their columns, as often as the mix takes them."""
+    plan = mix(docs, id, source, text, **how).where("copies > 0")
+    plan = plan.select(F.col(id).alias("_id"), F.col(source).alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
+    full = docs.withColumn("_own_size", word_count(F.col(text)))
+    on = full[id].eqNullSafe(plan["_id"]) & full[source].eqNullSafe(plan["_source"]) & (full["_own_size"] == plan["_size"])
+    return full.join(plan, on).select(*[full[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
