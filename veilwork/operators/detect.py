@@ -17,7 +17,7 @@ SPANS = "array<struct<start:int,end:int,label:string,rule:int>>"
 
 def vendor_matches(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """Rows (*keep, secret, label), one a match. The bank is one expression, so a text is searched once."""
-    found = df.select(*keep, F.explode(F.regexp_extract_all(F.col(text), F.lit(K.VENDOR_ANY), F.lit(0))).alias("secret"))
+    found = df.where(X.may_hold_token(F.col(text))).select(*keep, F.explode(F.regexp_extract_all(F.col(text), F.lit(K.VENDOR_ANY), F.lit(0))).alias("secret"))
     return found.withColumn("label", X.vendor_label(F.col("secret")))
 
 
@@ -55,7 +55,7 @@ def pii_spans(text: Column) -> Column:
     value = lambda s: F.substr(text, s["start"] + 1, s["end"] - s["start"])
 
     def of(rule: int, label: str, pattern: str) -> Column:
-        spans = X.find_spans(text, pattern)
+        spans = X.gated(text, label, X.find_spans(text, pattern), "array<struct<start:int,end:int>>")
         if label == "URL":
             spans = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(X.trim_url(value(s)))).alias("end")))
         elif label == "IP_ADDRESS":

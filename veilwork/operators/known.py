@@ -6,6 +6,7 @@ The secrets go to every task as one Aho-Corasick automaton, so a document is rea
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,20 +16,23 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 
 MOST = 200_000
-_built: dict[int, object] = {}
+_built: dict[tuple, object] = {}
 
 
 def _rounds(secrets: DataFrame) -> Iterator[list[str]]:
     """Distinct secrets in rounds of at most MOST, longest first, then by text."""
     rows = secrets.select("secret").where("secret <> ''").distinct()
-    n = rows.count()
-    parts = max(1, -(-n // MOST))
+    order = lambda s: (-len(s), s)
+    first = [r[0] for r in rows.limit(MOST + 1).collect()]
+    if len(first) <= MOST:
+        yield sorted(first, key=order)
+        return
+    parts = -(-rows.count() // MOST) + 1
     for i in range(parts):
-        part = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("secret"), F.lit(parts)) == i)
-        yield sorted((r[0] for r in part.collect()), key=lambda s: (-len(s), s))
+        yield sorted((r[0] for r in rows.where(F.pmod(F.xxhash64("secret"), F.lit(parts)) == i).collect()), key=order)
 
 
-def _automaton(key: int, secrets: list[str]):
+def _automaton(key: tuple, secrets: list[str]):
     if key not in _built:
         import ahocorasick
 
@@ -61,7 +65,7 @@ def match_known(docs: DataFrame, secrets: DataFrame, id: str = "doc_id", text: s
     for turn, words in enumerate(_rounds(secrets)):
         shared = docs.sparkSession.sparkContext.broadcast(words)
 
-        def run(batches, shared=shared, key=(id_of(shared), turn)):
+        def run(batches, shared=shared, key=(uuid.uuid4().int, turn)):
             automaton = _automaton(key, shared.value)
             for b in batches:
                 at, found, hits = [], [], []
@@ -77,17 +81,11 @@ def match_known(docs: DataFrame, secrets: DataFrame, id: str = "doc_id", text: s
     return out.withColumnRenamed("id", id)
 
 
-def id_of(shared) -> int:
-    import uuid
-
-    return uuid.uuid4().int
-
-
 def alternation_hits(docs: DataFrame, secrets: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (id, secret, hits) as a literal matcher of all secrets at once finds them: leftmost, longest, none overlapping."""
     words = next(_rounds(secrets))
     shared = docs.sparkSession.sparkContext.broadcast(words)
-    key = (id_of(shared), 0)
+    key = (uuid.uuid4().int, 0)
     kind = docs.schema[id].dataType.simpleString()
 
     def run(batches):
@@ -131,7 +129,7 @@ def redact_known(docs: DataFrame, secrets: DataFrame, text: str = "text", json_l
         at, earlier = columns.index(text), docs.columns.index("redactions") if "redactions" in docs.columns else None
         fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
 
-        def run(batches, shared=shared, key=(id_of(shared), turn), columns=columns, at=at, earlier=earlier):
+        def run(batches, shared=shared, key=(uuid.uuid4().int, turn), columns=columns, at=at, earlier=earlier):
             automaton = _automaton(key, shared.value)
             for b in batches:
                 new, count = [], []

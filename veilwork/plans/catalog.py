@@ -216,7 +216,7 @@ def entropy_redact(spark, sf_dir):
 
 def _vendor_secrets(spark, sf_dir) -> DataFrame:
     found = detect.vendor_matches(planted(spark, sf_dir), "doc_id").where(X.good_secret(F.col("secret")))
-    return found.groupBy("secret").agg(F.min("label").alias("raw_label"))
+    return found.groupBy("secret").agg(F.min("label").alias("raw_label")).cache()  # a few columns of the matches, used several times
 
 
 def _findings(spark, sf_dir) -> DataFrame:
