@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_HERE = str(Path(__file__).resolve().parents[2])
+
+
+def findable(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it, whatever their working folder; --py-files does so on a cluster."""
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if _HERE not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([_HERE, *paths])
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    findable(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
