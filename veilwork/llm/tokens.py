@@ -24,7 +24,7 @@ _OTHER = re.compile("[^\\t\\n\\x0b\\x0c\\r -~¡-įı-ňŊ-žƀ-ǃǍ-ǰ‐-‧‰
 #: Special strings hold this in both vocabularies; such texts take the library's way.
 _SPECIAL = "<|"
 #: Words a worker's cache holds before it starts anew.
-CACHE = 600_000
+CACHE = 1_200_000
 #: Longer words are not nominated.
 LONG_WORD = 200
 #: Words that a task nominates for the table of frequent words, and those that the table holds.
