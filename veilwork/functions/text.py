@@ -70,10 +70,19 @@ def split_proof(text: Column) -> Column:
     return F.struct(
         parts[0].alias("kind"),
         F.when(F.size(parts) >= 3, F.array_join(F.slice(parts, F.lit(2), F.size(parts) - 2), " · ")).otherwise("—").alias("preview"),
-        F.element_at(parts, -1).alias("hash"),
+        F.when(F.size(parts) >= 2, F.element_at(parts, -1)).otherwise("").alias("hash"),
     )
 
 
+def short_path(path: Column, most: int = 48) -> Column:
+    """At most about ``most`` characters of a path: its first part and the end of its last, or the end of a bare name."""
+    head, tail = F.split_part(path, F.lit("/"), F.lit(1)), F.split_part(path, F.lit("/"), F.lit(-1))
+    room = F.greatest(F.lit(12), F.lit(most - 3) - F.length(head))
+    end = F.when(F.length(head) + F.length(tail) + 3 <= most, tail).otherwise(F.right(tail, room))
+    cut = F.when(F.contains(path, F.lit("/")), F.concat(head, F.lit("/…/"), end)).otherwise(F.concat(F.lit("…"), F.right(path, F.lit(max(8, most - 1)))))
+    return F.when(F.length(path) <= most, path).otherwise(cut)
+
+
 def occurrences(text: Column, part: Column) -> Column:
     """How often ``part`` occurs without overlap."""
     return F.when(part == "", 0).otherwise((F.length(text) - F.length(F.replace(text, part, F.lit("")))) / F.length(part)).cast("long")

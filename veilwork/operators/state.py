@@ -80,6 +80,14 @@ def restore_points(entries: DataFrame) -> DataFrame:
     return entries.groupBy("created").agg(F.sort_array(F.collect_set("tool")).alias("tools"), F.max("partial").alias("partial"))
 
 
-def age(created: Column, today: Column) -> Column:
-    days = F.datediff(today, created)
-    return F.when(days <= 0, "today").when(days == 1, "yesterday").otherwise(F.concat(days.cast("string"), F.lit("d ago")))
+def age(created: Column, now: Column) -> Column:
+    """In whole days of 24 hours."""
+    days = F.floor((F.unix_timestamp(now) - F.unix_timestamp(created)) / 86400)
+    return F.when(days == 0, "today").when(days == 1, "yesterday").otherwise(F.concat(days.cast("string"), F.lit("d ago")))
+
+
+def to_back_up(flagged: DataFrame, databases: DataFrame, files: DataFrame) -> DataFrame:
+    """Paths to save before a rewrite: flagged texts, databases (path, redactions) with hits, and their side files that exist."""
+    hit = databases.where("redactions > 0").select("path")
+    beside = hit.select(F.explode(F.array(F.concat("path", F.lit("-wal")), F.concat("path", F.lit("-shm")))).alias("path"))
+    return flagged.select("path").union(hit).union(beside.join(files.select("path"), "path", "left_semi")).distinct()

@@ -540,6 +540,30 @@ def discover_targets(spark, sf_dir):
     return registry.discover(rows).select("tool", "root", long(F.col("ordinal")).alias("ordinal"))
 
 
+@query(
+    "managed_associated",
+    f"WITH {_PATHS_SQL}, p AS (SELECT DISTINCT path FROM paths UNION SELECT '{_HOME}/.claude.json' UNION SELECT '{_HOME}/.aider.conf.yml') "
+    f"SELECT DISTINCT path FROM p LEFT JOIN {_TARGET_SQL} ON starts_with(path, root || '/') AND tool IN ('claude', 'codex') WHERE tool IS NOT NULL OR path = '{_HOME}/.claude.json'",
+)
+def managed_associated(spark, sf_dir):
+    extra = spark.createDataFrame([(f"{_HOME}/.claude.json",), (f"{_HOME}/.aider.conf.yml",)], "path string")
+    paths = _paths(spark, sf_dir).select("path").union(extra).distinct()
+    return registry.associated(paths, registry.only(_targets(spark), ["claude,codex"]).where("tool <> 'custom'"), _HOME)
+
+
+@query(
+    "path_shortened",
+    f"WITH {_PATHS_SQL}, p AS (SELECT doc_id, substr(path, 2) || repeat('x', CAST(doc_id % 60 AS INTEGER)) AS path, doc_id % 2 = 0 AS bare FROM paths), b AS (SELECT doc_id, CASE WHEN bare THEN replace(path, '/', '-') ELSE path END AS path FROM p) "
+    "SELECT doc_id, CASE WHEN length(path) <= 48 THEN path WHEN NOT contains(path, '/') THEN '…' || right(path, 47) ELSE split_part(path, '/', 1) || '/…/' || "
+    "CASE WHEN length(split_part(path, '/', 1)) + length(split_part(path, '/', -1)) + 3 <= 48 THEN split_part(path, '/', -1) "
+    "ELSE right(split_part(path, '/', -1), greatest(12, 45 - length(split_part(path, '/', 1)))) END END AS path FROM b",
+)
+def path_shortened(spark, sf_dir):
+    rows = _paths(spark, sf_dir).withColumn("path", F.concat(F.substr("path", F.lit(2)), F.repeat(F.lit("x"), (F.col("doc_id") % 60).cast("int"))))
+    rows = rows.withColumn("path", F.when(F.col("doc_id") % 2 == 0, F.replace("path", F.lit("/"), F.lit("-"))).otherwise(F.col("path")))
+    return rows.select("doc_id", X.short_path(F.col("path")).alias("path"))
+
+
 # State ---------------------------------------------------------------------------------------------------------------
 
 _FILES_SQL = """files AS (SELECT 'd/' || doc_id AS path, doc_id * 10 AS mtime_ns, length(text) AS size, sha256(text) AS digest FROM documents WHERE text IS NOT NULL),
@@ -626,6 +650,46 @@ def restore_snapshot(spark, sf_dir):
     return state.put_back(changed.select("doc_id", "text"), old.select("doc_id", "text"), "doc_id")
 
 
+@query("backup_age", "SELECT event_id, CASE d WHEN 0 THEN 'today' WHEN 1 THEN 'yesterday' ELSE d || 'd ago' END AS age FROM (SELECT event_id, CAST(floor((epoch(TIMESTAMP '2024-06-01 12:00:00') - floor(epoch(ts))) / 86400) AS BIGINT) AS d FROM events)")
+def backup_age(spark, sf_dir):
+    created = F.col("ts").cast("timestamp")
+    return table(spark, sf_dir, "events").select("event_id", state.age(created, F.lit("2024-06-01 12:00:00").cast("timestamp")).alias("age"))
+
+
+_DB_SQL = f"""{_FILES_SQL}, flagged AS (SELECT path FROM files WHERE size % 5 = 0), dbs AS (SELECT path || '.db' AS path, size % 3 AS redactions FROM files),
+present AS (SELECT path || '.db-wal' AS path FROM files WHERE size % 2 = 0 UNION ALL SELECT path || '.db-shm' FROM files WHERE size % 7 = 0)"""
+
+
+@query(
+    "backup_files",
+    f"WITH {_DB_SQL} SELECT path FROM flagged UNION SELECT path FROM dbs WHERE redactions > 0 UNION SELECT p.path FROM present p JOIN dbs d ON redactions > 0 AND p.path IN (d.path || '-wal', d.path || '-shm')",
+)
+def backup_files(spark, sf_dir):
+    files, _ = _state(spark, sf_dir)
+    dbs = files.select(F.concat("path", F.lit(".db")).alias("path"), (F.col("size") % 3).alias("redactions"))
+    present = files.where("size % 2 = 0").select(F.concat("path", F.lit(".db-wal")).alias("path")).union(files.where("size % 7 = 0").select(F.concat("path", F.lit(".db-shm"))))
+    return state.to_back_up(files.where("size % 5 = 0"), dbs, present)
+
+
+@query("target_skip", f"WITH {_FILES_SQL} SELECT 't' || CAST(substr(f.path, 3) AS BIGINT) % 400 AS tool, bool_or(c.path IS NULL) AS needs_scan FROM files f LEFT JOIN cache c ON c.path = f.path AND c.mtime_ns = f.mtime_ns AND c.size = f.size AND c.digest = f.digest GROUP BY 1")
+def target_skip(spark, sf_dir):
+    """Targets none of whose files need a scan are skipped."""
+    files, cache = _state(spark, sf_dir)
+    todo = state.needs_scan(files, cache).select("path", F.lit(True).alias("_todo"))
+    tool = F.concat(F.lit("t"), (F.substr("path", F.lit(3)).cast("long") % 400).cast("string"))
+    return files.join(todo, "path", "left").groupBy(tool.alias("tool")).agg(F.bool_or(F.coalesce("_todo", F.lit(False))).alias("needs_scan"))
+
+
+@query(
+    "redaction_totals",
+    f"WITH {_FILES_SQL} SELECT CAST(sum(size % 4) FILTER (WHERE size % 11 <> 0) AS BIGINT) AS redactions, count(*) FILTER (WHERE size % 11 = 0) AS errors FROM files",
+)
+def redaction_totals(spark, sf_dir):
+    """Counts of all workers; -1 stands for an error and is not summed."""
+    rows = _state(spark, sf_dir)[0].select(F.when(F.col("size") % 11 == 0, -1).otherwise(F.col("size") % 4).alias("n"))
+    return rows.agg(F.sum(F.when(F.col("n") >= 0, F.col("n"))).alias("redactions"), F.count_if(F.col("n") < 0).alias("errors"))
+
+
 # Streams -------------------------------------------------------------------------------------------------------------
 
 

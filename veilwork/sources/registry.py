@@ -68,6 +68,19 @@ def only(targets: DataFrame, wanted: list[str]) -> DataFrame:
     return targets.where(F.col("tool").isin([*names, "custom"]) if names else F.lit(True))
 
 
+#: Files in the home folder itself that belong to a tool.
+HOME_FILES = {".claude.json": "claude", ".aider.conf.yml": "aider"}
+
+
+def associated(paths: DataFrame, chosen: DataFrame, home: str) -> DataFrame:
+    """The managed files of the chosen tools: below one of their roots, or theirs in the home folder."""
+    own = chosen.select("tool", "root")
+    files = [(f"{home}/{name}", tool) for name, tool in HOME_FILES.items()]
+    homes = paths.sparkSession.createDataFrame(files, "path string, tool string").join(own.select("tool").distinct(), "tool", "left_semi")
+    held = paths.join(F.broadcast(own), is_under(F.col("path"), F.col("root")), "left_semi")  # a fixed registry
+    return held.union(paths.join(F.broadcast(homes), "path", "left_semi").select(*paths.columns)).distinct()
+
+
 def owners(paths: DataFrame, targets: DataFrame) -> DataFrame:
     """``paths`` with the tool, root and relative path of the first target that holds each; null where none does."""
     held = paths.join(F.broadcast(targets.select("tool", "root", "ordinal")), is_under(F.col("path"), F.col("root")), "left")  # a fixed registry
