@@ -174,9 +174,12 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shing
 
 def keep_one(docs: DataFrame, id: str = "doc_id", **how) -> DataFrame:
     """The document with the smallest id of each component, with all its columns; documents without an id stay."""
-    found = near_duplicates(docs.select(id, "text"), id, **how)
-    kept = durable(found.where(F.col(id) == F.col("component_id")).groupBy(F.col(id).alias("_kept")).count())
-    out = docs.join(kept.select("_kept"), F.col(id) == F.col("_kept"), "left_semi")
-    if not kept.where("count > 1").isEmpty():
-        out = out.dropDuplicates([id])
-    return out.unionByName(docs.where(F.col(id).isNull()))
+    found = near_duplicates(docs.select(id, "text"), id, **how).where(F.col(id).isNotNull())
+    first = F.col(id) == F.col("component_id")
+    by_id = durable(found.groupBy(F.col(id).alias("_id")).agg(F.count_if(first).alias("kept")))
+    # Those to drop are the fewer, so the texts stay where they are as long as the ids can be broadcast.
+    dropped = durable(by_id.where("kept = 0").select("_id"))
+    out = docs.join(dropped, F.col(id) == F.col("_id"), "left_anti")
+    if by_id.where("kept > 1").isEmpty():
+        return out
+    return out.where(F.col(id).isNotNull()).dropDuplicates([id]).unionByName(docs.where(F.col(id).isNull()))
