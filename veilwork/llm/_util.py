@@ -42,3 +42,14 @@ def durable(df: DataFrame) -> DataFrame:
 
 def ascii_lower(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+_held: dict = {}
+
+
+def sole(key, make):
+    """What ``make`` gives, kept by this Python worker beyond its tasks until another key is asked for: one cache a worker at a time."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]

@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._util import sole
+
 #: Characters whose class and case are the same in every Unicode version: Latin letters, common signs, plain white space.
 _OTHER = re.compile("[^\\t\\n\\x0b\\x0c\\r -~¡-įı-ňŊ-žƀ-ǃǍ-ǰ‐-‧‰-⁞€]")
 #: Special strings hold this in both vocabularies; such texts take the library's way.
 _SPECIAL = "<|"
 #: Words a worker's cache holds before it starts anew.
-CACHE = 1_200_000
+CACHE = 600_000
 #: Longer words are not nominated.
 LONG_WORD = 200
 #: Words that a task nominates for the table of frequent words, and those that the table holds.
@@ -50,16 +52,9 @@ def load(path: str):
     return _loaded[path]
 
 
-_workers: dict[tuple, object] = {}
-
-
 def worker(kind, path: str, key: int = 0, frozen=None):
     """The encoder of this Python worker, which outlives its tasks; a new table of frequent words replaces it."""
-    if (kind, path, key) not in _workers:
-        for k in [k for k in _workers if k[0] is kind]:
-            del _workers[k]
-        _workers[kind, path, key] = kind(path, *([frozen.value] if frozen is not None else []))
-    return _workers[kind, path, key]
+    return sole((kind, path, key), lambda: kind(path, *([frozen.value] if frozen is not None else [])))
 
 
 def plain(text: str) -> bool:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import durable
+from ._util import durable, sole
 
 HASH_BITS = 20
 STEMS = (4, 5, 6)
@@ -37,7 +37,7 @@ MAX_TERMS = 1000
 MAX_ROWS = 4000
 FACTORS, EPOCHS, RATE, DECAY = 4, 30, 0.05, 1e-5
 _WORD = re.compile(r"[^\W\d_]+")
-CACHE = 500_000
+CACHE = 250_000
 
 
 def places(token: str) -> frozenset[int]:
@@ -139,9 +139,6 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     return fit(chosen, [r["terms"] for r in got], [r["y"] for r in got], [totals[r["y"]] / n[r["y"]] for r in got])
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 class Scorer:
     def __init__(self, model: Model):
         self.model, self.known = model, {}
@@ -169,10 +166,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     at, token = columns.index(text), uuid.uuid4().int
 
     def run(batches):
-        if token not in _scorers:  # one cache a Python worker, not a task
-            _scorers.clear()
-            _scorers[token] = Scorer(shared.value)
-        scorer = _scorers[token]
+        scorer = sole(token, lambda: Scorer(shared.value))
         for b in batches:
             s = np.array([scorer(t) for t in b.column(at).to_pylist()], float)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*columns, *names])
