@@ -163,7 +163,12 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shing
     """Rows (id, fp, component_id), one a row of ``df``; component_id is the smallest id of the documents linked to it."""
     docs = durable(fingerprints(df, id, text, shingle))
     distinct = durable(docs.groupBy("fp").agg(F.min("id").alias("least")))
-    found = components(links(distinct, radius))
+    return with_components(docs, distinct, links(distinct, radius), id)
+
+
+def with_components(docs: DataFrame, distinct: DataFrame, edges: DataFrame, id: str) -> DataFrame:
+    """Rows (id, fp, component_id) of ``docs`` (id, fp), where ``edges`` (a, b) link the fingerprints of ``distinct`` (fp, least)."""
+    found = components(edges)
     linked = distinct.join(found, F.col("fp") == F.col("node")).select("fp", "root", "least")
     roots = linked.groupBy("root").agg(F.min("least").alias("component"))
     linked = linked.select("fp", "root").join(roots, "root").select("fp", "component")
@@ -174,7 +179,12 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shing
 
 def keep_one(docs: DataFrame, id: str = "doc_id", **how) -> DataFrame:
     """The document with the smallest id of each component, with all its columns; documents without an id stay."""
-    found = near_duplicates(docs.select(id, "text"), id, **how).where(F.col(id).isNotNull())
+    return keep_first(docs, near_duplicates(docs.select(id, "text"), id, **how), id)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, id: str) -> DataFrame:
+    """``docs`` without those that are not the smallest of their component in ``found``."""
+    found = found.where(F.col(id).isNotNull())
     first = F.col(id) == F.col("component_id")
     by_id = durable(found.groupBy(F.col(id).alias("_id")).agg(F.count_if(first).alias("kept")))
     # Those to drop are the fewer, so the texts stay where they are as long as the ids can be broadcast.
