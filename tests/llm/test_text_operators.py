@@ -263,3 +263,19 @@ def test_toxicity_odd_rows(spark, odd_docs, no_docs):
     assert kept.columns == [*odd_docs.columns, "_s", "_p"]
     held = odd_docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("h")).collect()
     assert all(r["h"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in held)
+
+
+def test_a_frequent_text_takes_no_places(spark):
+    """A clean text of many copies and many words leaves toxic-leaning places, and counts as one text."""
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    name = lambda: "".join(rng.choice(letters) for _ in range(9))
+    hot, bad, common = " ".join(name() for _ in range(900)), [name() for _ in range(8)], [name() for _ in range(300)]
+    docs = [(i, hot, 0) for i in range(300)]
+    docs += [(1000 + i, " ".join(rng.sample(common, 30)), 0) for i in range(400)]
+    docs += [(3000 + i, " ".join(rng.sample(common, 29) + [bad[i % 8]]), 1) for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    model = toxicity.train(df, df.select("doc_id", "toxic"))
+    hot_places, bad_places = toxicity.places(hot), [toxicity.places(w) for w in bad]
+    assert not hot_places & set(model.row) - set().union(*bad_places)
+    assert sum(bool(p & set(model.row)) for p in bad_places) == 8

@@ -6,12 +6,12 @@ machine scores
     sigmoid(w0 + sum_i w_i + sum_{i<j} <v_i, v_j>),
 
 so a pair of terms, an insult with a group mention for instance, weighs other than the sum of its parts. It is fitted on the
-driver on at most ``max_rows`` labelled rows a class, chosen by a hash of the id and weighted back to the class sizes, over
-the MAX_TERMS places that tell the classes apart best. Scoring is a map over whole texts with a broadcast model of
-MAX_TERMS rows.
+driver on at most ``max_rows`` distinct labelled texts a class, chosen by a hash of the id and weighted back to the distinct
+texts of the class, over all places whose class frequencies differ with a z value over LEAST_Z in either direction. Scoring is
+a map over whole texts with a broadcast model of those places, which are 2**HASH_BITS at most.
 
-Cases: null and empty texts get the score of no terms; repeated rows are scored each; a document labelled twice is toxic if
-one label says so; a null id is not held out; without labels of both classes every score is the share of toxic rows (0 if
+Cases: null and empty texts get the score of no terms; repeated rows are scored each; copies of a text count once in a class;
+a document labelled twice is toxic if one label says so; a null id is not held out; without labels of both classes every score is the share of toxic rows (0 if
 there is none). Inputs of a score are the words of the text alone.
 """
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from collections.abc import Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -32,8 +33,8 @@ from ._util import durable, sole
 
 HASH_BITS = 20
 STEMS = (4, 5, 6)
-MAX_TERMS = 1000
-#: Bound on the labelled rows of each class that the fit reads.
+LEAST_Z = 3.5
+#: Bound on the distinct labelled texts of each class that the fit reads.
 MAX_ROWS = 4000
 FACTORS, EPOCHS, RATE, DECAY = 4, 30, 0.05, 1e-5
 _WORD = re.compile(r"[^\W\d_]+")
@@ -64,17 +65,17 @@ class Model(NamedTuple):
         return float(1 / (1 + np.exp(-min(35.0, max(-35.0, z)))))
 
 
-def fit(chosen: list[int], docs: list[list[int]], labels: list[int], weights: list[float], seed: int = 7) -> Model:
+def fit(chosen: list[int], docs: Sequence[Sequence[int]], labels: list[int], weights: list[float], seed: int = 7) -> Model:
     """Weights of the ``chosen`` hash places from documents as lists of those that they hold."""
     y, cost = np.array(labels, float), np.array(weights, float)
     share = float((y * cost).sum() / cost.sum()) if len(y) else 0.0
     w0 = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
     if not len(y) or y.min() == y.max():
         return Model({}, w0, np.zeros(0), np.zeros((0, FACTORS)))
-    row = {t: i for i, t in enumerate(chosen)}
-    x = np.zeros((len(docs), len(row)), np.float32)
-    for i, terms in enumerate(docs):
-        x[i, [row[t] for t in terms]] = 1
+    row = {t: i for i, t in enumerate(sorted(chosen))}
+    held = np.array(sorted(chosen), np.int64)
+    rows = [np.searchsorted(held, np.asarray(terms, np.int64)) for terms in docs]
+    place = np.zeros(len(row), np.int64)
     rng = np.random.default_rng(seed)
     # Adam over mini-batches.
     w, v, b = np.zeros(len(row), np.float32), rng.normal(0, 0.01, (len(row), FACTORS)).astype(np.float32), np.array([w0], np.float32)
@@ -87,11 +88,22 @@ def fit(chosen: list[int], docs: list[list[int]], labels: list[int], weights: li
         order = rng.permutation(len(y))
         for a in range(0, len(y), 128):
             k = order[a : a + 128]
-            xb = x[k]
-            xv = xb @ v
-            score = b[0] + xb @ w + 0.5 * ((xv * xv).sum(1) - xb @ (v * v).sum(1))
+            # Only the places that the batch holds get columns.
+            at = np.concatenate([rows[i] for i in k])
+            here = np.zeros(len(row), bool)
+            here[at] = True
+            u = np.flatnonzero(here)
+            place[u] = np.arange(len(u))
+            xb = np.zeros((len(k), len(u)), np.float32)
+            xb[np.repeat(np.arange(len(k)), [len(rows[i]) for i in k]), place[at]] = 1
+            wu, vu = w[u], v[u]
+            xv = xb @ vu
+            score = b[0] + xb @ wu + 0.5 * ((xv * xv).sum(1) - xb @ (vu * vu).sum(1))
             g = cost[k] * (1 / (1 + np.exp(-np.clip(score, -35, 35))) - y[k]) / len(k)
-            grads = [np.array([g.sum()]), xb.T @ g + DECAY * w, xb.T @ (g[:, None] * xv) - (xb.T @ g)[:, None] * v + 10 * DECAY * v]
+            gw, gv, xg = DECAY * w, 10 * DECAY * v, xb.T @ g
+            gw[u] += xg
+            gv[u] += xb.T @ (g[:, None] * xv) - xg[:, None] * vu
+            grads = [np.array([g.sum()]), gw, gv]
             step += 1
             for q, gq, mq, sq in zip(params, grads, m, s, strict=True):
                 mq += 0.1 * (gq - mq)
@@ -108,6 +120,10 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     """Fit on labelled documents that are not held out."""
     known = labels.where(F.col(id).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(id)))
     known = known.groupBy(F.col(id).alias("_id")).agg(F.max((F.col(label) > 0).cast("int")).alias("y"))
+    # Copies of a text count once in a class, for the smallest id.
+    texts = docs.select(F.col(id).alias("_id"), F.col(text).alias("t")).withColumn("h", F.xxhash64(F.coalesce("t", F.lit(""))))
+    texts_of = texts.select("_id", "h").join(known, "_id").groupBy("_id", "y").agg(F.max("h").alias("h"))
+    known = durable(texts_of.groupBy("y", "h").agg(F.min("_id").alias("_id")))
     totals = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     picked = None
     for y in totals:
@@ -122,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.list_(pa.int32()))], ["id", "y", "terms"])
 
     # 2 * max_rows ids at most: a bounded side.
-    rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("t")).join(F.broadcast(picked), "_id").groupBy("_id", "y").agg(F.max("t").alias("t"))
+    rows = texts.join(F.broadcast(picked), ["_id", "h"]).groupBy("_id", "y").agg(F.max("t").alias("t"))
     kind = docs.schema[id].dataType.simpleString()
     rows = durable(rows.select("_id", "y", "t").mapInArrow(terms, f"id {kind}, y int, terms array<int>"))
     n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
@@ -132,11 +148,17 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     seen = rows.select("y", F.explode("terms").alias("t")).groupBy("t").agg(F.sum("y").alias("c1"), F.count(F.lit(1)).alias("c"))
     p1, p0, p = F.col("c1") / n[1], (F.col("c") - F.col("c1")) / n[0], F.col("c") / (n[0] + n[1])
     z = F.abs(p1 - p0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * (1 / n[0] + 1 / n[1]))
-    best = seen.where("c >= 4").withColumn("z", z).where("z > 3.5").orderBy(F.desc("z"), "t").limit(MAX_TERMS)
-    chosen = sorted(r["t"] for r in best.collect())
-    held = F.array(*map(F.lit, chosen)).cast("array<int>")
-    got = rows.select("id", "y", F.array_intersect("terms", held).alias("terms")).orderBy("id").collect()  # of MAX_TERMS places each
-    return fit(chosen, [r["terms"] for r in got], [r["y"] for r in got], [totals[r["y"]] / n[r["y"]] for r in got])
+    chosen = seen.where("c >= 4").where(z > LEAST_Z).select("t").orderBy("t").toArrow().column("t").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(chosen)
+
+    def held(batches):
+        for b in batches:
+            sets = [np.intersect1d(s.values.to_numpy(), shared.value, assume_unique=True) for s in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.list_(pa.int32()))], ["id", "y", "terms"])
+
+    got = rows.mapInArrow(held, rows.schema).orderBy("id").toArrow()  # 2 * max_rows rows at most
+    labels = got.column("y").to_pylist()
+    return fit(chosen.tolist(), [s.values.to_numpy() for s in got.column("terms")], labels, [totals[y] / n[y] for y in labels])
 
 
 class Scorer:
