@@ -2,10 +2,11 @@
 
 import json
 import random
+import time
 
 from veilwork.operators import redact
 from veilwork.plans.catalog import _run_stream
-from veilwork.streaming.text import Buffer, redact_chunks, until_detected
+from veilwork.streaming.text import MOST_TOKEN, Buffer, redact_chunks, until_detected
 
 GHP = "ghp_" + "a1B2" * 9
 
@@ -49,6 +50,33 @@ def test_stateful_query(spark, tmp_path):
     assert [(r["text"], r["redactions"]) for r in out] == [("a [REDACTED]\n", 1), ("bc", 0)]
 
 
+def test_a_token_without_an_end_is_given_up():
+    """It goes out as one redaction, and its rest is not shown either."""
+    b, out = Buffer(), list(Buffer().feed(""))
+    for chunk in ["see ghp_", *["a" * 4000] * 80, "a end\n", f"next {GHP}\n"]:
+        out += b.feed(chunk)
+        assert len(b.pending) <= 2 * MOST_TOKEN + 4096
+    assert "".join(t for t, _ in [*out, *b.finish()]) == "see [REDACTED] end\nnext [REDACTED]\n"
+
+
+def test_idle_streams_are_flushed(spark, tmp_path):
+    """Without a last chunk the rest goes out once the stream has been idle."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(json.dumps({"stream": "s", "seq": 0, "chunk": f"rest {GHP}", "is_last": False}))
+    chunks = spark.readStream.schema("stream string, seq long, chunk string, is_last boolean").json(str(tmp_path / "in"))
+    q = redact_chunks(chunks, idle="1 second").writeStream.format("memory").queryName("idle_out").trigger(processingTime="500 milliseconds").start()
+    try:
+        for i in range(60):
+            time.sleep(1)
+            (tmp_path / "in" / f"b{i}.json").write_text(json.dumps({"stream": "other", "seq": i, "chunk": "x", "is_last": False}))
+            rows = spark.sql("SELECT * FROM idle_out WHERE stream = 's'").collect()
+            if rows:
+                break
+    finally:
+        q.stop()
+    assert [(r["text"], r["redactions"]) for r in rows] == [("rest [REDACTED]", 1)]
+
+
 def test_stops_when_detected(spark, tmp_path):
     (tmp_path / "a.txt").write_text(f"token={GHP}\n")
     seen = []

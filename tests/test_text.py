@@ -1,7 +1,9 @@
 """Golden rows and differential tests of the text expressions and rewriting."""
 
+import json
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from veilwork.functions import constants as K
 from veilwork.functions import text as X
 from veilwork.operators import detect, findings, known, redact
+from veilwork.plans import catalog
 
 GHP = "ghp_" + "a1B2" * 9
 MIXED = "Ab3dEf6hIj9lMn2pQr5tUv8xYz1bCd4fGh7jKl0nOp3rSt6vWx9zAb2dEf5hIj8l"
@@ -70,6 +73,7 @@ def test_entropy_redaction_equals_python(spark):
     rng = random.Random(5)
     signs = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789_@+/.-= é"
     texts = ["".join(rng.choices(signs, weights=[8] * 46 + [1] * 9, k=rng.randint(0, 160))) for _ in range(300)]
+    texts += ["plain \x01 text \x02 end", f"\x01{MIXED}\x02 \x03{MIXED}", MIXED, f"{MIXED} {MIXED}"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
     rows = df.select("id", redact.redact_entropy(F.col("text")).alias("r")).collect()
     for r in rows:
@@ -160,3 +164,87 @@ def test_detector_precedence(spark):
     a = spark.createDataFrame([("secret-one-1", "jwt", "x", 2), ("short", "jwt", "x", 1)], "secret string, raw_label string, detector string, priority int")
     b = spark.createDataFrame([("secret-one-1", "aws", "y", 1)], a.schema)
     assert [(r["secret"], r["raw_label"], r["detectors"]) for r in detect.detections(a, b).collect()] == [("secret-one-1", "aws", ["x", "y"])]
+
+
+def plain_present(text, secrets):
+    return sorted((s for s in secrets if s in text), key=lambda s: (-len(s), s))
+
+
+def test_rounds_change_nothing(spark, monkeypatch):
+    """Many rounds of few secrets give what one round gives: findings, alternation and redaction, prefixes of each other included."""
+    rng = random.Random(11)
+    secrets = ["secret11x", "secret11xLONGTAIL9", "xLONG", "ab", "abab", 'q"uote', "täil", "LONGTAIL9 s"] + [f"key{i}{'z' * (i % 4)}" for i in range(12)]
+    parts = [*secrets, " ", "x", "\n", "é", "abc"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 9))) for _ in range(80)] + [None, ""]
+    lines = [json.dumps({"a": t, "b": [t]}, ensure_ascii=rng.random() < 0.5) if t is not None else None for t in texts]
+    frame = lambda ts: spark.createDataFrame([(i, t, 1) for i, t in enumerate(ts)], "doc_id long, text string, row int").repartition(3)
+    rows = spark.createDataFrame([(s,) for s in [*secrets, secrets[0], ""]], "secret string")
+    got = []
+    for most, chars in ((200_000, 20_000_000), (2, 20_000_000), (200_000, 30)):
+        monkeypatch.setattr(known, "MOST", most)
+        monkeypatch.setattr(known, "MOST_CHARS", chars)
+        out = [sorted(map(tuple, f(frame(texts), rows).collect())) for f in (known.match_known, known.alternation_hits)]
+        out += [sorted(map(tuple, known.redact_known(frame(t), rows, json_lines=j).collect())) for t, j in ((texts, False), (lines, True))]
+        got.append(out)
+    assert got[0] == got[1] == got[2]
+    bank = re.compile("|".join(map(re.escape, known.longest_first(secrets))))
+    hits, spans, texts_out, lines_out = got[0]
+    assert hits == sorted((i, s, t.count(s)) for i, t in enumerate(texts) if t for s in secrets if s in t)
+    assert spans == sorted((i, s, n) for i, t in enumerate(texts) if t for s, n in Counter(bank.findall(t)).items())
+    assert [(t, n) for _, t, _, n in texts_out] == [known.redact_line(t, plain_present(t, secrets)) if t else (t, 0) for t in texts]
+    assert not any(s in t for _, t, _, _ in lines_out if t for s in secrets if s != 'q"uote' and s.isascii())
+
+
+def test_a_tail_of_a_longer_secret_never_stays(spark, monkeypatch):
+    monkeypatch.setattr(known, "MOST", 1)
+    df = spark.createDataFrame([(1, "a secret11xLONGTAIL9 b secret11x")], "doc_id long, text string")
+    rows = spark.createDataFrame([("secret11x",), ("secret11xLONGTAIL9",)], "secret string")
+    assert known.redact_known(df, rows).first()["text"] == "a [REDACTED] b [REDACTED]"
+
+
+def test_secrets_that_only_show_decoded(spark):
+    """In a line with a known secret all its values are decoded."""
+    line = '{"a": "plain-one", "b": "caf\\u00e9-key"}'
+    df = spark.createDataFrame([(1, line + "\n" + line.replace("plain-one", "x"))], "doc_id long, text string")
+    row = known.redact_known(df, spark.createDataFrame([("plain-one",), ("café-key",)], "secret string"), json_lines=True).first()
+    assert row["text"].split("\n")[0] == '{"a": "[REDACTED]", "b": "[REDACTED]"}' and row["redactions"] == 2
+
+
+@pytest.mark.parametrize(("label", "start"), [("GitHub PAT", "github_pat_"), ("Slack Webhook", "https://hooks.slack.com/services/"), ("SendGrid Key", "SG."), ("Telegram Token", ""), ("Azure Key", "AccountKey")])
+def test_plain_starts(label, start):
+    assert X.literal_start(dict(K.VENDOR)[label]) == start
+
+
+def test_searches_stand_once_in_a_plan(spark, sf_dir):
+    """Explode over a computed array must not make the planner compute it twice."""
+    for name, what, most in (("pii_spans_resolved", "regexp_replace", 15), ("vendor_token_matches", "regexp_extract_all", 1)):
+        plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert 1 <= plan.count(what + "(") <= most, name
+
+
+def test_model_sees_normalized_chunks(spark):
+    def model(texts):
+        return [[("GIVEN_NAME", m.start(), m.end(), 0.5 + 0.1 * (m.start() % 2)) for m in re.finditer("jose|ana", t)] for t in texts]
+
+    text = "Ñ é José x Ana " * 3
+    df = detect.model_spans(spark.createDataFrame([(text,), (None,), ("",)], "text string"), model, chunk=24, overlap=10)
+    rows = [r["model_spans"] for r in df.collect()]
+    assert [text[s["start"] : s["end"]] for s in rows[0]] == ["José", "Ana"] * 3 and rows[1:] == [[], []]
+
+
+def test_scores_decide_between_equal_model_spans(spark):
+    model = lambda ts: [[("GIVEN_NAME", 0, 4, 0.6), ("SURNAME", 0, 4, 0.9), ("CITY", 5, 9, 1.0)] for _ in ts]
+    df = detect.model_spans(spark.createDataFrame([("Alex Rome",)], "text string"), model).withColumn("s", detect.merge_model(detect.pii_spans(F.col("text")), F.col("model_spans")))
+    assert [s["label"] for s in df.first()["s"]] == ["SURNAME"]
+
+
+def test_windows_of_tokens():
+    assert detect.windows(0) == [(0, 0)] and detect.windows(510) == [(0, 510)]
+    assert detect.windows(1000) == [(0, 510), (446, 956), (892, 1000)]
+
+
+def test_lines_of_a_turn(spark):
+    text = "clean\n" * 9 + f"token={GHP}\n" + "x" * 9000 + " " + GHP
+    df = spark.createDataFrame([(text,), (None,), ("",)], "value string")
+    rows = redact.redact_lines(df, "value").collect()
+    assert [(r["value"], r["redactions"]) for r in rows] == [(text.replace(GHP, "[REDACTED]"), 2), (None, 0), ("", 0)]

@@ -49,6 +49,9 @@ RAW_TO_DISPLAY = {raw: display for display, raws in LABELS.items() for raw in ra
 # --- Fixed values: words written in upper case in other labels.
 UPPER_WORDS = ["jwt", "api", "ssh", "aws", "gcp", "oauth", "pat", "url", "sdk", "http", "ai", "id"]
 
+# --- Fixed values: the same in charts of raw labels.
+CHART_UPPER_WORDS = ["jwt", "api", "http", "url", "oauth", "ssh", "aws", "gcp", "sql", "uri", "id", "cli", "sdk", "npm", "pypi", "hmac"]
+
 # --- Fixed values: labels that are reported but say little.
 LOW_SIGNAL = ["Coveralls Repo Identifier", "Datadog Site Domain", "Metabase", "Privacy", "Supabase Project URL", "Uri"]
 

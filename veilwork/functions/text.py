@@ -93,14 +93,37 @@ def good_secret(secret: Column) -> Column:
     return (F.length(secret) >= 8) & ~F.rlike(secret, F.lit(r"^\s+$"))
 
 
+def literal_start(pattern: str) -> str:
+    """The characters that every match of ``pattern`` starts with, as far as they are plain in it."""
+    out = re.match(r"(?:[A-Za-z0-9_:/ -]|\\[.])*(?![{*?])", pattern)[0]
+    return out.replace("\\", "")
+
+
 def vendor_label(secret: Column) -> Column:
-    """Label of the first vendor shape that a match of the bank fits as a whole."""
+    """Label of the first vendor shape that a match of the bank fits as a whole; a shape is only asked if its plain start is there."""
     out = F.lit("unknown")
     for label, pattern in reversed(K.VENDOR):
-        out = F.when(F.rlike(secret, F.lit(f"^(?:{pattern})$")), label).otherwise(out)
+        fits = F.rlike(secret, F.lit(f"^(?:{pattern})$"))
+        start = literal_start(pattern)
+        out = F.when(F.startswith(secret, F.lit(start)) & fits if start else fits, label).otherwise(out)
     return out
 
 
+def title_label(name: Column) -> Column:
+    """A raw detector label for a chart: words in title case, known short forms in upper case; names that are shown already stay."""
+    words = F.filter(F.split(F.translate(name, "-_", "  "), r"\s+"), lambda w: w != "")
+    cased = F.transform(
+        words, lambda w: F.when(F.lower(w).isin(K.CHART_UPPER_WORDS), F.upper(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2)))))
+    )
+    shown = (name != F.lower(name)) & ~F.contains(name, F.lit("-")) & ~F.contains(name, F.lit("_"))
+    return F.when(shown, name).otherwise(F.array_join(cased, " "))
+
+
+def escape_markup(text: Column) -> Column:
+    """Text that a terminal shows as it is: opening brackets of what would be read as tags get a backslash."""
+    return F.regexp_replace(text, r"(\\*)(\[[a-z#/@][^\[]*?\])", r"$1$1\\$2")
+
+
 # Short texts ---------------------------------------------------------------------------------------------------------
 
 
@@ -113,16 +136,20 @@ def is_short(text: Column) -> Column:
 
 
 def has_marker(text: Column) -> Column:
-    """Plain substring tests, which are far cheaper than one alternation of the markers."""
-    out = F.contains(text, F.lit(K.MARKERS[0]))
-    for m in K.MARKERS[1:]:
-        out = out | F.contains(text, F.lit(m))
-    return out
+    """Plain substring tests, which are far cheaper than one alternation of the markers; the text is computed once for all of them."""
+
+    def any_of(t: Column) -> Column:
+        out = F.contains(t, F.lit(K.MARKERS[0]))
+        for m in K.MARKERS[1:]:
+            out = out | F.contains(t, F.lit(m))
+        return out
+
+    return let(text, any_of)
 
 
 def may_hold_token(text: Column) -> Column:
     """False only where no vendor shape can match: all but one begin with a marker."""
-    return has_marker(text) | F.rlike(text, F.lit("[0-9]{8}:"))
+    return let(text, lambda t: has_marker(t) | F.rlike(t, F.lit("[0-9]{8}:")))
 
 
 def searched(text: Column) -> Column:

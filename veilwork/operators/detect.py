@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
@@ -12,28 +13,35 @@ from pyspark.sql import types as T
 from ..functions import constants as K
 from ..functions import text as X
 
-SPANS = "array<struct<start:int,end:int,label:string,rule:int>>"
+SPANS = "array<struct<start:int,end:int,label:string,rule:int,score:double>>"
+
+
+def exploded(df: DataFrame, keep: tuple[str, ...], values: Column, name: str) -> DataFrame:
+    """Rows (*keep, name), one a value. The outer form, as the inner one makes the planner compute the values a second time, to filter by their number."""
+    return df.select(*keep, F.explode_outer(values).alias(name)).where(F.col(name).isNotNull())
 
 
 def vendor_matches(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """Rows (*keep, secret, label), one a match. The bank is one expression, so a text is searched once."""
-    found = df.where(X.may_hold_token(F.col(text))).select(*keep, F.explode(F.regexp_extract_all(F.col(text), F.lit(K.VENDOR_ANY), F.lit(0))).alias("secret"))
+    # The gate stands inside the value, so that the text is computed once, whatever expression it is.
+    values = X.let(F.col(text), lambda t: F.when(X.may_hold_token(t), F.regexp_extract_all(t, F.lit(K.VENDOR_ANY), F.lit(0))))
+    found = exploded(df, keep, values, "secret")
     return found.withColumn("label", X.vendor_label(F.col("secret")))
 
 
 def entropy_candidates(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """Rows (*keep, value): long token-like strings, before the test of their entropy."""
-    return df.select(*keep, F.explode(F.regexp_extract_all(F.col(text), F.lit(K.ENTROPY_CANDIDATE), F.lit(0))).alias("value"))
+    return exploded(df, keep, F.regexp_extract_all(F.col(text), F.lit(K.ENTROPY_CANDIDATE), F.lit(0)), "value")
 
 
 def pii_matches(df: DataFrame, *keep: str, text: str = "text", labels: list[str] | None = None) -> DataFrame:
     """Rows (*keep, label, value), one a match of a rule."""
 
-    def of(label: str) -> Column:
-        return F.transform(X.pii_values(F.col(text), label), lambda v: F.struct(F.lit(label).alias("label"), v.alias("value")))
+    def of(t: Column, label: str) -> Column:
+        return F.transform(X.pii_values(t, label), lambda v: F.struct(F.lit(label).alias("label"), v.alias("value")))
 
-    rules = F.flatten(F.array(*[of(n) for n in labels or K.PII]))
-    return df.select(*keep, F.explode(rules).alias("m")).select(*keep, "m.label", "m.value")
+    rules = X.let(F.col(text), lambda t: F.flatten(F.array(*[of(t, n) for n in labels or K.PII])))
+    return exploded(df, keep, rules, "m").select(*keep, "m.label", "m.value")
 
 
 def detections(*sources: DataFrame) -> DataFrame:
@@ -62,15 +70,18 @@ def pii_spans(text: Column) -> Column:
             spans = F.filter(spans, lambda s: X.good_ip(value(s)))
         elif label == "CREDIT_CARD":
             spans = F.filter(spans, lambda s: X.good_card(value(s)))
-        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(label).alias("label"), F.lit(rule).alias("rule")))
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(label).alias("label"), F.lit(rule).alias("rule"), F.lit(1.0).alias("score")))
 
     return F.flatten(F.array(*[of(i, *x) for i, x in enumerate(K.PII.items())])).cast(SPANS)
 
 
 def resolve(spans: Column) -> Column:
-    """Greedy choice by start, then length: a span is kept if it begins at or after the end of the last one kept."""
+    """Greedy choice by start, then length, then score: a span is kept if it begins at or after the end of the last one kept."""
     before = lambda a, b: (
-        F.when(a["start"] != b["start"], a["start"] - b["start"]).when(a["end"] != b["end"], b["end"] - a["end"]).otherwise(a["rule"] - b["rule"])
+        F.when(a["start"] != b["start"], a["start"] - b["start"])
+        .when(a["end"] != b["end"], b["end"] - a["end"])
+        .when(a["score"] != b["score"], F.when(a["score"] > b["score"], -1).otherwise(1))
+        .otherwise(a["rule"] - b["rule"])
     )
     start = F.struct(F.lit(-1).alias("last"), F.array().cast(SPANS).alias("kept"))
 
@@ -88,29 +99,72 @@ def merge_model(rule_spans: Column, model_spans: Column) -> Column:
     return resolve(F.concat(rule_spans, apart.cast(SPANS)))
 
 
-def model_spans(df: DataFrame, model: Callable[[list[str]], list[list[tuple[str, int, int, float]]]], text: str = "text", chunk: int = 100_000, overlap: int = 4096, **how) -> DataFrame:
-    """``df`` with ``model_spans`` from an injected recogniser of texts, which runs over overlapping chunks in Arrow batches.
-
-    ``model`` gets texts and gives (label, start, end, score) for each; spans under the least score are dropped, those found twice
-    in an overlap count once.
+def normalized(text: str) -> tuple[str, list[int]]:
+    """Lower case without accents, and for each character of it the place in ``text`` that it comes from."""
+    if text.isascii():
+        return text.lower(), list(range(len(text)))
+    out, places = [], []
+    for i, c in enumerate(text):
+        piece = c.lower() if c < "\x80" else "".join(d for d in unicodedata.normalize("NFKD", c.lower()) if unicodedata.category(d) != "Mn")
+        out.append(piece)
+        places += [i] * len(piece)
+    return "".join(out), places
+
+
+def original_place(at: int, places: list[int], length: int) -> int:
+    """The place in the text of ``length`` characters that a place in its normalized form stands for; beyond its ends, the ends."""
+    return 0 if at <= 0 else length if at >= len(places) else places[at]
+
+
+def model_spans(
+    df: DataFrame,
+    model: Callable[[list[str]], list[list[tuple[str, int, int, float]]]],
+    text: str = "text",
+    chunk: int = 100_000,
+    overlap: int = 4096,
+    min_score: float = K.MIN_SCORE,
+    batch: int = 64,
+    normalize_first: bool = True,
+) -> DataFrame:
+    """``df`` with ``model_spans`` from an injected recogniser, which runs over overlapping chunks of the texts in Arrow batches.
+
+    ``model`` gets ``batch`` texts at a time and gives (label, start, end, score) for each, in places of what it was given: the
+    normalized chunk, unless ``normalize_first`` is false. Places are mapped back to the text. Windows of tokens inside a chunk are
+    the model's own affair, see ``windows``. Spans under the least score are dropped, those found twice in an overlap count once,
+    with their best score.
     """
-    least = how.get("min_score", K.MIN_SCORE)
 
     @F.pandas_udf(SPANS)
     def find(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            t, seen = t or "", set()
+        parts = []  # (row, where the chunk starts, what the model sees, places, length)
+        for row, t in enumerate(texts):
+            t = t or ""
             for at in range(0, max(1, len(t) - overlap), chunk - overlap) if len(t) > chunk else [0]:
-                for label, a, b, score in model([t[at : at + chunk]])[0]:
-                    if score >= least:
-                        seen.add((at + a, at + b, label, len(K.PII)))
-            out.append([{"start": a, "end": b, "label": n, "rule": r} for a, b, n, r in sorted(seen)])
-        return pd.Series(out)
+                piece = t[at : at + chunk]
+                shown, places = normalized(piece) if normalize_first else (piece, list(range(len(piece))))
+                parts.append((row, at, shown, places, len(piece)))
+        best: list[dict] = [{} for _ in texts]
+        for a in range(0, len(parts), batch):
+            some = parts[a : a + batch]
+            for (row, at, _, places, n), spans in zip(some, model([p[2] for p in some]), strict=True):
+                for label, start, end, score in spans:
+                    if score >= min_score and end > start:
+                        key = (at + original_place(start, places, n), at + original_place(end, places, n), label)
+                        best[row][key] = max(score, best[row].get(key, score))
+        return pd.Series([[{"start": s, "end": e, "label": n, "rule": len(K.PII), "score": float(x)} for (s, e, n), x in sorted(found.items())] for found in best])
 
     return df.withColumn("model_spans", find(F.col(text)))
 
 
+def windows(n: int, most: int = 510, stride: int = 64) -> list[tuple[int, int]]:
+    """Overlapping runs of at most ``most`` of ``n`` tokens: each but the first repeats ``stride`` tokens of the one before."""
+    out = [(0, min(n, most))]
+    while out[-1][1] < n:
+        start = out[-1][1] - stride
+        out.append((start, min(n, start + most)))
+    return out
+
+
 def bio_decode(tokens: DataFrame, *keys: str, order: str = "pos", tag: str = "tag", score: str = "score", min_score: float = K.MIN_SCORE) -> DataFrame:
     """Spans (label, first, last, score) from tagged tokens: B- opens, I- of the same label goes on, weak or other tags close."""
     from pyspark.sql import Window
@@ -131,15 +185,5 @@ _NORMALIZED = T.StructType([T.StructField("text", T.StringType()), T.StructField
 @F.pandas_udf(_NORMALIZED)
 def normalize(texts: pd.Series) -> pd.DataFrame:
     """Lower case without accents, and for each character the place it comes from."""
-    import unicodedata
-
-    rows = []
-    for t in texts:
-        out, places = [], []
-        for i, c in enumerate(t or ""):
-            for d in unicodedata.normalize("NFKD", c.lower()):
-                if unicodedata.category(d) != "Mn":
-                    out.append(d)
-                    places.append(i)
-        rows.append({"text": "".join(out), "offsets": places})
-    return pd.DataFrame(rows)
+    rows = [normalized(t or "") for t in texts]
+    return pd.DataFrame({"text": [t for t, _ in rows], "offsets": [p for _, p in rows]})

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.shared import durable
 
 
 def with_types(matches: DataFrame, types: DataFrame) -> DataFrame:
@@ -59,11 +60,47 @@ def top_exposed(found: DataFrame, n: int = 5, id: str = "doc_id") -> DataFrame:
     return found.groupBy(id).agg(F.count_distinct("secret_hash").alias("secrets"), F.sum("hits").alias("hits"), best.alias("proof")).orderBy(F.desc("secrets"), F.desc("hits"), id).limit(n)
 
 
+def numbered(df: DataFrame, order: list, name: str = "place") -> DataFrame:
+    """``df`` with places from 1 in ``order``, which must be total: ranges are numbered on their own, behind the counts of those before."""
+    parts = durable(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before, offsets = 0, []
+    for r in parts.groupBy("_part").count().orderBy("_part").collect():  # a row a partition
+        offsets += [F.lit(r["_part"]), F.lit(before)]
+        before += r["count"]
+    if not offsets:
+        return parts.select(*df.columns, F.lit(0).cast("long").alias(name))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parts.select(*df.columns, (inside + F.element_at(F.create_map(*offsets), F.col("_part"))).cast("long").alias(name))
+
+
 def report_order(found: DataFrame, id: str = "doc_id") -> DataFrame:
     """Documents by the order of the report, with ``place`` from 1."""
-    stats = file_stats(found, id)
-    order = Window.orderBy(F.desc("credential_findings"), F.desc("credential_hits"), F.desc("hits"), id)
-    return stats.withColumn("place", F.row_number().over(order))
+    return numbered(file_stats(found, id), [F.desc("credential_findings"), F.desc("credential_hits"), F.desc("hits"), F.asc(id)])
+
+
+def report_sources(found: DataFrame, source: str = "source", id: str = "doc_id") -> DataFrame:
+    """Sources by files, with the credential-like findings and hits in them; files whose findings all say little count as files."""
+    out = file_stats(found, source, id).groupBy(source).agg(
+        F.count(F.lit(1)).alias("files"), F.sum("credential_findings").alias("findings"), F.sum("credential_hits").alias("hits")
+    )
+    return out.orderBy(F.desc("files"), source)
+
+
+def report_patterns(found: DataFrame, n: int = 20, id: str = "doc_id") -> DataFrame:
+    """The ``n`` credential-like types in most files, then with most hits."""
+    rows = found.where(~F.col("low_signal")).groupBy("type").agg(F.count_distinct(id).alias("files"), F.sum("hits").alias("hits"))
+    return rows.orderBy(F.desc("files"), F.desc("hits"), F.lower("type"), "type").limit(n)
+
+
+def in_file_order(typed: DataFrame, id: str = "doc_id") -> DataFrame:
+    """Rows (id, secret, raw_label, hits) with their ``place`` in a document: by raw label, then by the secret's hash."""
+    order = Window.partitionBy(id).orderBy("raw_label", X.secret_hash(F.col("secret")))
+    return typed.withColumn("place", F.row_number().over(order).cast("long"))
+
+
+def preserved(found: DataFrame, managed: str = "managed") -> tuple[DataFrame, DataFrame]:
+    """Findings in files that may be rewritten, and those in managed files, which are reported and kept."""
+    return found.where(~F.col(managed)), found.where(F.col(managed))
 
 
 def first_of_each(found: DataFrame, n: int, id: str = "doc_id") -> DataFrame:

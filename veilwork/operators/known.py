@@ -1,35 +1,39 @@
 """Known secrets in documents: findings and literal redaction.
 
 The secrets go to every task as one Aho-Corasick automaton, so a document is read once whatever their number. More secrets than
-``MOST`` are matched in several rounds of that many, which bounds the memory of a task.
+MOST, or more characters in them than MOST_CHARS, are matched in several rounds, which bounds the memory of a task. Rounds only
+collect what they find beside each text; what is kept or replaced is decided once, over the finds of all rounds, so results do
+not depend on how the secrets were dealt.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import constants as K
 
-MOST = 200_000
+#: Secrets, and characters in them, of one round.
+MOST, MOST_CHARS = 200_000, 20_000_000
 _built: dict[tuple, object] = {}
 
 
 def _rounds(secrets: DataFrame) -> Iterator[list[str]]:
-    """Distinct secrets in rounds of at most MOST, longest first, then by text."""
+    """The different secrets in rounds, at least one."""
     rows = secrets.select("secret").where("secret <> ''").distinct()
-    order = lambda s: (-len(s), s)
-    first = [r[0] for r in rows.limit(MOST + 1).collect()]
-    if len(first) <= MOST:
-        yield sorted(first, key=order)
-        return
-    parts = -(-rows.count() // MOST) + 1
+    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("secret")), F.lit(0)).alias("chars")).first()
+    parts = max(-(-facts["n"] // MOST), -(-facts["chars"] // MOST_CHARS), 1)
+    if parts > 1:
+        parts += parts // 8 + 1  # hashes do not deal quite evenly
     for i in range(parts):
-        yield sorted((r[0] for r in rows.where(F.pmod(F.xxhash64("secret"), F.lit(parts)) == i).collect()), key=order)
+        part = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("secret"), F.lit(parts)) == i)
+        yield sorted(r[0] for r in part.collect())
 
 
 def _automaton(key: tuple, secrets: list[str]):
@@ -58,55 +62,90 @@ def _counts(automaton, secrets: list[str], text: str) -> dict[int, int]:
     return out
 
 
+def _packed(docs: DataFrame, text: str) -> DataFrame:
+    """Rows (row, t): the row as one value, so that no name of its columns can clash, and its text."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("t"))
+
+
+def _hits(docs: DataFrame, id: str, text: str, words: list[str], hits) -> DataFrame:
+    """Rows (id, secret, hits) of one round; ``hits`` gives (secret, hits) for an automaton, the secrets and a text."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+    key = (uuid.uuid4().int, 0)
+
+    def run(batches):
+        automaton = _automaton(key, shared.value)
+        for b in batches:
+            at, found, count = [], [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                for s, n in sorted(hits(automaton, shared.value, t or "")):
+                    at.append(i)
+                    found.append(s)
+                    count.append(n)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string()), pa.array(count, pa.int64())], ["id", "secret", "hits"])
+
+    kind = docs.schema[id].dataType.simpleString()
+    return docs.select(F.col(id).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {kind}, secret string, hits long")
+
+
 def match_known(docs: DataFrame, secrets: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (id, secret, hits) for the secrets that occur in a document."""
     out = None
-    kind = docs.schema[id].dataType.simpleString()
-    for turn, words in enumerate(_rounds(secrets)):
-        shared = docs.sparkSession.sparkContext.broadcast(words)
+    for words in _rounds(secrets):
+        part = _hits(docs, id, text, words, lambda a, w, t: [(w[i], n) for i, n in _counts(a, w, t).items()])
+        out = part if out is None else out.unionByName(part)
+    return out.withColumnRenamed("id", id)
+
+
+def _collected(packed: DataFrame, secrets: DataFrame, find, kind: str) -> DataFrame:
+    """``packed`` with ``found``, an array of ``kind``: what ``find`` gives in each round for an automaton, the secrets, a text and their number."""
+    rounds = list(_rounds(secrets)) if secrets is not None else []
+    out = packed.withColumn("found", F.array().cast(kind))
+    for turn, words in enumerate(rounds):
+        shared = packed.sparkSession.sparkContext.broadcast(words)
 
         def run(batches, shared=shared, key=(uuid.uuid4().int, turn)):
             automaton = _automaton(key, shared.value)
             for b in batches:
-                at, found, hits = [], [], []
-                for i, t in enumerate(b.column(1).to_pylist()):
-                    for s, n in sorted(_counts(automaton, shared.value, t or "").items()):
-                        at.append(i)
-                        found.append(shared.value[s])
-                        hits.append(n)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string()), pa.array(hits, pa.int64())], ["id", "secret", "hits"])
-
-        part = docs.select(F.col(id).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {kind}, secret string, hits long")
-        out = part if out is None else out.unionByName(part)
-    return out.withColumnRenamed("id", id)
+                old = b.column(2).to_pylist()
+                new = [x + find(automaton, shared.value, t, len(rounds)) if t else x for x, t in zip(old, b.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(new, b.schema.field(2).type)], ["row", "t", "found"])
+
+        out = out.mapInArrow(run, out.schema)
+    return out
 
 
 def alternation_hits(docs: DataFrame, secrets: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (id, secret, hits) as a literal matcher of all secrets at once finds them: leftmost, longest, none overlapping."""
-    words = next(_rounds(secrets))
-    shared = docs.sparkSession.sparkContext.broadcast(words)
-    key = (uuid.uuid4().int, 0)
-    kind = docs.schema[id].dataType.simpleString()
+
+    def spans(automaton, words, t, _):
+        return [{"start": e + 1 - len(words[i]), "secret": words[i]} for e, i in automaton.iter(t)] if words else []
+
+    rows = docs.select(F.struct(F.col(id).alias("id")).alias("row"), F.col(text).alias("t"))
+    found = _collected(rows, secrets, spans, "array<struct<start:bigint,secret:string>>").select("row.id", "found")
 
     def run(batches):
-        automaton = _automaton(key, shared.value)
         for b in batches:
-            at, found, hits = [], [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
+            at, out, hits = [], [], []
+            for i, all_spans in enumerate(b.column(1).to_pylist()):
                 seen: dict[str, int] = {}
                 last = 0
-                spans = sorted((e + 1 - len(shared.value[s]), -len(shared.value[s]), s) for e, s in automaton.iter(t or "")) if words else []
-                for start, n, s in spans:
+                for start, n, s in sorted((x["start"], -len(x["secret"]), x["secret"]) for x in all_spans):
                     if start >= last:
                         last = start - n
-                        seen[shared.value[s]] = seen.get(shared.value[s], 0) + 1
+                        seen[s] = seen.get(s, 0) + 1
                 for s, n in sorted(seen.items()):
                     at.append(i)
-                    found.append(s)
+                    out.append(s)
                     hits.append(n)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string()), pa.array(hits, pa.int64())], ["id", "secret", "hits"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(out, pa.string()), pa.array(hits, pa.int64())], ["id", "secret", "hits"])
+
+    kind = docs.schema[id].dataType.simpleString()
+    return found.mapInArrow(run, f"id {kind}, secret string, hits long").withColumnRenamed("id", id)
+
 
-    return docs.select(F.col(id).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {kind}, secret string, hits long").withColumnRenamed("id", id)
+def longest_first(secrets) -> list[str]:
+    """The order in which secrets are replaced: a longer one is gone before a part of it is looked for; then by text."""
+    return sorted(set(secrets), key=lambda s: (-len(s), s))
 
 
 def redact_line(text: str, present: list[str]) -> tuple[str, int]:
@@ -119,35 +158,56 @@ def redact_line(text: str, present: list[str]) -> tuple[str, int]:
     return text, n
 
 
+def _strings(value) -> Iterator[str]:
+    if isinstance(value, str):
+        yield value
+    elif isinstance(value, dict | list):
+        for v in value.values() if isinstance(value, dict) else value:
+            yield from _strings(v)
+
+
+def _decoded(text: str) -> Iterator[str]:
+    """Strings inside JSON lines that are written with escapes: a secret may only show in these."""
+    for line in text.splitlines():
+        if "\\" in line:
+            try:
+                yield from _strings(json.loads(line))
+            except (ValueError, RecursionError):
+                pass
+
+
 def redact_known(docs: DataFrame, secrets: DataFrame, text: str = "text", json_lines: bool = False) -> DataFrame:
     """``docs`` with its text redacted and ``redactions`` counted; ``json_lines``: values of JSON lines first, see ``redact.json_line``."""
     from .redact import json_line
 
-    for turn, words in enumerate(_rounds(secrets)):
-        shared = docs.sparkSession.sparkContext.broadcast(words)
-        columns = [c for c in docs.columns if c != "redactions"]
-        at, earlier = columns.index(text), docs.columns.index("redactions") if "redactions" in docs.columns else None
-        fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
+    def present(automaton, words, t, rounds):
+        found = set(_counts(automaton, words, t))
+        if json_lines and (found or rounds > 1):
+            for s in _decoded(t):
+                found.update(_counts(automaton, words, s))
+        return [words[i] for i in found]
 
-        def run(batches, shared=shared, key=(uuid.uuid4().int, turn), columns=columns, at=at, earlier=earlier):
-            automaton = _automaton(key, shared.value)
-            for b in batches:
-                new, count = [], []
-                sums = b.column(earlier).to_pylist() if earlier is not None else [0] * b.num_rows
-                for t, before in zip(b.column(at).to_pylist(), sums, strict=True):
-                    n = 0
-                    if t:
-                        present = [shared.value[i] for i in sorted(_counts(automaton, shared.value, t))]
-                        if json_lines:
-                            done = [json_line(line, present) for line in t.splitlines(keepends=True)] if present or "\\u" in t else [(t, 0)]
-                            t, n = "".join(x for x, _ in done), sum(k for _, k in done)
-                        elif present:
-                            t, n = redact_line(t, present)
-                    new.append(t)
-                    count.append(before + n)
-                names = [*columns, "redactions"]
-                arrays = [pa.array(new, pa.string()) if i == at else b.column(i) for i in range(len(columns))]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(count, pa.int64())], names)
-
-        docs = docs.select(*columns, *(["redactions"] if earlier is not None else [])).mapInArrow(run, fields + ", redactions long")
-    return docs
+    columns = [c for c in docs.columns if c != "redactions"]
+    at = columns.index(text)
+    docs = docs.select(*[F.col(f"`{c}`") for c in columns])
+    held = _collected(_packed(docs, text), secrets, present, "array<string>")
+
+    def run(batches):
+        for b in batches:
+            new, count = [], []
+            for t, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                n = 0
+                if found:
+                    ordered = longest_first(found)
+                    if json_lines:
+                        done = [json_line(line, ordered) for line in t.splitlines(keepends=True)]
+                        t, n = "".join(x for x, _ in done), sum(k for _, k in done)
+                    else:
+                        t, n = redact_line(t, ordered)
+                new.append(t)
+                count.append(n)
+            fields = b.column(0).flatten()
+            fields[at] = pa.array(new, pa.string())
+            yield pa.RecordBatch.from_arrays([*fields, pa.array(count, pa.int64())], [*columns, "redactions"])
+
+    return held.mapInArrow(run, T.StructType([*docs.schema, T.StructField("redactions", T.LongType())]))

@@ -22,21 +22,29 @@ _CANDIDATE = re.compile(K.ENTROPY_CANDIDATE)
 
 
 def redact_entropy(text: Column) -> Column:
-    """(text, count) with the candidates that look random replaced. Candidates fill whole runs, so each piece is one run or a gap."""
-    mark = F.regexp_replace(F.translate(text, "\x01\x02", "\x03\x03"), f"({K.ENTROPY_CANDIDATE})", "\x01$1\x02")
-    pieces = F.split(mark, "\x01")
-
-    def rewrite(p: Column) -> Column:
-        at = F.instr(p, "\x02")
-        value = F.substr(p, F.lit(1), at - 1)
-        return F.when(at == 0, F.struct(p.alias("t"), F.lit(0).alias("n"))).otherwise(
-            F.when(X.looks_random(value), F.struct(F.concat(F.lit(K.REDACTED), F.substr(p, at + 1)).alias("t"), F.lit(1).alias("n"))).otherwise(
-                F.struct(F.concat(value, F.substr(p, at + 1)).alias("t"), F.lit(0).alias("n"))
-            )
-        )
+    """(text, count) with the candidates that look random replaced; all other characters stay as they are."""
+    found = F.filter(X.find_spans(text, K.ENTROPY_CANDIDATE), lambda s: X.looks_random(F.substr(text, s["start"] + 1, s["end"] - s["start"])))
+    marked = lambda spans: F.transform(spans, lambda s: F.struct(s["start"], s["end"], F.lit(K.REDACTED).alias("placeholder")))
+    return X.let(found, lambda spans: F.struct(replace_spans(text, marked(spans)).alias("text"), F.size(spans).alias("count")))
+
+
+def redact_lines(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with vendor shapes replaced line by line and ``redactions``: what a stream that is cut at its newlines gives, in one row.
+
+    A line, its newline included, is searched if it is short or holds a marker, whatever the length of the text or of the line.
+    """
+
+    def one(line: Column, end: Column) -> Column:
+        look = (F.length(line) + end <= K.DIRECT_REGEX_CHARS) | X.has_marker(line)
+        n = F.when(look, F.regexp_count(line, F.lit(K.VENDOR_ANY))).otherwise(0)
+        return F.struct(F.when(look, F.regexp_replace(line, K.VENDOR_ANY, K.REDACTED)).otherwise(line).alias("t"), n.alias("n"))
 
-    done = F.transform(pieces, rewrite)
-    return F.struct(F.array_join(F.transform(done, lambda d: d["t"]), "").alias("text"), F.aggregate(done, F.lit(0), lambda a, d: a + d["n"]).alias("count"))
+    def whole(lines: Column) -> Column:
+        return F.transform(lines, lambda line, i: one(line, F.when(i + 1 < F.size(lines), 1).otherwise(0)))
+
+    df = df.withColumn("_lines", X.let(F.split(text, "\n"), whole))
+    total = F.aggregate("_lines", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    return df.withColumns({text: F.array_join(F.transform("_lines", lambda x: x["t"]), "\n"), "redactions": F.coalesce(total, F.lit(0))}).drop("_lines")
 
 
 def redact_short_text(df: DataFrame, text: str = "text", secrets: list[str] | None = None, high_entropy: bool = False) -> DataFrame:
@@ -169,25 +177,34 @@ def survivors(docs: DataFrame, secrets: DataFrame, id: str = "doc_id", text: str
 
 def placeholders(spans: Column, text: Column) -> Column:
     """For resolved spans the same in order with ``value`` and ``placeholder``: values of a label are numbered from the last one back."""
-    valued = F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["label"], F.substr(text, s["start"] + 1, s["end"] - s["start"]).alias("value")))
+    part = lambda s: F.substr(text, s["start"] + 1, s["end"] - s["start"])
 
-    def number(s: Column) -> Column:
-        # Numbered from the right: how many values of the label are seen at or after the last place of this one.
-        last = lambda x: F.array_max(F.transform(F.filter(valued, lambda y: (y["label"] == x["label"]) & (y["value"] == x["value"])), lambda y: y["start"]))
-        mine = last(s)
-        later = F.filter(valued, lambda y: (y["label"] == s["label"]) & (y["start"] >= mine))
-        return F.size(F.array_distinct(F.transform(later, lambda y: y["value"])))
+    def numbered(valued: Column) -> Column:
+        # Each value once, by its last place; then a number is a place among those of its label.
+        keyed = F.transform(F.reverse(valued), lambda s: F.struct(s["label"], s["value"]))
 
-    return F.transform(
-        valued, lambda s: F.struct(s["start"], s["end"], s["label"], s["value"], F.concat(F.lit("["), s["label"], F.lit("_"), number(s).cast("string"), F.lit("]")).alias("placeholder"))
-    )
+        def number(of: Column) -> Column:
+            def mine(s: Column) -> Column:
+                same = F.filter(of, lambda y: y["label"] == s["label"])
+                return F.array_position(same, F.struct(s["label"], s["value"]))
+
+            return F.transform(
+                valued,
+                lambda s: F.struct(s["start"], s["end"], s["label"], s["value"], F.concat(F.lit("["), s["label"], F.lit("_"), mine(s).cast("string"), F.lit("]")).alias("placeholder")),
+            )
+
+        return X.let(F.array_distinct(keyed), number)
+
+    return X.let(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"), part(s).alias("value"))), numbered)
 
 
 def replace_spans(text: Column, spans: Column) -> Column:
     """Text with each span's placeholder in its place; spans are in order and do not overlap."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    add = lambda s, x: F.struct(
-        x["end"].alias("at"), F.concat(s["out"], F.substr(text, s["at"] + 1, x["start"] - s["at"]), x["placeholder"]).alias("out")
-    )
-    done = F.aggregate(spans, start, add)
-    return F.concat(done["out"], F.substr(text, done["at"] + 1))
+
+    def cut(ordered: Column) -> Column:
+        before = lambda i: F.when(i == 0, 0).otherwise(F.element_at(ordered, F.greatest(i, F.lit(1)))["end"])
+        pieces = F.transform(ordered, lambda s, i: F.concat(F.substr(text, before(i) + 1, s["start"] - before(i)), s["placeholder"]))
+        rest = F.when(F.size(ordered) > 0, F.substr(text, F.element_at(ordered, -1)["end"] + 1)).otherwise(text)
+        return F.concat(F.array_join(pieces, ""), rest)
+
+    return X.let(spans, cut)

@@ -42,19 +42,31 @@ def invalidate(cache: DataFrame, paths: DataFrame) -> DataFrame:
 # Snapshots -----------------------------------------------------------------------------------------------------------
 
 
+def _key(spark: SparkSession, key: str) -> DataFrame:
+    """The key as a table of one row, which is broadcast: as a literal it would stand in plans, event logs and the web page."""
+    import pyarrow as pa
+
+    rows = pa.table({"_one": pa.array([1], pa.int32()), "_key": pa.array([bytes.fromhex(key)], pa.binary())})
+    return F.broadcast(spark.createDataFrame(rows))
+
+
 def snapshot(df: DataFrame, changed: DataFrame, id: str, path: str, key: str | None = None) -> None:
-    """Write the rows that are about to change, whole, and their text encrypted if a key is given."""
+    """Write the rows that are about to change, whole: with a key, all columns but ``id`` encrypted as one JSON value."""
     rows = df.join(changed.select(id).distinct(), id, "left_semi")
     if key is not None:
-        rows = rows.withColumn("text", F.base64(F.aes_encrypt(F.col("text").cast("binary"), F.unhex(F.lit(key)), F.lit("GCM"))))
+        whole = F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"})
+        rows = rows.select(id, whole.alias("_row"), F.lit(1).alias("_one")).join(_key(df.sparkSession, key), "_one")
+        rows = rows.select(id, F.base64(F.aes_encrypt(F.col("_row").cast("binary"), F.col("_key"), F.lit("GCM"))).alias("_row"))
     rows.write.mode("errorifexists").parquet(path)
 
 
 def restore(spark: SparkSession, df: DataFrame, path: str, id: str, key: str | None = None) -> DataFrame:
     """``df`` with the text of every row that the snapshot holds as it was."""
     old = spark.read.parquet(path)
-    text = F.col("text") if key is None else F.aes_decrypt(F.unbase64("text"), F.unhex(F.lit(key)), F.lit("GCM")).cast("string")
-    return put_back(df, old.select(id, text.alias("text")), id)
+    if key is not None:
+        plain = F.aes_decrypt(F.unbase64("_row"), F.col("_key"), F.lit("GCM")).cast("string")
+        old = old.withColumn("_one", F.lit(1)).join(_key(spark, key), "_one").select(id, F.from_json(plain, "text string")["text"].alias("text"))
+    return put_back(df, old.select(id, "text"), id)
 
 
 def put_back(df: DataFrame, old: DataFrame, id: str) -> DataFrame:
@@ -71,13 +83,31 @@ def backup_entries(names: DataFrame) -> DataFrame:
     return out.withColumns({"partial": F.regexp_extract("name", m, 2) != "", "encrypted": F.regexp_extract("name", m, 3) != ""})
 
 
+def known_backups(names: DataFrame, targets: DataFrame) -> DataFrame:
+    """Well-formed backups of the given targets, with their root, newest first; those of other tools are not listed."""
+    found = backup_entries(names).join(F.broadcast(targets.select("tool", "root", "ordinal")), "tool")  # a fixed registry
+    first = found.groupBy("tool", "name", "created", "partial", "encrypted").agg(F.min_by("root", "ordinal").alias("root"))
+    return first.orderBy(F.desc("created"), "tool", F.desc("name"))
+
+
+def stale_logs(logs: DataFrame, keep: int = 30) -> DataFrame:
+    """Of log files (name, modified) those to delete: all summaries, and what is older than the newest ``keep`` reports and ``keep`` logs."""
+    name = F.col("name")
+    kind = F.when(F.rlike(name, F.lit(r"^scan-.*-summary\.txt$")), "summary").when(F.rlike(name, F.lit(r"^scan-.*\.txt$")), "report").when(F.endswith(name, F.lit(".log")), "log")
+    rows = logs.withColumn("_kind", kind).where("_kind is not null")
+    place = F.row_number().over(Window.partitionBy("_kind").orderBy(F.desc("modified"), F.desc("name")))
+    return rows.withColumn("_place", place).where((F.col("_kind") == "summary") | (F.col("_place") > keep)).drop("_kind", "_place")
+
+
 def newest(entries: DataFrame, n: int, *keys: str) -> DataFrame:
     """The newest ``n`` of each group; what is not among them is to be deleted."""
     return entries.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("created"), F.desc("name")))).where(F.col("_r") <= n).drop("_r")
 
 
 def restore_points(entries: DataFrame) -> DataFrame:
-    return entries.groupBy("created").agg(F.sort_array(F.collect_set("tool")).alias("tools"), F.max("partial").alias("partial"))
+    """One row a run, newest first."""
+    points = entries.groupBy("created").agg(F.sort_array(F.collect_set("tool")).alias("tools"), F.max("partial").alias("partial"))
+    return points.orderBy(F.desc("created"))
 
 
 def age(created: Column, now: Column) -> Column:

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as X
 from ..operators import detect, findings, known, redact, state
+from ..sources import files as trees
 from ..sources import registry
+from ..sources.shared import durable, new_path
 from ..sources.tables import PLANTED_SQL, planted, table
 from ..streaming import text as streams
 from . import sql as S
@@ -73,13 +73,12 @@ def pii_pages_rollup(spark, sf_dir):
 
 
 def _resolved(spark, sf_dir) -> DataFrame:
-    docs = planted(spark, sf_dir)
-    return docs.withColumn("spans", detect.resolve(detect.pii_spans(F.col("text"))))
+    return planted(spark, sf_dir).withColumn("spans", X.let(F.col("text"), lambda t: detect.resolve(detect.pii_spans(t))))
 
 
 @query("pii_spans_resolved", f'{S.RESOLVED} SELECT doc_id, label, s AS "start", e AS "end", sha256(v) AS value_hash FROM resolved')
 def pii_spans_resolved(spark, sf_dir):
-    rows = _resolved(spark, sf_dir).select("doc_id", "text", F.explode("spans").alias("s"))
+    rows = detect.exploded(_resolved(spark, sf_dir), ("doc_id", "text"), F.col("spans"), "s")
     value = F.substr("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
     return rows.select("doc_id", "s.label", long(F.col("s.start")).alias("start"), long(F.col("s.end")).alias("end"), F.sha2(value, 256).alias("value_hash"))
 
@@ -93,7 +92,7 @@ numbered AS (
 
 @query("pii_placeholders", f'{_NUMBERED} SELECT doc_id, s AS "start", placeholder, sha256(v) AS value_hash FROM numbered')
 def pii_placeholders(spark, sf_dir):
-    rows = _resolved(spark, sf_dir).withColumn("p", redact.placeholders(F.col("spans"), F.col("text"))).select("doc_id", F.explode("p").alias("p"))
+    rows = detect.exploded(_resolved(spark, sf_dir), ("doc_id",), redact.placeholders(F.col("spans"), F.col("text")), "p")
     return rows.select("doc_id", long(F.col("p.start")).alias("start"), "p.placeholder", F.sha2("p.value", 256).alias("value_hash"))
 
 
@@ -111,6 +110,13 @@ def pii_redacted_text(spark, sf_dir):
     return rows.select("doc_id", redact.replace_spans(F.col("text"), F.col("p")).alias("text"))
 
 
+@query("pii_exit_status", f"{S.RESOLVED} SELECT p.doc_id, count(r.s) AS spans, CASE WHEN count(r.s) > 0 THEN 2 ELSE 0 END AS status FROM planted p LEFT JOIN resolved r ON r.doc_id = p.doc_id GROUP BY p.doc_id")
+def pii_exit_status(spark, sf_dir):
+    """What a check of each text would end with: 2 if personal data was found."""
+    rows = _resolved(spark, sf_dir).select("doc_id", F.size("spans").cast("long").alias("spans"))
+    return rows.withColumn("status", F.when(F.col("spans") > 0, 2).otherwise(0))
+
+
 @query("text_normalize", "SELECT conv_id, turn, strip_accents(lower(text)) AS text FROM conversations")
 def text_normalize(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", detect.normalize("text")["text"].alias("text"))
@@ -202,13 +208,16 @@ def entropy_scores(spark, sf_dir):
 @query(
     "entropy_redact",
     f"""WITH {PLANTED_SQL},
-c AS (SELECT doc_id, v FROM (SELECT doc_id, unnest(regexp_extract_all(text, {S.q(S.RUN)})) AS v FROM planted) WHERE {S.CANDIDATE})
-SELECT p.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS redactions FROM planted p
-LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE {S.RANDOM}) AS n FROM c GROUP BY doc_id) r ON r.doc_id = p.doc_id""",
+pieces AS (
+  SELECT doc_id, k, v, {S.CANDIDATE} AND {S.RANDOM} AS hit
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, {S.q(S.RUN + '|' + S.NO_RUN)})) AS v, generate_subscripts(regexp_extract_all(text, {S.q(S.RUN + '|' + S.NO_RUN)}), 1) AS k FROM planted)
+)
+SELECT p.doc_id, sha256(CASE WHEN p.text IS NULL THEN NULL ELSE coalesce(t, '') END) AS text_hash, CAST(coalesce(n, 0) AS BIGINT) AS redactions FROM planted p
+LEFT JOIN (SELECT doc_id, string_agg(CASE WHEN hit THEN '{K.REDACTED}' ELSE v END, '' ORDER BY k) AS t, count(*) FILTER (WHERE hit) AS n FROM pieces GROUP BY doc_id) r ON r.doc_id = p.doc_id""",
 )
 def entropy_redact(spark, sf_dir):
-    """Counts; the rewritten text itself is held against Python in the tests."""
-    return planted(spark, sf_dir).withColumn("e", redact.redact_entropy(F.col("text"))).select("doc_id", long(F.col("e.count")).alias("redactions"))
+    rows = planted(spark, sf_dir).withColumn("e", X.let(F.col("text"), redact.redact_entropy))
+    return rows.select("doc_id", F.sha2("e.text", 256).alias("text_hash"), F.coalesce(long(F.col("e.count")), F.lit(0)).alias("redactions"))
 
 
 # Secrets, labels, findings -------------------------------------------------------------------------------------------
@@ -216,7 +225,7 @@ def entropy_redact(spark, sf_dir):
 
 def _vendor_secrets(spark, sf_dir) -> DataFrame:
     found = detect.vendor_matches(planted(spark, sf_dir), "doc_id").where(X.good_secret(F.col("secret")))
-    return found.groupBy("secret").agg(F.min("label").alias("raw_label")).cache()  # a few columns of the matches, used several times
+    return durable(found.groupBy("secret").agg(F.min("label").alias("raw_label")))  # used several times
 
 
 def _findings(spark, sf_dir) -> DataFrame:
@@ -233,9 +242,17 @@ def secrets_distinct(spark, sf_dir):
     return out.select(X.secret_hash(F.col("secret")).alias("secret_hash"), "label", "hits", "files")
 
 
-@query("secret_min_quality", "SELECT c_custkey, length(c_mktsegment) >= 8 AND NOT regexp_matches(c_mktsegment, '^\\s+$') AS good FROM customer")
+@query(
+    "secret_min_quality",
+    f"{S.MATCHES} SELECT doc_id, n, length(s) >= 8 AND NOT regexp_matches(s, '^\\s+$') AS good FROM (SELECT doc_id, CAST(n AS BIGINT) AS n, CASE WHEN n % 2 = 0 THEN substr(secret, 1, n) ELSE repeat(' ', n) END AS s "
+    "FROM (SELECT DISTINCT doc_id, secret FROM matches), (SELECT unnest([1, 6, 7, 8, 9, 40]) AS n))",
+)
 def secret_min_quality(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", X.good_secret(F.col("c_mktsegment")).alias("good"))
+    """Fronts of vendor tokens, and blanks, of lengths about the least."""
+    rows = detect.vendor_matches(planted(spark, sf_dir), "doc_id").select("doc_id", "secret").distinct()
+    rows = rows.withColumn("n", F.explode(F.array(*map(F.lit, (1, 6, 7, 8, 9, 40)))))
+    cut = F.when(F.col("n") % 2 == 0, F.substr("secret", F.lit(1), F.col("n"))).otherwise(F.repeat(F.lit(" "), F.col("n")))
+    return rows.select("doc_id", long(F.col("n")).alias("n"), X.good_secret(cut).alias("good"))
 
 
 _RAW = sorted({x for raws in K.LABELS.values() for x in raws} | {x.upper() for raws in K.LABELS.values() for x in raws[:1]})
@@ -263,6 +280,19 @@ def label_low_signal(spark, sf_dir):
     return _raw_labels(spark).select("id", X.is_low_signal(F.col("raw")).alias("low_signal"))
 
 
+@query("label_titles", f"SELECT CAST(id AS BIGINT) AS id, {S.title_label('raw')} AS title FROM {S.values(_RAW_ROWS, 'id', 'raw')}")
+def label_titles(spark, sf_dir):
+    return _raw_labels(spark).select("id", X.title_label(F.col("raw")).alias("title"))
+
+
+_MARKED = [(i, x) for i, x in enumerate(["plain", "[red]x[/red]", "a [b c] d", "[1] [A] []", "\\\\[dim]", "[@x][#y]", "x[", "[bold", "é [italic on blue]ü[/]"])]
+
+
+@query("markup_escaped", f"SELECT CAST(id AS BIGINT) AS id, regexp_replace(raw, '(\\\\*)(\\[[a-z#/@][^\\[]*?\\])', '\\1\\1\\\\\\2', 'g') AS shown FROM {S.values(_MARKED, 'id', 'raw')}")
+def markup_escaped(spark, sf_dir):
+    return spark.createDataFrame(_MARKED, "id long, raw string").select("id", X.escape_markup(F.col("raw")).alias("shown"))
+
+
 @query("detector_union", f"""{S.MATCHES},
 rows AS (
   SELECT secret, label AS raw_label, 'bank' AS detector, 1 AS priority FROM matches
@@ -298,9 +328,14 @@ def findings_proof(spark, sf_dir):
     return _findings(spark, sf_dir).select("doc_id", "proof", parts["kind"].alias("kind"), F.translate(parts["hash"], "#", "").alias("short_hash"))
 
 
-@query("findings_alternation")
+@query(
+    "findings_alternation",
+    f"""{S.FINDINGS}, bank AS (SELECT string_agg(regexp_escape(secret), '|' ORDER BY length(secret) DESC, secret) AS pattern FROM secrets),
+hits AS (SELECT doc_id, unnest(regexp_extract_all(text, pattern)) AS secret FROM planted, bank WHERE pattern IS NOT NULL)
+SELECT doc_id, sha256(secret) AS secret_hash, count(*) AS hits FROM hits GROUP BY doc_id, secret""",
+)
 def findings_alternation(spark, sf_dir):
-    """Hits as one literal matcher of all secrets counts them; held against brute force in the tests."""
+    """Hits as one literal matcher of all secrets counts them."""
     docs, secrets = planted(spark, sf_dir), _vendor_secrets(spark, sf_dir)
     return known.alternation_hits(docs, secrets).select("doc_id", X.secret_hash(F.col("secret")).alias("secret_hash"), "hits")
 
@@ -333,6 +368,30 @@ def type_rollup(spark, sf_dir):
     return findings.rollup(_findings(spark, sf_dir).where(~F.col("low_signal")), "type")
 
 
+@query(
+    "report_sources",
+    f"{S.FINDINGS}, f AS (SELECT source, doc_id, count(*) FILTER (WHERE NOT low_signal) AS c, coalesce(sum(hits) FILTER (WHERE NOT low_signal), 0) AS h FROM findings GROUP BY source, doc_id) "
+    "SELECT source, count(*) AS files, CAST(sum(c) AS BIGINT) AS findings, CAST(sum(h) AS BIGINT) AS hits FROM f GROUP BY source",
+)
+def report_sources(spark, sf_dir):
+    return findings.report_sources(_findings(spark, sf_dir))
+
+
+@query(
+    "report_patterns",
+    f"{S.FINDINGS} SELECT type, count(DISTINCT doc_id) AS files, CAST(sum(hits) AS BIGINT) AS hits FROM findings WHERE NOT low_signal GROUP BY type ORDER BY 2 DESC, 3 DESC, lower(type), type LIMIT 20",
+)
+def report_patterns(spark, sf_dir):
+    return findings.report_patterns(_findings(spark, sf_dir))
+
+
+@query("findings_in_file_order", f"{S.FINDINGS} SELECT doc_id, sha256(secret) AS secret_hash, row_number() OVER (PARTITION BY doc_id ORDER BY raw_label, sha256(secret)) AS place FROM found")
+def findings_in_file_order(spark, sf_dir):
+    docs, secrets = planted(spark, sf_dir), _vendor_secrets(spark, sf_dir)
+    typed = findings.with_types(known.match_known(docs, secrets), secrets)
+    return findings.in_file_order(typed).select("doc_id", X.secret_hash(F.col("secret")).alias("secret_hash"), "place")
+
+
 @query(
     "target_rollup",
     f"{S.FINDINGS} SELECT source, count(*) AS scanned, count(*) FILTER (WHERE f) AS flagged, round(100.0 * count(*) FILTER (WHERE f) / count(*), 6) AS share "
@@ -383,7 +442,7 @@ def top_exposed(spark, sf_dir):
     "SELECT *, row_number() OVER (ORDER BY credential_findings DESC, credential_hits DESC, hits DESC, doc_id) AS place FROM s",
 )
 def report_priority(spark, sf_dir):
-    return findings.report_order(_findings(spark, sf_dir)).withColumn("place", long(F.col("place")))
+    return findings.report_order(_findings(spark, sf_dir))
 
 
 @query(
@@ -423,7 +482,7 @@ def literal_redact(spark, sf_dir):
 
 @query(
     "redaction_counts",
-    f"{_LITERAL} SELECT doc_id, CAST((length(text) - length(replace(text, '{K.REDACTED}', ''))) // {len(K.REDACTED)} - (length(before) - length(replace(before, '{K.REDACTED}', ''))) // {len(K.REDACTED)} AS BIGINT) AS redactions FROM done",
+    f"{_LITERAL} SELECT doc_id, CAST(coalesce((length(text) - length(replace(text, '{K.REDACTED}', ''))) // {len(K.REDACTED)} - (length(before) - length(replace(before, '{K.REDACTED}', ''))) // {len(K.REDACTED)}, 0) AS BIGINT) AS redactions FROM done",
 )
 def redaction_counts(spark, sf_dir):
     """A dry run: the counts without the texts."""
@@ -436,11 +495,27 @@ def redact_verify(spark, sf_dir):
     return redact.survivors(_redacted(spark, sf_dir), secrets)
 
 
-@query("jsonl_redact")
+@query(
+    "redact_verify_partly",
+    f"{_LITERAL} SELECT DISTINCT doc_id FROM found WHERE {S.high_precision(S.short_label('raw_label'))} AND raw_label <> 'GitHub Token'",
+)
+def redact_verify_partly(spark, sf_dir):
+    """Only the tokens of one label are rewritten, so the others must be found."""
+    secrets = durable(_vendor_secrets(spark, sf_dir).where(X.is_high_precision(X.short_label(F.col("raw_label")))))
+    return redact.survivors(known.redact_known(planted(spark, sf_dir), secrets.where("raw_label = 'GitHub Token'")), secrets)
+
+
+@query(
+    "jsonl_redact",
+    """SELECT conv_id, turn, CASE WHEN text IS NULL THEN '{' || coalesce('"role":' || CAST(to_json(role) AS VARCHAR), '') || '}'
+  ELSE '{' || coalesce('"role": ' || CAST(to_json(role) AS VARCHAR) || ', ', '') || '"content": ' || CAST(to_json('key [REDACTED] ' || text) AS VARCHAR) || '}' END AS line,
+  CAST(CASE WHEN text IS NULL THEN 0 ELSE 1 END AS BIGINT) AS redactions FROM conversations""",
+)
 def jsonl_redact(spark, sf_dir):
-    """Turns as JSON lines, a frequent word taken for a secret; held against golden lines in the tests."""
-    rows = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", F.to_json(F.struct("role", F.concat(F.lit("key ghp_"), F.md5("text"), F.lit(" "), F.col("text")).alias("content"))).alias("line"))
-    secrets = detect.vendor_matches(rows, text="line").select("secret")
+    """Turns as JSON lines, each with a token in its content; lines without text have none and stay as they are."""
+    token = F.concat(F.lit("key ghp_"), F.md5("text"), F.lit(" "), F.col("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.to_json(F.struct("role", token.alias("content"))).alias("line"))
+    secrets = durable(detect.vendor_matches(rows, text="line").select("secret").distinct())
     return known.redact_known(rows, secrets, "line", json_lines=True)
 
 
@@ -566,7 +641,7 @@ def path_shortened(spark, sf_dir):
 
 # State ---------------------------------------------------------------------------------------------------------------
 
-_FILES_SQL = """files AS (SELECT 'd/' || doc_id AS path, doc_id * 10 AS mtime_ns, length(text) AS size, sha256(text) AS digest FROM documents WHERE text IS NOT NULL),
+_FILES_SQL = """files AS (SELECT 'd/' || doc_id AS path, doc_id * 10 AS mtime_ns, length(text) AS size, sha256(text) AS digest FROM documents),
 cache AS (
   SELECT path, CASE WHEN n % 5 = 1 THEN mtime_ns - 1 ELSE mtime_ns END AS mtime_ns, size, CASE WHEN n % 5 = 2 THEN 'old' ELSE digest END AS digest, 100 AS cached_at,
     CASE WHEN n % 7 = 3 THEN 'f0' ELSE 'f1' END AS fingerprint
@@ -575,7 +650,7 @@ cache AS (
 
 
 def _state(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents").where("text is not null")
+    docs = table(spark, sf_dir, "documents")
     files = docs.select("doc_id", F.concat(F.lit("d/"), F.col("doc_id")).alias("path"), (F.col("doc_id") * 10).alias("mtime_ns"), long(F.length("text")).alias("size"), state.digest(F.col("text")).alias("digest"))
     n = F.col("doc_id")
     cache = files.where(n % 5 != 4).select(
@@ -623,12 +698,16 @@ _BACKUPS_SQL = """b AS (
 )"""
 
 
-def _backups(spark, sf_dir) -> DataFrame:
+def _backup_names(spark, sf_dir) -> DataFrame:
     id = F.col("event_id")
     name = F.concat(
         F.date_format("ts", "yyyyMMdd-HHmmss"), F.when(id % 4 == 0, ".partial").otherwise(""), F.lit(".tar.gz"), F.when(id % 3 == 0, "").otherwise(".enc"), F.when(id % 11 == 0, ".txt").otherwise("")
     )
-    return state.backup_entries(table(spark, sf_dir, "events").select(F.concat(F.lit("s"), (id % 9).cast("string")).alias("tool"), name.alias("name")).distinct())
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("s"), (id % 9).cast("string")).alias("tool"), name.alias("name")).distinct()
+
+
+def _backups(spark, sf_dir) -> DataFrame:
+    return state.backup_entries(_backup_names(spark, sf_dir))
 
 
 @query("backup_rotation", f"WITH {_BACKUPS_SQL} SELECT tool, name FROM (SELECT DISTINCT tool, name, created FROM b WHERE good) QUALIFY row_number() OVER (PARTITION BY tool ORDER BY created DESC, name DESC) <= 3")
@@ -642,12 +721,39 @@ def restore_points(spark, sf_dir):
     return out.select(F.date_format("created", "yyyy-MM-dd HH:mm:ss").alias("created"), F.array_join("tools", ",").alias("tools"), "partial")
 
 
-@query("restore_snapshot", f"WITH {PLANTED_SQL} SELECT doc_id, text FROM planted")
+@query("restore_snapshot", f"{_LITERAL} SELECT doc_id, before AS text, coalesce(before <> text, false) AS was_changed FROM done")
 def restore_snapshot(spark, sf_dir):
-    """Redact, then put the changed rows back from their originals: the corpus as it was."""
-    changed = _redacted(spark, sf_dir)
-    old = planted(spark, sf_dir).join(changed.where("redactions > 0").select("doc_id"), "doc_id", "left_semi")
-    return state.put_back(changed.select("doc_id", "text"), old.select("doc_id", "text"), "doc_id")
+    """Redact, save the rows that change to an encrypted snapshot, put them back from it: the corpus as it was, and which rows had changed."""
+    docs, changed = planted(spark, sf_dir).select("doc_id", "text"), durable(_redacted(spark, sf_dir).select("doc_id", "text", "redactions"))
+    path, key = new_path(spark, "snapshot"), "000102030405060708090a0b0c0d0e0f101112131415161718191a1b1c1d1e1f"
+    state.snapshot(docs, changed.where("redactions > 0"), "doc_id", path, key)
+    return state.restore(spark, changed, path, "doc_id", key).select("doc_id", "text", (F.col("redactions") > 0).alias("was_changed"))
+
+
+@query(
+    "known_backups",
+    f"WITH {_BACKUPS_SQL} SELECT DISTINCT tool, name, '/h/' || tool AS root FROM b WHERE good AND tool IN ('s1', 's3', 's8')",
+)
+def known_backups(spark, sf_dir):
+    """Backups of the tools s1, s3 and s8 only."""
+    names = _backup_names(spark, sf_dir)
+    targets = spark.createDataFrame([(t, f"/h/{t}", [], [], [], i, 0) for i, t in enumerate(("s1", "s3", "s8"))], registry.SCHEMA)
+    return state.known_backups(names, targets).select("tool", "name", "root")
+
+
+_LOGS_SQL = """logs AS (SELECT event_id, ts, CASE event_id % 5 WHEN 0 THEN 'scan-' || event_id || '-summary.txt' WHEN 1 THEN 'scan-' || event_id || '.txt' WHEN 2 THEN 'scan-' || event_id || '-full.txt' WHEN 3 THEN 'cron-' || event_id || '.log' ELSE 'notes-' || event_id || '.txt' END AS name FROM events)"""
+
+
+@query(
+    "log_rotation",
+    f"""WITH {_LOGS_SQL}, kinds AS (SELECT *, CASE event_id % 5 WHEN 0 THEN 's' WHEN 3 THEN 'l' ELSE 'r' END AS kind FROM logs WHERE event_id % 5 <> 4)
+SELECT name FROM kinds QUALIFY kind = 's' OR row_number() OVER (PARTITION BY kind ORDER BY ts DESC, name DESC) > 30""",
+)
+def log_rotation(spark, sf_dir):
+    id = F.col("event_id")
+    made = lambda front, end: F.concat(F.lit(front), id.cast("string"), F.lit(end))
+    name = F.when(id % 5 == 0, made("scan-", "-summary.txt")).when(id % 5 == 1, made("scan-", ".txt")).when(id % 5 == 2, made("scan-", "-full.txt")).when(id % 5 == 3, made("cron-", ".log")).otherwise(made("notes-", ".txt"))
+    return state.stale_logs(table(spark, sf_dir, "events").select(name.alias("name"), F.col("ts").alias("modified"))).select("name")
 
 
 @query("backup_age", "SELECT event_id, CASE d WHEN 0 THEN 'today' WHEN 1 THEN 'yesterday' ELSE d || 'd ago' END AS age FROM (SELECT event_id, CAST(floor((epoch(TIMESTAMP '2024-06-01 12:00:00') - floor(epoch(ts))) / 86400) AS BIGINT) AS d FROM events)")
@@ -680,14 +786,78 @@ def target_skip(spark, sf_dir):
     return files.join(todo, "path", "left").groupBy(tool.alias("tool")).agg(F.bool_or(F.coalesce("_todo", F.lit(False))).alias("needs_scan"))
 
 
+# Trees -----------------------------------------------------------------------------------------------------------------
+
+_TREE_SQL = f"""place AS (
+  SELECT doc_id, ({_LIST([t[1] for t in _TARGETS] + ['/srv/other'])})[doc_id % {len(_TARGETS) + 1} + 1] || '/' || ({_LIST(_DIRS)})[doc_id // 3 % {len(_DIRS)} + 1] || '/' || doc_id || '/' || ({_LIST(_NAMES)})[doc_id // 7 % {len(_NAMES)} + 1] AS path
+  FROM documents),
+tree AS (
+  SELECT place.doc_id, path, text, doc_id % 10 = 3 AS nul, doc_id % 10 = 7 AS bad, octet_length(encode(coalesce(text, ''))) AS bytes,
+    (starts_with(path, '{_HOME}/') AND (substr(path, {len(_HOME) + 2}) IN {S.in_list(K.MANAGED_FILES)} OR starts_with(path, '{_HOME}/{K.MANAGED_FOLDER}/')))
+    OR len(list_filter({_LIST(K.MANAGED_TAILS)}, lambda t: ends_with(path, '/' || t))) > 0 OR string_split(path, '/')[-1] = '{K.MANAGED_NAME}' AS managed
+  FROM place JOIN planted USING (doc_id) WHERE len(list_filter({_LIST(K.BINARY_SUFFIXES)}, lambda s: ends_with(path, s))) = 0),
+scanned AS (
+  SELECT * FROM tree t WHERE managed OR (NOT nul AND NOT (bad AND bytes < {K.SNIFF_BYTES}) AND EXISTS (SELECT 1 FROM {_TARGET_SQL} WHERE starts_with(path, root || '/')
+    AND NOT list_has_any(string_split(substr(path, length(root) + 1), '/'), dirs)
+    AND NOT (list_contains(files, string_split(path, '/')[-1]) OR len(list_filter(suffixes, lambda s: ends_with(path, s))) > 0))))"""
+
+
+def _tree(spark, sf_dir) -> DataFrame:
+    """The planted corpus as files below the targets and beside them: one in ten starts with a NUL, one in ten ends with a bad byte."""
+    pick = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), (i % len(xs) + 1).cast("int"))
+    id = F.col("doc_id")
+    path = F.concat_ws("/", pick([t[1] for t in _TARGETS] + ["/srv/other"], id), pick(_DIRS, F.floor(id / 3)), id.cast("string"), pick(_NAMES, F.floor(id / 7)))
+    body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    content = F.when(id % 10 == 3, F.concat(F.lit(b"\x00"), body)).when(id % 10 == 7, F.concat(body, F.lit(b"\xff"))).otherwise(body)
+    return planted(spark, sf_dir).select(path.alias("path"), F.lit(0).cast("timestamp").alias("modified"), long(F.octet_length(content)).alias("size"), content.alias("content"))
+
+
+def _scanned(spark, sf_dir) -> DataFrame:
+    return trees.scanned(_tree(spark, sf_dir), _targets(spark), _HOME)
+
+
+@query("tree_scan", f"WITH {PLANTED_SQL}, {_TREE_SQL} SELECT path, managed, length(coalesce(text, '')) + CASE WHEN nul OR bad THEN 1 ELSE 0 END AS chars FROM scanned")
+def tree_scan(spark, sf_dir):
+    """What is read of a tree: left out by folder or by name, binary by name or by their first bytes, and managed files all the same."""
+    return _scanned(spark, sf_dir).select("path", "managed", long(F.length("text")).alias("chars"))
+
+
+def _tree_findings(spark, sf_dir) -> DataFrame:
+    secrets = _vendor_secrets(spark, sf_dir)
+    read = _scanned(spark, sf_dir)
+    found = findings.findings(findings.with_types(known.match_known(read, secrets, "path"), secrets), "path")
+    return found.join(read.select("path", "managed"), "path")
+
+
+@query("tree_preserved", f"{S.FINDINGS}, {_TREE_SQL} SELECT managed, count(DISTINCT path) AS files, count(*) AS findings, CAST(sum(hits) AS BIGINT) AS hits FROM findings JOIN scanned USING (doc_id) GROUP BY managed")
+def tree_preserved(spark, sf_dir):
+    """Flagged files that may be rewritten, and managed ones that are reported and kept."""
+    total = lambda f, managed: f.agg(F.count_distinct("path").alias("files"), F.count(F.lit(1)).alias("findings"), F.sum("hits").alias("hits")).select(F.lit(managed).alias("managed"), "*").where("files > 0")
+    flagged, kept = findings.preserved(durable(_tree_findings(spark, sf_dir)))
+    return total(flagged, False).unionByName(total(kept, True))
+
+
+@query(
+    "source_labels",
+    f"""WITH {PLANTED_SQL}, {_TREE_SQL} SELECT path, coalesce(min_by(tool, ordinal), CASE WHEN starts_with(path, '{_HOME}/') THEN 'Managed credentials' ELSE '?' END) AS source,
+  coalesce(min_by(substr(path, length(root) + 2), ordinal), CASE WHEN starts_with(path, '{_HOME}/') THEN substr(path, {len(_HOME) + 2}) ELSE path END) AS relative
+FROM (SELECT path FROM tree UNION SELECT '{_HOME}/.claude.json') LEFT JOIN {_TARGET_SQL} ON starts_with(path, root || '/') GROUP BY path""",
+)
+def source_labels(spark, sf_dir):
+    paths = _tree(spark, sf_dir).where(~trees.is_binary_name(F.col("path"))).select("path").union(spark.createDataFrame([(f"{_HOME}/.claude.json",)], "path string"))
+    return registry.labels(paths, _targets(spark), _HOME)
+
+
 @query(
     "redaction_totals",
-    f"WITH {_FILES_SQL} SELECT CAST(sum(size % 4) FILTER (WHERE size % 11 <> 0) AS BIGINT) AS redactions, count(*) FILTER (WHERE size % 11 = 0) AS errors FROM files",
+    f"""{_LITERAL}, {_TREE_SQL} SELECT CAST(sum((length(d.text) - length(replace(d.text, '{K.REDACTED}', ''))) // {len(K.REDACTED)} - (length(before) - length(replace(before, '{K.REDACTED}', ''))) // {len(K.REDACTED)}) AS BIGINT) AS redactions,
+  count(*) FILTER (WHERE d.text <> before) AS files, CAST(0 AS BIGINT) AS errors FROM done d JOIN scanned s ON s.doc_id = d.doc_id WHERE NOT managed""",
 )
 def redaction_totals(spark, sf_dir):
-    """Counts of all workers; -1 stands for an error and is not summed."""
-    rows = _state(spark, sf_dir)[0].select(F.when(F.col("size") % 11 == 0, -1).otherwise(F.col("size") % 4).alias("n"))
-    return rows.agg(F.sum(F.when(F.col("n") >= 0, F.col("n"))).alias("redactions"), F.count_if(F.col("n") < 0).alias("errors"))
+    """A dry run over the tree: what rewriting would change, in how many files, with how many errors. Managed files are left alone."""
+    secrets = durable(_vendor_secrets(spark, sf_dir).where(X.is_high_precision(X.short_label(F.col("raw_label")))))
+    done = trees.rewrite(known.redact_known(_scanned(spark, sf_dir).where("not managed").select("path", "text"), secrets), dry_run=True)
+    return done.agg(F.sum("redactions").alias("redactions"), F.count(F.lit(1)).alias("files"), F.count("error").alias("errors"))
 
 
 # Streams -------------------------------------------------------------------------------------------------------------
@@ -695,15 +865,21 @@ def redaction_totals(spark, sf_dir):
 
 def _run_stream(df: DataFrame, spark: SparkSession) -> DataFrame:
     """All that is there, through a streaming query into a table of files, read back."""
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="veilwork-")
-    at = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = new_path(spark, "stream")
     q = df.writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start(f"{at}/out")
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{at}/out")
 
 
+def _run_totals(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """A streaming aggregate once all has arrived: each batch replaces the table of totals."""
+    at = new_path(spark, "stream")
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(f"{at}/out")
+    q = df.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{at}/out")
+
+
 def _stream(spark, sf_dir, name) -> DataFrame:
     """The table's files as a stream, whether it is one file or a folder of them."""
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
@@ -713,35 +889,44 @@ def _stream(spark, sf_dir, name) -> DataFrame:
 
 
 _TURN = "'turn ' || conv_id || ' ghp_' || md5(CAST(conv_id AS VARCHAR)) || ' ' || text"
+_TURN_LINES = f"""t AS (SELECT *, string_split({_TURN}, chr(10)) AS lines FROM conversations),
+looked AS (SELECT *, list_transform(lines, lambda l, i: length(l) + CASE WHEN i < len(lines) THEN 1 ELSE 0 END <= {K.DIRECT_REGEX_CHARS} OR {S.MARKER.replace('(text,', '(l,')}) AS look FROM t),
+done AS (SELECT *, array_to_string(list_transform(lines, lambda l, i: CASE WHEN look[i] THEN regexp_replace(l, {_ANY}, '{K.REDACTED}', 'g') ELSE l END), chr(10)) AS out,
+  CAST(coalesce(list_sum(list_transform(lines, lambda l, i: CASE WHEN look[i] THEN len(regexp_extract_all(l, {_ANY})) ELSE 0 END)), 0) AS BIGINT) AS n FROM looked)"""
 
 
-@query(
-    "stream_line_redact",
-    f"WITH t AS (SELECT conv_id, turn, {_TURN} AS text FROM conversations WHERE text IS NOT NULL) SELECT conv_id, turn, "
-    f"CASE WHEN {S.SHORT} AND {S.SEARCHED} THEN regexp_replace(text, {_ANY}, '{K.REDACTED}', 'g') ELSE text END AS text, "
-    f"CAST(CASE WHEN {S.SHORT} AND {S.SEARCHED} THEN len(regexp_extract_all(text, {_ANY})) ELSE 0 END AS BIGINT) AS redactions FROM t",
-)
-def stream_line_redact(spark, sf_dir):
-    rows = _stream(spark, sf_dir, "conversations").where("text is not null")
+def _turns(spark, sf_dir) -> DataFrame:
     text = F.concat(F.lit("turn "), F.col("conv_id"), F.lit(" ghp_"), F.md5(F.col("conv_id").cast("string")), F.lit(" "), F.col("text"))
-    return _run_stream(streams.redact_rows(rows.select("conv_id", "turn", text.alias("text")), "text"), spark)
+    return _stream(spark, sf_dir, "conversations").withColumn("text", text)
+
+
+@query("stream_line_redact", f"WITH {_TURN_LINES} SELECT conv_id, turn, out AS text, n AS redactions FROM done")
+def stream_line_redact(spark, sf_dir):
+    """Turns as they arrive, each cut at its newlines, so a turn of many lines is redacted like any other; null texts pass."""
+    return _run_stream(streams.redact_turns(_turns(spark, sf_dir).select("conv_id", "turn", "text"), "text"), spark)
 
 
-@query("stream_redaction_totals", f"WITH t AS (SELECT role, {_TURN} AS text FROM conversations WHERE text IS NOT NULL) SELECT role, CAST(sum(CASE WHEN {S.SHORT} AND {S.SEARCHED} THEN len(regexp_extract_all(text, {_ANY})) ELSE 0 END) AS BIGINT) AS redactions FROM t GROUP BY role")
+@query("stream_redaction_totals", f"WITH {_TURN_LINES} SELECT role, CAST(sum(n) AS BIGINT) AS redactions FROM done GROUP BY role")
 def stream_redaction_totals(spark, sf_dir):
     """The running total of a stream, by role, once all has arrived."""
-    rows = _stream(spark, sf_dir, "conversations").where("text is not null")
-    text = F.concat(F.lit("turn "), F.col("conv_id"), F.lit(" ghp_"), F.md5(F.col("conv_id").cast("string")), F.lit(" "), F.col("text"))
-    done = _run_stream(streams.redact_rows(rows.select("role", text.alias("text")), "text"), spark)
-    return done.groupBy("role").agg(F.sum("redactions").alias("redactions"))
+    done = streams.redact_turns(_turns(spark, sf_dir).select("role", "text"), "text")
+    return _run_totals(done.groupBy("role").agg(F.sum("redactions").alias("redactions")), spark)
 
 
-@query("stream_chunk_redact")
+@query(
+    "stream_chunk_redact",
+    f"WITH t AS (SELECT conv_id, turn, string_split(coalesce(text, '') || ' ghp_' || md5(CAST(conv_id AS VARCHAR)), chr(10)) AS lines FROM conversations), "
+    f"looked AS (SELECT *, list_transform(lines, lambda l: length(l) + 1 <= {K.DIRECT_REGEX_CHARS} OR {S.MARKER.replace('(text,', '(l,')}) AS look FROM t) "
+    f"SELECT conv_id || '/' || turn AS stream, array_to_string(list_transform(lines, lambda l, i: CASE WHEN look[i] THEN regexp_replace(l, {_ANY}, '{K.REDACTED}', 'g') ELSE l END), chr(10)) || chr(10) AS text, "
+    f"CAST(list_sum(list_transform(lines, lambda l, i: CASE WHEN look[i] THEN len(regexp_extract_all(l, {_ANY})) ELSE 0 END)) AS BIGINT) AS redactions FROM looked",
+)
 def stream_chunk_redact(spark, sf_dir):
-    """Conversations as chunk streams: a token lies across two chunks of each; tests hold it against one-piece redaction."""
-    rows = _stream(spark, sf_dir, "conversations").where("text is not null")
+    """Turns as chunk streams, a token across two chunks of each: their pieces, joined, are what one piece would give."""
+    rows = _stream(spark, sf_dir, "conversations")
     token = F.concat(F.lit("ghp_"), F.md5(F.col("conv_id").cast("string")))
-    parts = F.array(F.concat(F.col("text"), F.lit(" "), F.substring(token, 1, 9)), F.concat(F.substr(token, F.lit(10)), F.lit("\n")))
+    parts = F.array(F.concat(F.coalesce(F.col("text"), F.lit("")), F.lit(" "), F.substring(token, 1, 9)), F.concat(F.substr(token, F.lit(10)), F.lit("\n")))
     key = F.concat_ws("/", "conv_id", "turn")
     chunks = rows.select(key.alias("stream"), F.posexplode(parts).alias("seq", "chunk")).withColumn("is_last", F.col("seq") == 1)
-    return _run_stream(streams.redact_chunks(chunks.select("stream", long(F.col("seq")).alias("seq"), "chunk", "is_last")), spark)
+    out = _run_stream(streams.redact_chunks(chunks.select("stream", long(F.col("seq")).alias("seq"), "chunk", "is_last")), spark)
+    pieces = F.array_sort(F.collect_list(F.struct("seq", "text")))
+    return out.groupBy("stream").agg(F.array_join(F.transform(pieces, lambda p: p["text"]), "").alias("text"), F.sum("redactions").alias("redactions"))

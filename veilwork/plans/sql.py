@@ -32,6 +32,12 @@ def short_label(x: str) -> str:
     return f"coalesce(({names})[lower({x})], ({names})[{spaced}], ({names})[translate({spaced}, '()', '')], {cased})"
 
 
+def title_label(x: str) -> str:
+    words = f"list_filter(string_split_regex(translate({x}, '-_', '  '), '\\s+'), lambda w: w <> '')"
+    cased = f"array_to_string(list_transform({words}, lambda w: CASE WHEN lower(w) IN {in_list(K.CHART_UPPER_WORDS)} THEN upper(w) ELSE upper(substr(w, 1, 1)) || lower(substr(w, 2)) END), ' ')"
+    return f"CASE WHEN {x} <> lower({x}) AND NOT contains({x}, '-') AND NOT contains({x}, '_') THEN {x} ELSE {cased} END"
+
+
 def norm_label(x: str) -> str:
     return f"translate(lower({x}), ' -_', '')"
 
@@ -142,6 +148,8 @@ chain AS (
 resolved AS (SELECT doc_id, label, s, e, v FROM chain WHERE kept)"""
 
 RUN = "[A-Za-z0-9_@+/.-]+={0,2}"
+#: What lies between such runs.
+NO_RUN = "[^A-Za-z0-9_@+/.-]+"
 CANDIDATE = "length(regexp_replace(v, '=+$', '')) >= 32 AND regexp_matches(v, '^[A-Za-z0-9].*[A-Za-z0-9]={0,2}$')"
 CHARS = "string_split(v, '')"
 SHARE = f"(len(list_filter({CHARS}, lambda d: d = c)) / CAST(length(v) AS DOUBLE))"

@@ -24,6 +24,11 @@ def excluded_by_name(path: Column, files: Column, suffixes: Column) -> Column:
     return F.array_contains(files, name) | F.exists(suffixes, lambda s: F.endswith(name, s))
 
 
+def excluded(path: Column, root: Column, dirs: Column, files: Column, suffixes: Column, home: str) -> Column:
+    """Left out by a folder, or by name unless it is a managed file, which is looked at all the same."""
+    return excluded_by_dir(path, dirs, root) | (excluded_by_name(path, files, suffixes) & ~is_managed(path, home))
+
+
 def is_under(path: Column, root: Column) -> Column:
     return (path == root) | F.startswith(path, F.concat(root, F.lit("/")))
 
@@ -88,6 +93,21 @@ def owners(paths: DataFrame, targets: DataFrame) -> DataFrame:
     return best.select(*paths.columns, "o.tool", "o.root", F.when(F.col("o").isNotNull(), F.substr("path", F.length("o.root") + 2)).alias("relative"))
 
 
+def custom(paths: list[str], ordinal: int) -> list[tuple]:
+    """Rows of SCHEMA for folders given by hand, which come after the registry's and leave nothing out."""
+    return [("custom", p.rstrip("/") or "/", [], [], [], ordinal + i, 0) for i, p in enumerate(paths)]
+
+
+def labels(paths: DataFrame, targets: DataFrame, home: str) -> DataFrame:
+    """``paths`` with the ``source`` that reports name and the path below it: a target's tool, else managed credentials, else ``?``."""
+    owned = owners(paths, targets)
+    inside = F.startswith("path", F.lit(home + "/"))
+    other = F.when(inside, "Managed credentials").otherwise("?")
+    below = F.when(inside, F.substr("path", F.lit(len(home) + 2))).otherwise(F.col("path"))
+    return owned.select(*paths.columns, F.coalesce("tool", other).alias("source"), F.when(F.col("tool").isNotNull(), F.col("relative")).otherwise(below).alias("relative"))
+
+
+#: Folders that editors built on the same base leave out.
 _FORK = ["bin", "extensions", "node_modules", "CachedProfilesData", "CachedExtensionVSIXs"]
 
 #: The tools, their candidate folders, and what is left out of each: (tool, roots, dirs, files, suffixes).

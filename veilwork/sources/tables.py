@@ -25,8 +25,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def planted(spark: SparkSession, folder: str) -> DataFrame:
-    """``documents`` with one made-up secret in seven of eight texts, in front of every third one and behind the others."""
-    docs = table(spark, folder, "documents").where("text is not null")
+    """``documents`` with one made-up secret in seven of eight texts, in front of every third one and behind the others; null texts stay null."""
+    docs = table(spark, folder, "documents")
     id = F.col("doc_id").cast("string")
     m = F.md5(id)
     d = F.lpad(F.pmod("doc_id", F.lit(10_000)).cast("string"), 4, "0")
@@ -59,6 +59,6 @@ planted AS (
       WHEN 6 THEN base64(unhex(sha256(id)))
       ELSE '' END AS tok
     FROM (SELECT *, CAST(doc_id AS VARCHAR) AS id, md5(CAST(doc_id AS VARCHAR)) AS m, lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') AS d
-          FROM documents WHERE text IS NOT NULL)
+          FROM documents)
   )
 )"""
