@@ -8,7 +8,7 @@ import numpy as np
 
 import corpus_pipeline
 from tests.llm.test_text_operators import collect
-from veilwork.llm import near_copies
+from veilwork.llm import near_copies, simhash
 from veilwork.llm._util import table
 
 
@@ -38,7 +38,7 @@ def plain_components(docs):
 
 
 def check(spark, df):
-    found = Counter((r["doc_id"], r["component_id"]) for r in collect(near_copies.near_copies(df)))
+    found = Counter((r["doc_id"], r["component_id"]) for r in collect(simhash.near_duplicates(df, shingle=5, similar=(4, 5))))
     assert found == Counter(plain_components([(r["doc_id"], r["text"]) for r in df.collect()]))
 
 
@@ -71,14 +71,18 @@ def test_planted_copies(spark, tmp_path):
 def test_tables_and_odd_rows(spark, odd_docs, no_docs):
     check(spark, table(spark, "/root/testdata/sf0.01", "documents"))
     check(spark, odd_docs)
-    assert near_copies.near_copies(no_docs).count() == 0
+    assert simhash.near_duplicates(no_docs, shingle=5, similar=(4, 5)).count() == 0
 
 
-def test_forest_of_blocks():
-    rng = np.random.default_rng(1)
+def sets_of(seed):
+    rng = np.random.default_rng(seed)
     base = rng.integers(0, 1 << 62, 60).astype(np.uint64)
     sets = [np.unique(np.concatenate([base[rng.random(60) < 0.93], rng.integers(0, 1 << 62, 2).astype(np.uint64)])) for _ in range(90)]
-    sets += [np.unique(rng.integers(0, 1 << 62, int(n)).astype(np.uint64)) for n in rng.integers(1, 90, 60)]
+    return sets + [np.unique(rng.integers(0, 1 << 62, int(n)).astype(np.uint64)) for n in rng.integers(1, 90, 60)]
+
+
+def test_forest():
+    sets = sets_of(1)
 
     def groups(links):
         root = list(range(len(sets)))
@@ -88,10 +92,47 @@ def test_forest_of_blocks():
         return {frozenset(i for i, r in enumerate(root) if r == x) for x in root}
 
     pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
-    assert groups(near_copies.forest(sets)) == groups(pairs)
-    old, near_copies.BLOCK_ROWS = near_copies.BLOCK_ROWS, 20
-    try:
-        cut = near_copies.blocks(np.array([len(s) for s in sets]), (4, 5))
-    finally:
-        near_copies.BLOCK_ROWS = old
-    assert len(cut) > 8 and groups([(int(at[a]), int(at[b])) for _, _, at in cut for a, b in near_copies.forest([sets[k] for k in at])]) == groups(pairs)
+    assert groups(near_copies.forest(sets, (4, 5))) == groups(pairs)
+    # Groups by fingerprints hold those of the sets, and leave most of the others apart.
+    loose = groups(near_copies.print_forest([near_copies.parity(s) for s in sets], np.array([len(s) for s in sets]), (4, 5)))
+    assert all(any(g <= h for h in loose) for g in groups(pairs)) and len(loose) > 40
+
+
+def test_prints_rule_out_no_similar_pair():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 63, 64, 200, 5000, 90_000):
+        for share in (0.0, 0.05, 0.11, 0.5):
+            a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+            b = a.copy()
+            b[rng.random(len(a)) < share] += np.uint64(1)
+            b = np.unique(b)[: max(1, int(len(a) * rng.choice([1.0, 0.9, 0.81])))]
+            similar = 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))
+            for x, y in ((a, b), (b, a)):
+                near = near_copies.near_prints(near_copies.parity(x), near_copies.parity(y), len(x), len(y), (4, 5))
+                assert near or not similar
+    far = [np.unique(rng.integers(0, 1 << 62, 500).astype(np.uint64)) for _ in range(2)]
+    assert not near_copies.near_prints(*map(near_copies.parity, far), *map(len, far), (4, 5))
+
+
+def test_hot_keys_and_blocks(spark, monkeypatch):
+    """Groups that are larger than all bounds, so that keys go out in parts and candidate groups in blocks."""
+    for name, value in (("SMALL", 6), ("HELD", 50), ("BLOCK_ROWS", 12), ("SAMPLE", 10)):
+        monkeypatch.setattr(near_copies, name, value)
+    rng = random.Random(9)
+    words = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    hot, docs = words(104), []
+    for i in range(120):
+        docs.append((i, " ".join(w if rng.random() > 0.012 else f"y{i}" for w in hot[: rng.choice((104, 95, 60))])))
+    docs += [(500 + i, " ".join(words(12) + hot[:20])) for i in range(60)]
+    check(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+
+
+def test_rows_that_stay(spark):
+    """By row and not by id: unlike texts of one id are both kept, copies of either go."""
+    a, b = "the first text of five words or more", "quite another one that has nothing in common"
+    rows = [(3, b, 1), (5, a, 2), (5, b, 3), (7, a, 4), (7, a, 5), (8, "x", 6), (8, "x", 7), (None, a, 8), (None, a, 9), (9, None, 10), (9, "", 11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id long")
+    for how in ({}, {"shingle": 5, "similar": (4, 5)}):
+        kept = simhash.keep_one(df, **how)
+        assert kept.columns == df.columns
+        assert Counter((r["doc_id"], r["text"] or "") for r in kept.collect()) == Counter([(3, b), (5, a), (8, "x"), (None, a), (None, a), (9, "")])

@@ -2,44 +2,23 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+import ctypes
+import gc
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import durable as durable
 from ..sources.tables import table as table
 
 #: Words of the size and shingle contracts: runs of anything but space and \t to \r.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (tests, one machine)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="veilwork-")
-        atexit.register(shutil.rmtree, folder, True)
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    Cuts the lineage so that a lost executor costs at most the running stage, and lets several consumers share one
-    computation. The files go when the session's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -53,3 +32,53 @@ def sole(key, make):
         _held.clear()
         _held[key] = make()
     return _held[key]
+
+
+def slices(batches, rows: int = 512, cached: bool = False) -> Iterator:
+    """The Arrow batches in pieces of so many rows, which are made Python objects one piece at a time.
+
+    Workers outlive their tasks, so memory that a task is done with goes back to the system, and unless the task is ``cached`` the
+    cache that earlier ones left goes first.
+    """
+    if not cached:
+        _held.clear()
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+    release()
+
+
+def release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+#: Bits of a sieve: 2 MB, whatever it holds.
+SIEVE = 1 << 24
+
+
+def sieve(keys: Column, wanted: DataFrame) -> Column:
+    """False only where ``keys`` (a 64-bit hash) is none of the hashes ``wanted`` (key); few others are true.
+
+    One bitmap of SIEVE bits goes to all tasks. Rows that it lets through must be joined on the keys themselves; the more keys
+    there are, the more rows that are, and the result stays the same.
+    """
+    spark = wanted.sparkSession
+    place = lambda c: F.pmod(c, F.lit(SIEVE)) + 1
+    held = wanted.select(place(F.col("key")).alias("x")).distinct()
+    maps = held.groupBy(F.bitmap_bucket_number("x").alias("i")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
+    table = np.zeros(SIEVE // 8, np.uint8)
+    for r in maps.collect():  # SIEVE bits at most
+        table[(r["i"] - 1) * 4096 : r["i"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    shared = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def met(x: pd.Series) -> pd.Series:
+        at = x.to_numpy() - 1
+        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    return met(place(keys))

@@ -1,13 +1,23 @@
-"""Near copies by the exact Jaccard similarity of their sets of five-word shingles.
-
-Two sets with similarity p/q or more share a member among the first ``n - ceil(n * p / q) + 1`` of each, whatever the order
-that both are put in (prefix filter), so every pair that counts meets under a key. The order takes shingles that are frequent
-in a sample last, which makes groups small; the pairs found do not depend on it. Pairs of small groups are counted and those
-that cannot reach the similarity any more are discarded; the others are verified on the whole sets. Groups beyond SMALL are
-verified in blocks by products of their incidence matrices and give a spanning forest, never their pairs.
-
-Cases: words are those of the fingerprints; a text of fewer words is one shingle; texts without words are copies of each
-other; equal sets are one before any comparison. Shingles and sets are compared by 64-bit hashes.
+"""Near copies by the exact Jaccard similarity of their sets of shingles: what ``simhash.near_duplicates`` does with ``similar``.
+
+A SimHash of 64 bits cannot tell texts of similarity 0.8: they differ in ten bits on average, at which radius random fingerprints
+cannot be kept apart by pivots or by blocks of bits. So candidates come from a prefix filter, and what is compared first is
+another fingerprint, whose Hamming distance bounds the sets themselves.
+
+1. Keys. Two sets with similarity p/q or more share a member among the first ``n - ceil(n * p / q) + 1`` of each, whatever the
+   order that both are put in, so every pair that counts meets under a key. The order takes shingles that are frequent in a sample
+   last, which makes groups small; the links found do not depend on it.
+2. Parity fingerprints. Each shingle flips one bit of about as many as there are shingles. Sets that differ in d members have
+   fingerprints that differ in at most d bits, so a larger distance than similar sets can have discards a pair for certain.
+   Pairs of small groups are compared one by one; groups beyond SMALL in blocks, which give a spanning forest, never their pairs.
+3. Sets. What is left is joined to candidate groups, and only the texts in these are read again. Inside a candidate group all
+   sets are compared exactly, in blocks by products of their incidence matrices, which again give spanning forests.
+
+What is shuffled: about a fifth of the shingles as (key, print, size), a fingerprint or two for each candidate pair, and the sets
+of texts that have a copy or nearly one. A group of c near copies costs c * c comparisons, spread over blocks.
+
+Cases: words are those of the fingerprints; a text of fewer words is one shingle; texts without words, null ones too, are copies
+of each other; equal sets are one before any comparison; repeated rows are kept. Shingles and sets are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -18,36 +28,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import simhash
-from ._util import durable
+from ._util import durable, sieve, slices
+from .groups import components, with_components
+from .shingles import shingles
 
-SHINGLE = 5
-#: The least similarity, as a fraction.
-SIMILAR = (4, 5)
+#: Groups up to this size give their pairs.
 SMALL = 64
 #: About how many texts the sample of frequent shingles takes, and how many of those shingles the order knows.
 SAMPLE, FREQUENT = 20_000, 200_000
 #: Members and shingles of a block of a large group.
 BLOCK_ROWS, BLOCK_SHINGLES = 1500, 500_000
+#: Rows of one key that a task holds at once.
+HELD = 100_000
 #: Sets that a task remembers to name the keys of copies once.
 SEEN = 200_000
-
-
-def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """The hashes of the distinct shingles, sorted."""
-    found, tail, hashed = [], [], xxhash.xxh64_intdigest
-    for block in simhash._blocks((text or "").encode("utf-8", "surrogatepass").lower()):
-        words = tail + block.split()
-        k = len(words) - shingle + 1
-        if k > 0:
-            parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-            found.append(np.unique(np.fromiter((hashed(p, 42) for p in parts), np.uint64, k)))
-            tail = words[k:]
-        else:
-            tail = words
-    if not found:
-        return np.array([hashed(b" ".join(tail), 42)] if tail else [], np.uint64)
-    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+#: Bits of a parity fingerprint at most, as a power of two.
+MOST_BITS = 16
 
 
 def digest(members: np.ndarray) -> int:
@@ -56,10 +52,85 @@ def digest(members: np.ndarray) -> int:
 
 
 def reach(similar: tuple[int, int], inter, a, b):
-    """Whether sets of ``a`` and ``b`` members with ``inter`` in common are similar; also on columns."""
+    """Whether sets of ``a`` and ``b`` members with ``inter`` in common are similar; also on arrays."""
     return (similar[0] + similar[1]) * inter >= similar[0] * (a + b)
 
 
+def sizes_fit(similar: tuple[int, int], a, b):
+    return similar[1] * np.minimum(a, b) >= similar[0] * np.maximum(a, b)
+
+
+# Parity fingerprints ---------------------------------------------------------------------------------------------------
+
+
+def parity(members: np.ndarray) -> bytes:
+    """One bit a place: whether an odd number of members fall on it; more places than members, up to the most."""
+    bits = 1 << min(MOST_BITS, max(6, len(members).bit_length()))
+    counts = np.bincount((members & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits(counts.astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def fold(x: int, have: int, want: int) -> int:
+    """The parity fingerprint of fewer places (numbers of bytes, powers of two)."""
+    while have > want:
+        have //= 2
+        x = (x >> 8 * have) ^ (x & ((1 << 8 * have) - 1))
+    return x
+
+
+def may_reach(similar: tuple[int, int], distance, a, b):
+    """False only if sets of ``a`` and ``b`` members at this distance are not similar."""
+    return (similar[0] + similar[1]) * distance <= (similar[1] - similar[0]) * (a + b)
+
+
+def near_prints(one: bytes, two: bytes, a: int, b: int, similar: tuple[int, int]) -> bool:
+    n = min(len(one), len(two))
+    x, y = fold(int.from_bytes(one, "little"), len(one), n), fold(int.from_bytes(two, "little"), len(two), n)
+    return may_reach(similar, (x ^ y).bit_count(), a, b)
+
+
+def spanning(n: int, near) -> list[tuple[int, int]]:
+    """Links of a spanning forest of ``n`` things; ``near(i, others)`` tells which of the others are near i."""
+    left, links = np.arange(n), []
+    while len(left):
+        todo, left = [int(left[0])], left[1:]
+        while todo and len(left):
+            i = todo.pop()
+            hit = near(i, left)
+            found = left[hit].tolist()
+            left = left[~hit]
+            links += [(i, j) for j in found]
+            todo += found
+    return links
+
+
+def print_forest(prints: list[bytes], sizes: np.ndarray, similar: tuple[int, int]) -> list[tuple[int, int]]:
+    """Links (by place) of a spanning forest of those whose fingerprints do not rule similarity out."""
+    lengths = np.array([len(p) for p in prints])
+    # By length: each fingerprint at its own and, as sizes differ by less than twice, at half of it.
+    tables: dict[int, np.ndarray] = {}
+    for n in np.unique(lengths).tolist():
+        table = np.zeros((len(prints), n // 8), np.uint64)
+        for at in np.flatnonzero((lengths == n) | (lengths == 2 * n)).tolist():
+            x = fold(int.from_bytes(prints[at], "little"), len(prints[at]), n)
+            table[at] = np.frombuffer(x.to_bytes(n, "little"), np.uint64)
+        tables[n] = table
+
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        out = sizes_fit(similar, sizes[i], sizes[others])
+        for n in np.unique(lengths[others[out]]).tolist():
+            at = np.flatnonzero(out & (lengths[others] == n))
+            table = tables[min(n, int(lengths[i]))]
+            distance = np.bitwise_count(table[others[at]] ^ table[i]).sum(1, dtype=np.int64)
+            out[at] = may_reach(similar, distance, sizes[i], sizes[others[at]])
+        return out
+
+    return spanning(len(prints), near)
+
+
+# Keys ------------------------------------------------------------------------------------------------------------------
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
     values = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
@@ -70,14 +141,14 @@ def _sets(column) -> list[np.ndarray]:
     return [s.values.to_numpy() for s in column]
 
 
-def frequent(texts: DataFrame, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that occur in three or more of the sampled distinct texts, sorted, and in how many."""
     # Chosen by the hash of the text, so no text moves but those of the sample.
     share = max(1, texts.count() // SAMPLE)
-    sample = texts.select("t", F.xxhash64("t").alias("h")).where(F.pmod(F.col("h"), F.lit(share)) == 0).where("t is not null").dropDuplicates(["h"])
+    sample = texts.where(F.pmod(F.col("h"), F.lit(share)) == 0).where("t is not null").dropDuplicates(["h"])
 
     def make(batches):
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([_lists([shingles(t, shingle) for t in b.column(0).to_pylist()])], ["s"])
 
     counts = sample.select("t").mapInArrow(make, "s array<long>").select(F.explode("s").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
@@ -87,7 +158,7 @@ def frequent(texts: DataFrame, shingle: int = SHINGLE) -> tuple[np.ndarray, np.n
     return s[order], n[order]
 
 
-def prefix(members: np.ndarray, common: np.ndarray, counts: np.ndarray, similar: tuple[int, int] = SIMILAR) -> np.ndarray:
+def prefix(members: np.ndarray, common: np.ndarray, counts: np.ndarray, similar: tuple[int, int]) -> np.ndarray:
     """The first members in the order of (count in the sample, hash), so many that similar sets share one."""
     k = len(members) - -(-len(members) * similar[0] // similar[1]) + 1 if len(members) else 0
     if not len(common):
@@ -98,104 +169,148 @@ def prefix(members: np.ndarray, common: np.ndarray, counts: np.ndarray, similar:
 
 
 def keyed(texts: DataFrame, shingle: int, similar: tuple[int, int]) -> DataFrame:
-    """Rows (id, fp, n, keys) of ``texts`` (id, t); a task gives the keys of equal sets once."""
+    """Rows (id, h, fp, n, bits, keys) of ``texts`` (id, h, t); a task gives bits and keys of equal sets once."""
     shared = texts.sparkSession.sparkContext.broadcast(frequent(texts, shingle))
 
     def make(batches):
         seen = set()
-        for b in batches:
-            fps, sizes, keys = [], [], []
-            for t in b.column(1).to_pylist():
+        for b in slices(batches):
+            fps, sizes, bits, keys = [], [], [], []
+            for t in b.column(2).to_pylist():
                 s = shingles(t, shingle)
                 fp = digest(s)
+                again = fp in seen
                 fps.append(fp)
                 sizes.append(len(s))
-                keys.append(s[:0] if fp in seen else prefix(s, *shared.value, similar))
+                bits.append(None if again else parity(s))
+                keys.append(s[:0] if again else prefix(s, *shared.value, similar))
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(fp)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), _lists(keys)], ["id", "fp", "n", "keys"])
-
-    return texts.mapInArrow(make, f"id {texts.schema['id'].dataType.simpleString()}, fp long, n int, keys array<long>")
-
-
-def blocks(sizes: np.ndarray, similar: tuple[int, int]) -> list[tuple[int, int, np.ndarray]]:
-    """(i, j, members) for the pairs of blocks, cut by ascending size, that can hold similar sets."""
-    order = np.argsort(sizes, kind="stable")
-    cuts, rows, total = [0], 0, 0
-    for at, n in enumerate(sizes[order].tolist()):
-        if rows and (rows >= BLOCK_ROWS or total + n > BLOCK_SHINGLES):
-            cuts.append(at)
-            rows, total = 0, 0
-        rows, total = rows + 1, total + n
-    parts = np.split(order, cuts[1:])
-    out = []
-    for i, p in enumerate(parts):
-        for j in range(i, len(parts)):
-            q = parts[j]
-            if similar[1] * int(sizes[p[-1]]) < similar[0] * int(sizes[q[0]]):
-                break
-            out.append((i, j, p if i == j else np.concatenate([p, q])))
-    return out
-
-
-MET = ["key", "i", "j", "a", "b", "x", "y", "na", "nb"]
-
-
-def _met(key, fp, n, pos, similar) -> list[pa.RecordBatch]:
-    """Pairs (a, b, places, sizes) of the small groups and members (key, i, j, a) of the large ones; rows are sorted by key and fp."""
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])
-    key, fp, n, pos = key[new], fp[new], n[new], pos[new]
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    count = np.diff(np.append(start, len(key)))
-    out = []
-
-    def rows(**columns):
-        size = len(columns["a"])
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
-        out.append(pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(size, k) for c, k in zip(MET, kinds, strict=True)], MET))
-
-    for s, c in zip(start[count > SMALL].tolist(), count[count > SMALL].tolist(), strict=True):
-        for i, j, at in blocks(n[s : s + c], similar):
-            rows(key=np.full(len(at), key[s]), i=np.full(len(at), i), j=np.full(len(at), j), a=fp[s + at])
-    small = np.repeat((count > 1) & (count <= SMALL), count)
-    key, fp, n, pos = key[small], fp[small], n[small], pos[small]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), _lists(keys)], ["id", "h", "fp", "n", "bits", "keys"]
+            )
+
+    return texts.mapInArrow(make, f"id {texts.schema['id'].dataType.simpleString()}, h long, fp long, n int, bits binary, keys array<long>")
+
+
+MET = {"a": pa.int64(), "b": pa.int64(), "key": pa.int64(), "block": pa.int32(), "n": pa.int32()}
+
+
+def _rows(**columns) -> pa.RecordBatch:
+    size = len(columns["a"])
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(size, k) for c, k in MET.items()], list(MET))
+
+
+def _small(key: np.ndarray, n: np.ndarray, fp: np.ndarray, similar: tuple[int, int]) -> pa.RecordBatch:
+    """The pairs of small groups; rows are sorted by key."""
+    found = []
     for d in range(1, SMALL):
         x = np.flatnonzero(key[d:] == key[:-d])
         if not len(x):
             break
-        y = x + d
-        keep = similar[1] * np.minimum(n[x], n[y]) >= similar[0] * np.maximum(n[x], n[y])
-        x, y = x[keep], y[keep]
-        rows(a=fp[x], b=fp[y], x=pos[x], y=pos[y], na=n[x], nb=n[y])
-    return out
+        x = x[sizes_fit(similar, n[x], n[x + d])]
+        found.append((np.minimum(fp[x], fp[x + d]), np.maximum(fp[x], fp[x + d])))
+    a, b = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (fp[:0], fp[:0])
+    pairs = np.unique(np.stack([a, b], axis=1), axis=0)
+    return _rows(a=pairs[:, 0], b=pairs[:, 1])
 
 
 def meetings(keys: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """What ``_met`` gives for all groups of rows (key, fp, n, pos) with one key."""
+    """For all groups of rows (key, n, fp) with one key: pairs (a, b) of the small ones, members (a, key, block, n) of the large ones.
+
+    Rows come sorted, a key's by size. What a task holds is bounded: a key with more than SMALL rows goes out block by block.
+    """
 
     def run(batches):
-        held: list[list[np.ndarray]] = []
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)]
+        open_key, block, filled = None, 0, 0
+
+        def large(key, n, fp):
+            nonlocal open_key, block, filled
+            if open_key != key:
+                open_key, block, filled = key, 0, 0
+            while len(n):
+                # As many as the block still takes.
+                shingle_room = max(1, BLOCK_SHINGLES // max(1, int(n[-1])))
+                room = min(BLOCK_ROWS, shingle_room) - filled
+                if room <= 0:
+                    block, filled = block + 1, 0
+                    continue
+                yield _rows(a=fp[:room], key=np.full(len(fp[:room]), key), block=np.full(len(fp[:room]), block), n=n[:room])
+                filled += len(fp[:room])
+                n, fp = n[room:], fp[room:]
+
+        def out(key, n, fp, last: bool):
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])
+            key, n, fp = key[new], n[new], fp[new]
+            if not len(key):
+                return
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            count = np.diff(np.append(start, len(key)))
+            many = (count > SMALL) | (key[start] == open_key)
+            many[-1] |= not last
+            for s, c in zip(start[many].tolist(), count[many].tolist(), strict=True):
+                yield from large(int(key[s]), n[s : s + c], fp[s : s + c])
+            few = np.repeat(~many & (count > 1), count)
+            if few.any():
+                yield _small(key[few], n[few], fp[few], similar)
+
         for b in batches:
             if not b.num_rows:
                 continue
-            now = [c.to_numpy() for c in b.columns]
-            if held and held[-1][0][-1] == now[0][-1]:  # one key only, so far
-                held.append(now)
-                continue
-            whole = [np.concatenate(c) for c in zip(*held, now, strict=True)]
-            cut = int(np.searchsorted(whole[0], whole[0][-1]))
+            held = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, b.columns, strict=True)]
+            cut = int(np.searchsorted(held[0], held[0][-1]))
             if cut:
-                yield from _met(*(c[:cut] for c in whole), similar)
-            held = [[c[cut:] for c in whole]]
-        if held:
-            yield from _met(*(np.concatenate(c) for c in zip(*held, strict=True)), similar)
+                yield from out(*(c[:cut] for c in held), True)
+                held = [c[cut:] for c in held]
+            if len(held[0]) > HELD:
+                yield from out(*held, False)
+                held = [c[-1:] for c in held]  # the last row again, to see a copy of it
+        yield from out(*held, True)
+
+    return keys.repartition("key").sortWithinPartitions("key", "n", "fp").mapInArrow(run, "a long, b long, key long, block int, n int")
+
+
+# Candidates and links --------------------------------------------------------------------------------------------------
+
+
+def block_pairs(members: DataFrame, similar: tuple[int, int], *keys: str) -> DataFrame:
+    """``members`` (*keys, block, n, ...) for each pair of blocks (block, other) of a group that can hold similar sets."""
+    ranges = durable(members.groupBy(*keys, "block").agg(F.min("n").alias("least"), F.max("n").alias("most")))
+    one, two = ranges.withColumnRenamed("block", "i"), ranges.withColumnsRenamed({"block": "j", "least": "least2", "most": "most2"})
+    fits = (F.col("most") * similar[1] >= F.col("least2") * similar[0]) & (F.col("most2") * similar[1] >= F.col("least") * similar[0])
+    pairs = one.join(two, list(keys)).where("i <= j").where(fits).select(*keys, "i", "j")
+    sides = pairs.select(*keys, "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    return members.join(sides, [*keys, "block"])
 
-    return keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "key long, i int, j int, a long, b long, x int, y int, na int, nb int")
 
+def candidates(docs: DataFrame, distinct: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """Rows (a, b): links that join all sets that may be similar."""
+    met = durable(meetings(docs.select(F.explode("keys").alias("key"), "n", "fp"), similar))
+    prints = distinct.select("fp", "n", "bits")
+    side = lambda x: prints.select(F.col("fp").alias(x), F.col("n").alias("n" + x), F.col("bits").alias("bits" + x))
+    pairs = met.where("b is not null").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
 
-def forest(sets: list[np.ndarray], similar: tuple[int, int] = SIMILAR) -> list[tuple[int, int]]:
+    def test(batches):
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in ("bitsa", "bitsb", "na", "nb")), strict=True)
+            keep = [near_prints(*r, similar) for r in rows]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def grow(table):
+        fps = table.column("a").to_pylist()
+        found = print_forest(table.column("bits").to_pylist(), table.column("n").to_numpy().astype(np.int64), similar)
+        return pa.table({"a": pa.array([fps[i] for i, _ in found], pa.int64()), "b": pa.array([fps[j] for _, j in found], pa.int64())})
+
+    passed = pairs.select("a", "b", "bitsa", "bitsb", "na", "nb").mapInArrow(test, "a long, b long")
+    large = block_pairs(met.where("key is not null").select("a", "key", "block", "n"), similar, "key").select("a", "key", "i", "j", "n")
+    grown = large.join(prints.select(F.col("fp").alias("a"), "bits"), "a").groupBy("key", "i", "j").applyInArrow(grow, "a long, b long")
+    return passed.union(grown)
+
+
+def forest(sets: list[np.ndarray], similar: tuple[int, int]) -> list[tuple[int, int]]:
     """Links (by place) of a spanning forest of the similar ones among ``sets``."""
     n, sizes = len(sets), np.array([len(s) for s in sets])
     _, term, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -211,60 +326,52 @@ def forest(sets: list[np.ndarray], similar: tuple[int, int] = SIMILAR) -> list[t
         x[row[lo:hi], term[lo:hi] - a] = 1
         inter += x @ x.T
     near = reach(similar, inter.astype(np.int64), sizes[:, None], sizes[None, :])
-    links, left = [], np.ones(n, bool)
-    for first in range(n):
-        if not left[first]:
-            continue
-        left[first], todo = False, [first]
-        while todo:
-            i = todo.pop()
-            found = np.flatnonzero(near[i] & left)
-            left[found] = False
-            links += [(i, j) for j in found.tolist()]
-            todo += found.tolist()
-    return links
+    return spanning(n, lambda i, others: near[i, others])
 
 
 def links(texts: DataFrame, docs: DataFrame, distinct: DataFrame, shingle: int, similar: tuple[int, int]) -> DataFrame:
-    """Rows (a, b) that link all similar sets: ``docs`` are the rows of ``keyed``, ``distinct`` the rows (fp, least)."""
-    met = durable(meetings(docs.select("fp", "n", F.posexplode("keys").alias("pos", "key")).select("key", "fp", "n", "pos"), similar))
-    # All common keys up to the last one are counted, or the pair is verified in a large group as well.
-    pairs = met.where("b is not null").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"), F.max("x").alias("x"), F.max("y").alias("y"))
-    most = F.col("c") + F.least(F.col("na") - 1 - F.col("x"), F.col("nb") - 1 - F.col("y"))
-    pairs = durable(pairs.where(reach(similar, most, F.col("na"), F.col("nb"))).select("a", "b"))
-    large = met.where("key is not null").select("key", "i", "j", "a")
-    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).union(large.select("a")).distinct()
-    ids = durable(distinct.join(wanted, "fp", "left_semi").select(F.col("least").alias("_id")).distinct())
+    """Rows (a, b) that link all similar sets: ``docs`` are the rows of ``keyed``, ``distinct`` the rows (fp, least, n, bits)."""
+    close = durable(components(candidates(docs, distinct, similar)))
+    wanted = durable(distinct.join(close, F.col("fp") == F.col("node")).select("least", "fp", "n", "root"))
 
     def make(batches):
-        for b in batches:
+        for b in slices(batches):
             found = [shingles(t, shingle) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in found], pa.int64()), _lists(found)], ["fp", "s"])
 
-    sets = texts.join(ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("t").mapInArrow(make, "fp long, s array<long>")
-    sets = durable(sets.dropDuplicates(["fp"]))
+    # Only texts whose id a sieve lets through are moved.
+    ids = wanted.select(F.col("least").alias("_id")).distinct()
+    met = texts.where(sieve(F.xxhash64("id"), ids.select(F.xxhash64("_id").alias("key"))))
+    sets = met.join(ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("t").mapInArrow(make, "fp long, s array<long>")
+    sets = durable(sets.dropDuplicates(["fp"]).join(wanted.select("fp", "n", "root"), "fp"))
 
-    def verify(batches):
+    def number(batches):
+        """Blocks of a group, by size."""
+        last, block, rows, total = None, 0, 0, 0
         for b in batches:
-            keep = []
-            for s, t in zip(_sets(b.column(2)), _sets(b.column(3)), strict=True):
-                keep.append(reach(similar, len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            out = []
+            for root, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if root != last:
+                    last, block, rows, total = root, 0, 0, 0
+                elif rows >= BLOCK_ROWS or total + n > BLOCK_SHINGLES:
+                    block, rows, total = block + 1, 0, 0
+                rows, total = rows + 1, total + n
+                out.append(block)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], ["root", "n", "fp", "block"])
+
+    placed = sets.select("root", "n", "fp").repartition("root").sortWithinPartitions("root", "n", "fp").mapInArrow(number, "root long, n int, fp long, block int")
+    asked = block_pairs(durable(placed), similar, "root").select("root", "i", "j", "fp")
 
     def grow(table):
-        fps = table.column("a").to_pylist()
+        fps = table.column("fp").to_pylist()
         found = forest(_sets(table.column("s")), similar)
         return pa.table({"a": pa.array([fps[i] for i, _ in found], pa.int64()), "b": pa.array([fps[j] for _, j in found], pa.int64())})
 
-    one, two = sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), sets.select(F.col("fp").alias("b"), F.col("s").alias("sb"))
-    verified = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
-    grown = large.join(sets.withColumnRenamed("fp", "a"), "a").select("key", "i", "j", "a", "s").groupBy("key", "i", "j").applyInArrow(grow, "a long, b long")
-    return verified.union(grown)
+    return asked.join(sets.select("fp", "s"), "fp").select("root", "i", "j", "fp", "s").groupBy("root", "i", "j").applyInArrow(grow, "a long, b long")
 
 
-def near_copies(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """Rows (id, fp, component_id), one a row of ``df``; component_id is the smallest id of the documents linked to it."""
-    texts = df.select(F.col(id).alias("id"), F.col(text).alias("t"))
+def near_copies(texts: DataFrame, id: str, shingle: int = 5, similar: tuple[int, int] = (4, 5)) -> DataFrame:
+    """Rows (id, h, fp, root, component_id), one a row of ``texts`` (id, h, t); component_id is the smallest id of those linked to it."""
     docs = durable(keyed(texts, shingle, similar))
-    distinct = durable(docs.groupBy("fp").agg(F.min("id").alias("least")))
-    return simhash.with_components(docs, distinct, links(texts, docs, distinct, shingle, similar), id)
+    distinct = durable(docs.groupBy("fp").agg(F.min("id").alias("least"), F.max("n").alias("n"), F.max("bits").alias("bits")))
+    return with_components(docs.select("id", "h", "fp"), distinct.select("fp", "least"), links(texts, docs, distinct, shingle, similar), id)

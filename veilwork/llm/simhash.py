@@ -2,21 +2,23 @@
 
 A fingerprint is compared through its Hamming distances to REFERENCES fixed reference fingerprints, its row of the pivot
 table: by the triangle inequality two fingerprints within ``radius`` differ by at most ``radius`` in each coordinate, so the
-maximum coordinate difference discards pairs and only the survivors are verified bit by bit.
-
-Which pairs are looked at: fingerprints are cut into eight bytes. Two that differ in at most two bits agree in at least six
-bytes, so they meet under one of the 28 choices of six. Exact copies are one fingerprint before that, and fingerprints under
-one key can differ in 16 bits only: a group has 65,536 members at most, whatever the input. A group gives the links of a
-spanning forest and never its pairs. Components then grow by star contraction in O(log n) rounds of joins.
-
-Cases: null text is empty; documents without words have fingerprint 0, which links like any other; repeated rows are kept; a
-null id has a component but is never its smallest unless all are null; an empty table gives no rows.
+maximum coordinate difference discards pairs and only the survivors are verified bit by bit. Of pairs of one group that differ in
+up to 16 bits the table leaves about one in 200, two thirds of which are near (``Pairs`` counts them).
+
+Which pairs the table sees: a coordinate alone keeps few fingerprints apart (two random ones are within 2 of each other in every
+third coordinate), so a join on coordinates would send each of them to hundreds of cells before its groups stopped growing with the
+table. Keys come first for that reason. Fingerprints are cut into eight bytes; two that differ in at most two bits agree in at least
+six, so they meet under one of the 28 choices of six. Exact copies are one fingerprint before that, and fingerprints under one key
+can differ in 16 bits only: a group has 65,536 members at most, whatever the input. A group gives the links of a spanning forest and
+never its pairs. Components then grow by star contraction in O(log n) rounds of joins.
+
+Cases: null text is empty; documents without words have fingerprint 0, which links like any other; repeated rows are kept, ties go
+to the smallest id; a null id has a component but is never its smallest unless all are null; very long texts are read in blocks of
+words; an empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-import random
-import re
 from itertools import combinations
 
 import numpy as np
@@ -25,33 +27,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import durable
+from . import near_copies
+from ._util import durable, slices
+from .groups import keep_first, with_components
+from .shingles import blocks
 
-REFERENCES = np.array([random.Random(42).getrandbits(64) for _ in range(24)], np.uint64)
+REFERENCES = np.random.default_rng(42).integers(0, 1 << 64, 24, np.uint64)
 RADIUS = 2
-#: Long texts are cut into words in blocks of so many bytes.
-BLOCK = 4_000_000
-_GAP = re.compile(rb"[\x20\x09-\x0d]")
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _COLUMNS = (np.arange(8) * 256)[None, :]
 
 
-def _blocks(data: bytes):
-    at = 0
-    while at < len(data):
-        end = len(data)
-        if end - at > BLOCK:
-            m = _GAP.search(data, at + BLOCK)
-            end = m.start() if m else end
-        yield data[at:end]
-        at = end
-
-
 def fingerprint(text: str, shingle: int = 3) -> int:
     """The 64-bit fingerprint of a whole text as an unsigned number."""
     counts, n, tail = np.zeros((8, 256), np.int64), 0, []
     hashed = xxhash.xxh64_intdigest
-    for block in _blocks(text.encode("utf-8", "surrogatepass").lower()):  # bytes.lower() is A-Z only, as is bytes.split() white space
+    for block in blocks(text.encode("utf-8", "surrogatepass").lower()):  # bytes.lower() is A-Z only, as is bytes.split() white space
         words = tail + block.split()
         k = len(words) - shingle + 1
         if k > 0:
@@ -68,21 +59,27 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     return int(np.packbits((2 * ones > n).ravel(), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """Rows (id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(texts: DataFrame, shingle: int = 3) -> DataFrame:
+    """Rows (id, h, fp) of ``texts`` (id, h, t): fp is the fingerprint as a signed long."""
 
     def make(batches):
-        for b in batches:
-            fps = [fingerprint(t, shingle) if t else 0 for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["id", "fp"])
+        for b in slices(batches):
+            fps = [fingerprint(t, shingle) if t else 0 for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))], ["id", "h", "fp"])
 
-    kind = df.schema[id].dataType.simpleString()
-    return df.select(F.col(id).alias("id"), F.col(text).alias("t")).mapInArrow(make, f"id {kind}, fp long")
+    return texts.mapInArrow(make, f"id {texts.schema['id'].dataType.simpleString()}, h long, fp long")
 
 
-def pivot_links(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
+class Pairs:
+    """How many pairs were met, left by the pivot table, and near."""
+
+    met = left = near = 0
+
+
+def pivot_links(fps: np.ndarray, radius: int = RADIUS, pairs: Pairs | None = None) -> list[tuple[int, int]]:
     """Spanning links of the fingerprints (unsigned, distinct) within ``radius`` of each other."""
-    n = len(fps)
+    n, pairs = len(fps), pairs or Pairs()
+    pairs.met += n * (n - 1) // 2
     distances = np.bitwise_count(fps[:, None] ^ REFERENCES[None, :]).astype(np.int8)
     order = np.argsort(distances[:, 0], kind="stable")
     fps, distances = fps[order], distances[order]
@@ -110,6 +107,8 @@ def pivot_links(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
             keep = np.abs(distances[x, k] - distances[y, k]) <= radius
             x, y = x[keep], y[keep]
         keep = np.bitwise_count(fps[x] ^ fps[y]) <= radius
+        pairs.left += len(x)
+        pairs.near += int(keep.sum())
         for i, j in zip(x[keep].tolist(), y[keep].tolist(), strict=True):
             p, q = find(i), find(j)
             if p != q:
@@ -125,7 +124,9 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     masks = [~((0xFF << 8 * i) | (0xFF << 8 * j)) & 0xFFFF_FFFF_FFFF_FFFF for i, j in combinations(range(8), 2)]
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     keys = F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("key")) for i, m in enumerate(masks)])
-    met = distinct.select("fp", F.explode(keys).alias("k")).groupBy("k.i", "k.key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    # Few bytes a fingerprint, but 28 keys each: dealt to all tasks before they are made.
+    dealt = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    met = dealt.select("fp", F.explode(keys).alias("k")).groupBy("k.i", "k.key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
 
     def verify(batches):
         for b in batches:
@@ -136,60 +137,20 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return met.select("fps").mapInArrow(verify, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """Rows (node, root) for the nodes of ``edges`` (a, b) by star contraction; root is the smallest node of the component."""
-    edges = durable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
-    for _ in range(most_rounds):
-        state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state["n"] == 0 or state == before:
-            break
-        before = state
-        # Large star: every larger neighbour of a node goes to the smallest one in sight.
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # Small star: a node and its smaller neighbours go to the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
-        small = large.join(low, F.col("u") == F.col("w")).select("u", "v", "m")
-        small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = durable(small.select("e.u", "e.v").where("u <> v").distinct())
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
-
-
-def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
-    """Rows (id, fp, component_id), one a row of ``df``; component_id is the smallest id of the documents linked to it."""
-    docs = durable(fingerprints(df, id, text, shingle))
+def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = RADIUS, similar: tuple[int, int] | None = None) -> DataFrame:
+    """Rows (id, h, fp, root, component_id), one a row of ``df``: component_id is the smallest id of the documents linked to it.
+
+    ``h`` is the hash of the text and ``root`` names the group. Texts link where their fingerprints differ in at most ``radius``
+    bits or, with ``similar`` (a fraction), where their sets of shingles have that Jaccard similarity, see ``near_copies``.
+    """
+    texts = df.select(F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("t"))
+    if similar is not None:
+        return near_copies.near_copies(texts, id, shingle, similar)
+    docs = durable(fingerprints(texts, shingle))
     distinct = durable(docs.groupBy("fp").agg(F.min("id").alias("least")))
     return with_components(docs, distinct, links(distinct, radius), id)
 
 
-def with_components(docs: DataFrame, distinct: DataFrame, edges: DataFrame, id: str) -> DataFrame:
-    """Rows (id, fp, component_id) of ``docs`` (id, fp), where ``edges`` (a, b) link the fingerprints of ``distinct`` (fp, least)."""
-    found = components(edges)
-    linked = distinct.join(found, F.col("fp") == F.col("node")).select("fp", "root", "least")
-    roots = linked.groupBy("root").agg(F.min("least").alias("component"))
-    linked = linked.select("fp", "root").join(roots, "root").select("fp", "component")
-    alone = distinct.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component"))
-    whole = durable(alone.unionByName(linked))
-    return docs.join(whole, "fp").select(F.col("id").alias(id), "fp", F.col("component").alias("component_id"))
-
-
-def keep_one(docs: DataFrame, id: str = "doc_id", **how) -> DataFrame:
-    """The document with the smallest id of each component, with all its columns; documents without an id stay."""
-    return keep_first(docs, near_duplicates(docs.select(id, "text"), id, **how), id)
-
-
-def keep_first(docs: DataFrame, found: DataFrame, id: str) -> DataFrame:
-    """``docs`` without those that are not the smallest of their component in ``found``."""
-    found = found.where(F.col(id).isNotNull())
-    first = F.col(id) == F.col("component_id")
-    by_id = durable(found.groupBy(F.col(id).alias("_id")).agg(F.count_if(first).alias("kept")))
-    # Those to drop are the fewer, so the texts stay where they are as long as the ids can be broadcast.
-    dropped = durable(by_id.where("kept = 0").select("_id"))
-    out = docs.join(dropped, F.col(id) == F.col("_id"), "left_anti")
-    if by_id.where("kept > 1").isEmpty():
-        return out
-    return out.where(F.col(id).isNotNull()).dropDuplicates([id]).unionByName(docs.where(F.col(id).isNull()))
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """One document of each group, the one with the smallest id, with all its columns; see ``groups.keep_first``."""
+    return keep_first(docs, near_duplicates(docs, id, text, **how), id, text)
