@@ -1,21 +1,27 @@
 r"""Mixing sources to target weights by entropy balancing.
 
-Among all rates r(d) in [0, cap] that give each source its target of tokens, entropy balancing takes those closest to 1 in
-relative entropy. Its convex dual has one multiplier a source, and the rates are exponential tilts
-
-    r(d) = min(cap, exp(lambda[source] * z(d))),
-
-z(d) being the document's size band (number of binary digits of its size) over the source's token-weighted mean band.
-Gradient and Hessian of the dual are sums over bands, so one distributed aggregation to at most 64 bands a source is all
-that touches documents; safeguarded Newton steps then run per source, on all sources in parallel. Rates are rounded to
-whole copies by error diffusion from large to small documents inside hashed slices of a source, so the words taken follow
-the target although every document is taken whole. A hot source is many slices; no group grows with the input.
-
-Targets: sources by code point, null last, get the weights in turn and share all tokens; a target above cap times its
-source's size stops there and the excess is shared again by weight, in closed form (water filling).
-
-Cases: null text has size 0; a document of size 0 keeps one copy, of 0 words; a null source is a source; repeated rows of
-equal id, source and size get equal copies; an empty table gives an empty result. Only DataFrame functions run.
+Among all rates r(d) in [0, cap] that give each source its target of tokens, entropy balancing takes those closest to 1: it
+minimises the sum of q(d) (r log r - r + 1) subject to sum(size r) = target. z(d) being the document's size band (number of binary
+digits of its size) over the source's token-weighted mean band, the reference weight is q = size / z, which makes the rates of the
+Lagrangian exponential tilts
+
+    r(d) = min(cap, exp(lambda[source] * z(d))).
+
+The convex dual has one multiplier a source. Gradient and Hessian are sums over bands, so one distributed aggregation to at most 64
+bands a source is all that touches documents; safeguarded Newton steps then run per source, on all sources in parallel. Rates are
+rounded to whole copies by a threshold: a document falls into one of BUCKETS by a hash of its id, size and source, and of a band
+the buckets below a cut get one copy more than the others. Cuts are chosen from the tokens of the buckets, from the largest band to
+the smallest, each taking over what the one before left. So a document's copies follow from a table of one row a source, and its
+text is not shuffled as long as that table can be broadcast.
+
+Targets: sources by code point, null last, get the weights in turn and share all tokens; a target above cap times its source's size
+stops there and the excess is shared again by weight, in closed form (water filling). That step sees one narrow row a source in one
+task, so the number of sources should stay within some ten millions.
+
+Cases: null text has size 0; a document of size 0 keeps one copy, of 0 words; a null source is a source; repeated rows of equal id,
+size and source get equal copies; a very long text is one document like any other, taken whole; an empty table gives an empty
+result; columns of the input may have any names. Sums are of whole numbers or in a fixed order, so reruns agree. Only DataFrame
+functions run.
 """
 
 from __future__ import annotations
@@ -25,9 +31,8 @@ from pyspark.sql import functions as F
 
 from ._util import WORD, durable
 
-#: Documents a slice holds on average.
-SLICE = 512
 NEWTON_STEPS = 60
+BUCKETS = 1024
 
 
 def word_count(text):
@@ -38,22 +43,16 @@ def band(size):
     return F.when(size > 0, F.length(F.bin(size))).otherwise(0)
 
 
-def source_targets(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
-    """From rows (source, size, repeats): source, n_docs, source_size, mean_band, target, lam; written to the shared folder."""
-    bands = docs.groupBy("source", band(F.col("size")).alias("band")).agg(
-        F.sum(F.col("size") * F.col("repeats")).alias("tokens"), F.count(F.lit(1)).alias("n")
-    )
-    per = bands.groupBy("source").agg(
-        F.sum("n").alias("n_docs"),
-        F.sum("tokens").alias("source_size"),
-        F.try_divide(F.sum(F.col("band") * F.col("tokens")), F.sum("tokens")).alias("mean_band"),
-        F.collect_list(F.struct(F.col("band"), F.col("tokens").cast("double").alias("tokens"))).alias("bands"),  # 64 at most
-    )
-    # One row a source from here on.
+def bucket(id, size, source):
+    return F.pmod(F.xxhash64(id, size, source), F.lit(BUCKETS)).cast("int")
+
+
+def source_targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
+    """Rows (source, source_size, target) from (source, source_size)."""
     everywhere = Window.partitionBy(F.lit(0))
     pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("i") % len(weights) + 1).cast("int"))
     per = (
-        per.withColumn("i", F.row_number().over(everywhere.orderBy(F.col("source").asc_nulls_last())) - 1)
+        sources.withColumn("i", F.row_number().over(everywhere.orderBy(F.col("source").asc_nulls_last())) - 1)
         .withColumn("weight", pick)
         .withColumn("ceiling", F.col("source_size") * F.lit(float(cap)))
         .withColumn("ratio", F.col("ceiling") / F.col("weight"))
@@ -64,10 +63,12 @@ def source_targets(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: f
     ).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     per = per.withColumn("level", level).withColumn("open", F.col("level") <= F.col("ratio"))
     shared = F.min_by(F.when(F.col("open"), F.col("level")), F.when(F.col("open"), F.struct("ratio", "i"))).over(everywhere)
-    per = per.withColumn("target", F.when(F.col("open"), shared * F.col("weight")).otherwise(F.col("ceiling")))
+    return per.select("source", "source_size", F.when(F.col("open"), shared * F.col("weight")).otherwise(F.col("ceiling")).alias("target"))
 
-    def z(b):
-        return b["band"] / F.col("mean_band")
+
+def tilt(cap: float):
+    """The multiplier of a source with bands (band, tokens, parts), mean_band, source_size and target."""
+    z = lambda b: b["band"] / F.col("mean_band")
 
     def step(s, _):
         rate = lambda b: F.least(F.lit(float(cap)), F.exp(s["lam"] * z(b)))
@@ -81,55 +82,76 @@ def source_targets(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: f
 
     start = F.struct(F.lit(0.0).alias("lam"), F.lit(-700.0).alias("lo"), F.lit(700.0).alias("hi"))
     solved = F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), start, step)["lam"]
-    lam = F.when(F.col("source_size") == 0, 0.0).when(F.col("target") >= F.col("ceiling"), 1e6).otherwise(solved)
-    return durable(per.select("source", "n_docs", "source_size", "mean_band", "target", lam.alias("lam")))
+    return F.when(F.col("source_size") == 0, 0.0).when(F.col("target") >= F.col("source_size") * F.lit(float(cap)), 1e6).otherwise(solved)
+
+
+def cuts(cap: float):
+    """For each band, largest first, (band, rate, low, cut): ``low`` copies, and one more for the buckets below ``cut``."""
+    top = float(cap)
+
+    def add(s, b):
+        rate = F.when(F.col("target") <= 0, 0.0).otherwise(F.least(F.lit(top), F.exp(F.col("lam") * b["band"] / F.col("mean_band"))))
+        want, low = rate * b["tokens"] + s["carry"], F.floor(rate).cast("double")
+        need = want - low * b["tokens"]
+
+        def nearer(a, p):
+            total = a["total"] + p["tokens"]
+            off = F.abs(total - need)
+            better = off < a["off"]
+            return F.struct(
+                total.alias("total"), F.when(better, p["bucket"] + 1).otherwise(a["cut"]).alias("cut"), F.least(off, a["off"]).alias("off"), F.when(better, total).otherwise(a["taken"]).alias("taken")
+            )
+
+        none = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("cut"), F.abs(need).alias("off"), F.lit(0.0).alias("taken"))
+        # At the cap no bucket can get more.
+        best = F.when(low >= top, none).otherwise(F.aggregate(b["parts"], none, nearer))
+        entry = F.struct(b["band"].alias("band"), rate.alias("rate"), low.cast("long").alias("low"), best["cut"].alias("cut"))
+        return F.struct((need - best["taken"]).alias("carry"), F.concat(s["out"], F.array(entry)).alias("out"))
+
+    start = F.struct(F.lit(0.0).alias("carry"), F.array().cast("array<struct<band:int,rate:double,low:bigint,cut:int>>").alias("out"))
+    return F.aggregate(F.reverse(F.filter("bands", lambda b: b["band"] > 0)), start, add)["out"]
+
+
+def rates(docs: DataFrame, weights: tuple[int, ...], cap: float) -> DataFrame:
+    """One row a source of ``docs`` (source, size, bucket): source, source_size, target, plan (band to rate, low, cut)."""
+    counts = durable(docs.groupBy("source", band(F.col("size")).alias("band"), "bucket").agg(F.sum("size").alias("tokens")))
+    # BUCKETS numbers a band and 64 bands a source at most.
+    parts = F.sort_array(F.collect_list(F.struct("bucket", F.col("tokens").cast("double").alias("tokens"))))
+    bands = counts.groupBy("source", "band").agg(F.sum("tokens").alias("total"), parts.alias("parts"))
+    per = bands.groupBy("source").agg(
+        F.sum("total").alias("source_size"),
+        F.try_divide(F.sum(F.col("band") * F.col("total")), F.sum("total")).alias("mean_band"),
+        F.sort_array(F.collect_list(F.struct("band", F.col("total").cast("double").alias("tokens"), "parts"))).alias("bands"),
+    )
+    per = durable(per)
+    targets = source_targets(per.select("source", "source_size"), weights, cap).select(F.col("source").alias("s"), "target")
+    solved = per.join(targets, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("lam", tilt(cap))
+    entries = F.transform(cuts(cap), lambda e: F.struct(e["band"], F.struct(e["rate"], e["low"], e["cut"])))
+    return durable(solved.select("source", "source_size", "target", F.map_from_entries(entries).alias("plan")))
 
 
-def mix(df: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
-    """Rows (id, source, size, repeats, source_size, target, rate, copies), one for all rows of equal id, source and size.
+def decided(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """``sized`` (..., source, size, bucket) with source_size, target, rate and copies."""
+    plan = plan.withColumnRenamed("source", "s")
+    mine = F.try_element_at("plan", band(F.col("size")))
+    with_plan = sized.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("mine", mine)
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.col("mine")["low"] + (F.col("bucket") < F.col("mine")["cut"]).cast("long"))
+    rate = F.when(F.col("size") == 0, 1.0).otherwise(F.col("mine")["rate"])
+    return with_plan.withColumns({"rate": rate, "copies": copies.cast("long")}).drop("plan", "mine", "bucket")
 
-    ``repeats`` counts those rows; each is to be taken ``copies`` times.
-    """
-    docs = durable(
-        df.groupBy(F.col(id).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")).agg(F.count(F.lit(1)).alias("repeats"))
-    )
-    targets = source_targets(docs, weights, cap)
-    z = band(F.col("size")) / F.col("mean_band")
-    rate = F.when(F.col("size") == 0, 1.0).when(F.col("target") <= 0, 0.0).otherwise(F.least(F.lit(float(cap)), F.exp(F.col("lam") * z)))
-    slices = F.greatest(F.ceil(F.col("n_docs") / SLICE), F.lit(1)).cast("long")
-    tilted = (
-        docs.join(targets, docs["source"].eqNullSafe(targets["source"]))
-        .drop(targets["source"])
-        .withColumns({"rate": rate, "slice": F.pmod(F.xxhash64("id", "size", "source"), slices)})
-    )
-    fields = ["size", "id", "repeats", "rate", "source_size", "target"]
-    packed = tilted.groupBy("source", "slice").agg(F.collect_list(F.struct(*fields)).alias("items"))
-    # Largest first, so that small documents even out what large ones leave.
-    items = F.array_sort(
-        "items",
-        lambda a, b: F.when(a["size"] > b["size"], -1).when(a["size"] < b["size"], 1).when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0),
-    )
 
-    def diffuse(s, x):
-        unit = (x["size"] * x["repeats"]).cast("double")
-        want = x["rate"] * unit + s["carry"]
-        near = F.round(F.try_divide(want, unit))
-        copies = F.when(unit == 0, 1.0).otherwise(F.greatest(F.floor(x["rate"]).cast("double"), F.least(F.ceil(x["rate"]).cast("double"), near)))
-        return F.struct(
-            F.when(unit == 0, s["carry"]).otherwise(want - copies * unit).alias("carry"),
-            F.concat(s["copies"], F.array(copies.cast("long"))).alias("copies"),
-        )
-
-    start = F.struct(F.lit(0.0).alias("carry"), F.array().cast("array<bigint>").alias("copies"))
-    rounded = packed.withColumn("items", items).withColumn("copies", F.aggregate("items", start, diffuse)["copies"])
-    one = rounded.select("source", F.explode(F.arrays_zip("items", "copies")).alias("x"))
-    return one.select(F.col("x.items.id").alias(id), F.col("source").alias(source), *[F.col(f"x.items.{f}").alias(f) for f in fields if f != "id"], F.col("x.copies").alias("copies"))
+def mix(df: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
+    """Rows (id, source, size, source_size, target, rate, copies), one for each row of ``df``, which is to be taken ``copies`` times."""
+    sized = df.select(F.col(id).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    sized = durable(sized.withColumn("bucket", bucket("id", "size", "source")))
+    out = decided(sized, rates(sized, weights, cap))
+    return out.select(F.col("id").alias(id), F.col("source").alias(source), "size", "source_size", "target", "rate", "copies")
 
 
-def mix_documents(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
+def mix_documents(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
     """The rows of ``docs``, with all their columns, as often as the mix takes them."""
-    plan = mix(docs, id, source, text, **how).where("copies > 0")
-    plan = plan.select(F.col(id).alias("_id"), F.col(source).alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
-    full = docs.withColumn("_own_size", word_count(F.col(text)))
-    on = full[id].eqNullSafe(plan["_id"]) & full[source].eqNullSafe(plan["_source"]) & (full["_own_size"] == plan["_size"])
-    return full.join(plan, on).select(*[full[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    # The row as one value, so that no name of its columns can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    sized = rows.withColumn("bucket", bucket("id", "size", "source"))
+    out = decided(sized, rates(sized.select("source", "size", "bucket"), weights, cap)).where("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

@@ -82,8 +82,7 @@ FROM best
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    rows = plan.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "rate", "copies")
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "rate", "copies")
 
 
 QUERIES = {"op4_chat_format": op4_chat_format, "op5_url_filter": op5_url_filter, "op10_mixing": op10_mixing}
