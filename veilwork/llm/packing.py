@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import packing_lp
-from ._util import durable
+from ._util import durable, slices
 from .tokens import WordIds, default_path, worker
 
 SLICES = 64
@@ -33,7 +33,7 @@ def pieces(df: DataFrame, id: str, text: str, capacity: int, path: str) -> DataF
     def make(batches):
         encode = worker(WordIds, path)
         width = 4 * capacity
-        for b in batches:
+        for b in slices(batches, cached=True):
             at, piece, start, length, crc = [], [], [], [], []
             for i, ids in enumerate(encode([t or "" for t in b.column(1).to_pylist()])):
                 ids += b"\0\0\0\0"

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._util import slices
+
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "github", "npm")
 
@@ -117,7 +119,7 @@ def scan_documents(df: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
 
     def run(batches):
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.int32())]))
-        for b in batches:
+        for b in slices(batches):
             spans = [[{"kind": KINDS[s.kind], "start": s.start, "end": s.end, "value": s.value} for s in scan(t)] if t else [] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, kind)], ["id", "spans"])
 
@@ -130,7 +132,7 @@ def redact_documents(docs: DataFrame, text: str = "text", mark: str = "[SECRET]"
     at = docs.columns.index(text)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             new = pa.array([redact(t, scan(t), mark) if t else t for t in b.column(at).to_pylist()], pa.string())
             columns = [new if i == at else c for i, c in enumerate(b.columns)]
             yield pa.RecordBatch.from_arrays(columns, b.schema.names)

@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import sole
+from ._util import slices, sole
 
 #: Characters whose class and case are the same in every Unicode version: Latin letters, common signs, plain white space.
 _OTHER = re.compile("[^\\t\\n\\x0b\\x0c\\r -~¡-įı-ňŊ-žƀ-ǃǍ-ǰ‐-‧‰-⁞€]")
 #: Special strings hold this in both vocabularies; such texts take the library's way.
 _SPECIAL = "<|"
-#: Words a worker's cache holds before it starts anew.
-CACHE = 600_000
+#: Words a worker's cache holds before it keeps only those of the texts at hand.
+CACHE = 500_000
 #: Longer words are not nominated.
 LONG_WORD = 200
 #: Words that a task nominates for the table of frequent words, and those that the table holds.
@@ -72,12 +72,14 @@ class Words:
     library as one text; closing signs after a letter or digit are a pre-token of their own.
     """
 
-    def __init__(self, tok, value, lead: str, frozen: dict | None = None):
-        self.tok, self.value, self.lead, self.frozen = tok, value, lead, frozen or {}
+    def __init__(self, tok, values, lead: str, frozen: dict | None = None):
+        # ``values`` takes the ids of many words in one array and the borders between them.
+        self.tok, self.values, self.lead, self.frozen = tok, values, lead, frozen or {}
         self.known, self.tails = dict(self.frozen), {}
 
     def _encode(self, texts: list[str]) -> list:
-        return [self.value(e.ids) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        found = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return self.values(np.fromiter((x for ids in found for x in ids), np.uint32), np.cumsum([0, *map(len, found)]))
 
     def _letters(self, words: list[str]) -> list:
         e = self.tok.encode(" " + " ".join(words), add_special_tokens=False)
@@ -85,8 +87,7 @@ class Words:
         starts = np.flatnonzero(np.diff(of, prepend=-1))
         if len(starts) != len(words):
             return self._encode([self.lead + w for w in words])
-        ids, ends = e.ids, [*starts[1:].tolist(), len(of)]
-        return [self.value(ids[a:b]) for a, b in zip(starts.tolist(), ends, strict=True)]
+        return self.values(np.array(e.ids, np.uint32), np.append(starts, len(of)))
 
     def _learn(self, missing: set[str]) -> None:
         ended, need = [], set()
@@ -100,10 +101,10 @@ class Words:
         need.difference_update(self.known)
         letters = [w for w in need if w.isalpha()]
         others = [w for w in need if not w.isalpha()]
-        for i in range(0, len(letters), 20_000):
-            self.known.update(zip(letters[i : i + 20_000], self._letters(letters[i : i + 20_000]), strict=True))
-        for i in range(0, len(others), 20_000):
-            self.known.update(zip(others[i : i + 20_000], self._encode([self.lead + w for w in others[i : i + 20_000]]), strict=True))
+        for i in range(0, len(letters), 4_000):
+            self.known.update(zip(letters[i : i + 4_000], self._letters(letters[i : i + 4_000]), strict=True))
+        for i in range(0, len(others), 4_000):
+            self.known.update(zip(others[i : i + 4_000], self._encode([self.lead + w for w in others[i : i + 4_000]]), strict=True))
         new = list({t for _, _, t in ended}.difference(self.tails))
         if len(self.tails) > 10_000:
             self.tails, new = {}, list({t for _, _, t in ended})
@@ -112,10 +113,11 @@ class Words:
             self.known[w] = self.known[stem] + self.tails[tail]
 
     def fill(self, lists: list[list[str]]) -> None:
-        missing = set().union(*lists).difference(self.known)
+        here = set().union(*lists)
+        missing = here.difference(self.known)
         if len(self.known) + len(missing) > CACHE + len(self.frozen):
-            self.known = dict(self.frozen)
-            missing = set().union(*lists).difference(self.known)
+            # Frequent words are among those of the texts at hand.
+            self.known = self.frozen | {w: self.known[w] for w in here.difference(missing)}
         if missing:
             self._learn(missing)
 
@@ -138,7 +140,7 @@ class Words:
         return out
 
 
-def groups(texts: list, size: int = 2_000_000) -> Iterator[list]:
+def groups(texts: list, size: int = 1_000_000) -> Iterator[list]:
     """Runs of texts of about ``size`` characters."""
     run, held = [], 0
     for t in texts:
@@ -156,7 +158,12 @@ class WordIds:
 
     def __init__(self, path: str):
         self.tok = load(path)
-        self.words = Words(self.tok, lambda ids: np.array(ids, "<u4").tobytes(), "")
+        self.words = Words(self.tok, self.values, "")
+
+    @staticmethod
+    def values(ids: np.ndarray, borders: np.ndarray) -> list[bytes]:
+        data, at = ids.astype("<u4").tobytes(), (4 * borders).tolist()
+        return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
@@ -181,10 +188,10 @@ class TokenCounts:
 
     def __init__(self, path: str, frequent: dict[str, int] | None = None):
         self.tok = load(path)
-        self.words = Words(self.tok, len, " ", frequent)
+        self.words = Words(self.tok, lambda ids, borders: np.diff(borders).tolist(), " ", frequent)
 
     def count(self, texts: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        return [len(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> Iterator[int]:
         for run in groups(texts):
@@ -204,7 +211,7 @@ def frequent_pieces(df: DataFrame, text: str, path: str) -> dict[str, int]:
 
     def nominate(batches):
         seen: Counter = Counter()
-        for b in batches:
+        for b in slices(batches):
             for t in b.column(0).to_pylist():
                 if t:
                     seen.update(t.split(" ")[1:])
@@ -240,7 +247,7 @@ def count_tokens(df: DataFrame, id: str = "doc_id", text: str = "text", limit: i
 
     def count(batches):
         counts = worker(TokenCounts, path, token, table)
-        for b in batches:
+        for b in slices(batches, cached=True):
             texts = [t or "" for t in b.column(1).to_pylist()]
             n = list(counts(texts))
             size = [len(t) if t.isascii() else len(t.encode()) for t in texts]

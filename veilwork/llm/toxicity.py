@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import durable, sole
+from ._util import durable, slices, sole
 
 HASH_BITS = 20
 STEMS = (4, 5, 6)
@@ -133,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
         return fit([], [], [], [])
 
     def terms(batches):
-        for b in batches:
+        for b in slices(batches):
             sets = [sorted(set().union(*map(places, set((t or "").split())))) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.list_(pa.int32()))], ["id", "y", "terms"])
 
@@ -189,7 +189,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
 
     def run(batches):
         scorer = sole(token, lambda: Scorer(shared.value))
-        for b in batches:
+        for b in slices(batches, cached=True):
             s = np.array([scorer(t) for t in b.column(at).to_pylist()], float)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*columns, *names])
 
