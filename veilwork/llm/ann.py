@@ -2,11 +2,17 @@
 
 On a sample of at most SAMPLE distinct vectors, chosen by a hash of the id, a neighbour graph is built and cut into balanced
 parts so that few edges cross. A small classifier (one hidden layer) learns the parts of a vector's neighbours from the vector;
-it then assigns every row of the table to its likeliest part and sends each query to its several most probable parts. How many
-is read off the sample: the fewest that find at least TARGET of its own true neighbours. Inside the parts distances are exact.
-Parts are cut into blocks of bounded size, so a part that holds a third of all rows is many tasks.
+it then assigns every row of the table to its likeliest part and sends each query to its several most probable parts, whose
+rows are reranked by exact distances. How many parts that takes is measured on HELD more vectors that the fit has not seen: the
+fewest that find TARGET of their neighbours in the sample. There are about sqrt(rows) / 3 parts, SAMPLE / LEAST at most; from
+there on parts grow and not their number. A part is cut into blocks of bounded size by the rows that it holds, so one that holds
+a third of them is many tasks.
 
-Cases: see ``vectors``; zero vectors take no part; an empty table gives no rows; with fewer rows than asked for, all are found.
+What a query saves depends on the vectors: with clusters it visits few parts; where neighbours lie in all directions, as among
+random directions in many dimensions, no partition separates them and the measure asks for nearly all parts.
+
+Cases: see ``vectors``; zero vectors take no part; ties go to smaller ids; an empty table gives no rows; with fewer rows than
+asked for, all are found.
 """
 
 from __future__ import annotations
@@ -18,13 +24,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import vectors
 from ._util import durable
 
-SAMPLE, NEIGHBOURS, HIDDEN, EPOCHS = 4096, 10, 64, 40
-#: Rows of a part on average, most parts, share of true neighbours that the sample must find.
-PART_ROWS, MOST_PARTS, TARGET = 2500, 64, 0.98
+#: Vectors that the fit sees at most, those that the number of visited parts is measured on, and fewest fitted vectors a part.
+SAMPLE, HELD, LEAST = 8192, 512, 32
+NEIGHBOURS, HIDDEN, EPOCHS = 10, 64, 40
+#: Share of the true neighbours of held-out vectors that must be found.
+TARGET = 0.95
 
 
 class Router(NamedTuple):
@@ -36,9 +45,16 @@ class Router(NamedTuple):
     b2: np.ndarray
     probes: int
 
+    @property
+    def parts(self) -> int:
+        return len(self.b2)
+
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.maximum(0, (x - self.mean) / self.scale @ self.w1 + self.b1) @ self.w2 + self.b2
 
+    def likeliest(self, x: np.ndarray, parts: int) -> np.ndarray:
+        return np.argsort(-self.logits(x), axis=1, kind="stable")[:, :parts]
+
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """Row i: the k nearest other rows."""
@@ -89,12 +105,12 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, m: int, rng) -> np.ndarray:
     return part
 
 
-def learn(x: np.ndarray, m: int, seed: int = 11) -> Router:
+def learn(x: np.ndarray, m: int, held: np.ndarray, seed: int = 11) -> Router:
+    """Parts and classifier of the distinct vectors ``x``; ``held`` are others, which decide how many parts a query visits."""
     rng = np.random.default_rng(seed)
     mean, scale = x.mean(0), float(x.std()) or 1.0
     k = min(NEIGHBOURS, len(x) - 1)
-    m = max(1, min(m, len(x) // 8))
-    if m == 1 or k < 1:
+    if m <= 1 or k < 1 or not len(held):
         return Router(mean, scale, np.zeros((x.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
     graph = neighbour_graph(x, k)
     part = balanced_parts(x, graph, m, rng)
@@ -121,46 +137,55 @@ def learn(x: np.ndarray, m: int, seed: int = 11) -> Router:
                 v += 0.001 * (gq * gq - v)
                 q -= 0.003 * (f / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     router = Router(mean, scale, *params, 1)
-    order = np.argsort(-router.logits(x), axis=1)
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(m)[None, :].repeat(len(x), 0), axis=1)
-    # The place at which a query meets each true neighbour's part.
-    met = rank[np.arange(len(x))[:, None], order[graph, 0]]
+    # The place at which a held-out vector meets the part of each of its true neighbours.
+    home = router.likeliest(x, 1)[:, 0]
+    norms = (x * x).sum(1)
+    near = np.argpartition(norms[None, :] - 2 * held @ x.T, k - 1, axis=1)[:, :k]
+    order = router.likeliest(held, m)
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(m)[None, :].repeat(len(held), 0), axis=1)
+    met = place[np.arange(len(held))[:, None], home[near]]
     found = np.array([(met < p).mean() for p in range(1, m + 1)])
     return router._replace(probes=int(np.argmax(found >= TARGET)) + 1)
 
 
+def fit(rows: DataFrame, n: int, seed: int = 11) -> Router | None:
+    """The router of ``n`` rows (id, vec); None without any."""
+    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE + HELD).select("vec").toArrow()
+    if not chosen.num_rows:
+        return None
+    sample = vectors.matrix(chosen.column("vec").combine_chunks())
+    sample = np.random.default_rng(seed).permutation(np.unique(sample, axis=0))
+    held = min(HELD, len(sample) // 5)
+    x = sample[held:]
+    return learn(x, min(round(math.sqrt(n) / 3), len(x) // LEAST), sample[:held], seed)
+
+
 def nearest(df: DataFrame, every: int = 100, k: int = 10, id: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """Rows (query_id, rank, vec_id, score) for the queries whose id is divisible by ``every``."""
     spark = df.sparkSession
     rows = vectors.taking_part(df, id, vec, nonzero=True)
-    sample = np.array([r["vec"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()], float)
-    if not len(sample):
+    router = fit(rows, rows.count())
+    if router is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    n = rows.count()
-    router = learn(np.unique(sample, axis=0), min(MOST_PARTS, max(1, n // PART_ROWS)))
     shared = spark.sparkContext.broadcast(router)
+    kind = "<f4" if df.schema[vec].dataType == T.ArrayType(T.FloatType(), df.schema[vec].dataType.containsNull) else "<f8"
 
     def route(probes: int):
         def run(batches):
-            r = shared.value
             for b in batches:
                 if not b.num_rows:
                     continue
                 x = vectors.matrix(b.column(1))
-                parts = np.argsort(-r.logits(x), axis=1, kind="stable")[:, :probes]
+                parts = shared.value.likeliest(x, probes)
                 at = pa.array(np.repeat(np.arange(len(x)), parts.shape[1]))
-                packed = pa.array([v.astype("<f8").tobytes() for v in x], pa.binary())
+                packed = pa.array([v.tobytes() for v in x.astype(kind)], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(parts.ravel().astype(np.int32)), b.column(0).take(at), packed.take(at)], ["g", "id", "vec"])
 
         return run
 
     schema = "g int, id long, vec binary"
     data = durable(rows.mapInArrow(route(1), schema))
-    blocks = {r["g"]: max(1, math.ceil(r["count"] / vectors.BLOCK)) for r in data.groupBy("g").count().collect()}  # MOST_PARTS rows
-    many = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for g, c in blocks.items() for v in (g, c)]), F.col("g")), F.lit(0))
-    # Position in the written table deals rows evenly, equal ones too.
-    dealt = data.withColumn("b", F.pmod(F.monotonically_increasing_id(), many).cast("int"))
-    queries = vectors.one_a_query(rows.where(F.col("id") % every == 0)).mapInArrow(route(router.probes), schema)
-    asked = queries.withColumn("many", many).where("many > 0").select("g", F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("b"), "id", "vec")
-    return vectors.search_blocks(asked, dealt, k, "distance")
+    queries = durable(vectors.one_a_query(rows.where(F.col("id") % every == 0)).mapInArrow(route(router.probes), schema))
+    counts = lambda t: {r["g"]: r["count"] for r in t.groupBy("g").count().collect()}  # noqa: E731  one row a part
+    return vectors.search(queries, data, counts(queries), counts(data), k, "distance", kind)
