@@ -8,10 +8,11 @@ ordered placeholders, and their references and expanded token counts are recorde
 and inside bodies and roles ``\``, ``#`` and ``<`` are preceded by ``\``, so no text can hold a control string and reading
 back restores every character. The loss mask covers the bodies of the assistant's turns, as one (skip, take) run a turn.
 
-Cases: null text is empty; a null role is empty; turns with
-equal numbers are ordered by role, then text; repeated rows are turns of their own; a null conversation id is a
-conversation; unknown part types raise no error but become ``<|type|>`` without tokens. A conversation is one row, so its
-turns meet in one task: that is the size of its own result, and nothing larger is gathered. Only DataFrame functions run.
+Cases: null text is empty; a null role is empty; turns with equal numbers are ordered by role, then text; repeated rows are turns
+of their own; unknown part types raise no error but become ``<|type|>`` without tokens; very long texts are escaped whole; an empty
+table gives no rows; other columns of the input, whatever their names, are not read. A conversation is one row, so its turns meet in
+one task: that is the size of its own result, and nothing larger is gathered. Rows without a conversation id are one conversation;
+where a table holds more of those than one row can, give them ids first. Only DataFrame functions run.
 """
 
 from __future__ import annotations
