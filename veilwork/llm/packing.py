@@ -1,13 +1,14 @@
 """Best-fit packing of documents into sequences of at most ``capacity`` tokens.
 
 One pass tokenizes whole documents on the map side and keeps lengths and checksums of their pieces. The histogram of piece
-lengths, at most ``capacity`` rows, goes to the driver, where the configuration program of ``packing_lp`` turns it into
-configurations and multiplicities. Pieces of a length are then numbered and read their sequence and offset off a table of
-runs whose size is bounded by the rounds of that program. Numbering counts inside hashed slices of a length and adds the
-slices' prefix sums, so a length that a third of all pieces have is spread like any other.
-
-Cases: a null or empty text is the single id 0; repeated rows are packed each; an empty table gives no rows; a null id
-stays null. Only documents longer than the capacity are cut, at multiples of it.
+lengths, at most ``capacity`` rows, goes to the driver, where the configuration program of ``packing_lp`` is solved and rounded to
+configurations and multiplicities. Pieces of a length are then numbered and read their sequence and offset off a table of runs
+whose size is bounded by the rounds of that program. Numbering counts inside hashed slices of a length, of about SLICE_ROWS pieces
+at most, and adds the slices' prefix sums, so a length that a third of all pieces have is spread like any other.
+
+Cases: a null or empty text is the single id 0; repeated rows are packed each, and which of equal pieces comes first does not
+matter; an empty table gives no rows; a null id stays null. A very long text is tokenized whole and its ids cut at multiples of the
+capacity; shorter ones are never cut. Of the input only id and text are read, whatever the names of other columns.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from . import packing_lp
 from ._util import durable, slices
 from .tokens import WordIds, default_path, worker
 
-SLICES = 64
+#: Least number of slices of a length, and pieces of the table for which there is one more.
+SLICES, SLICE_ROWS = 64, 500_000
 
 
 def pieces(df: DataFrame, id: str, text: str, capacity: int, path: str) -> DataFrame:
@@ -73,7 +75,8 @@ def pack(df: DataFrame, id: str = "doc_id", text: str = "text", capacity: int =
     """Rows (id, piece, start, length, ids_crc32, sequence_id, offset), one a piece."""
     spark = df.sparkSession
     cut = durable(pieces(df, id, text, capacity, path or default_path("word_bpe_49k.json")))
-    cut = cut.withColumn("slice", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(SLICES)).cast("int"))
+    slices_of_a_length = max(SLICES, cut.count() // SLICE_ROWS)
+    cut = cut.withColumn("slice", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(slices_of_a_length)).cast("int"))
     counts = cut.groupBy("length", "slice").count()
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # capacity rows at most
     table = spark.sparkContext.broadcast(runs(packing_lp.solve(histogram, capacity)))

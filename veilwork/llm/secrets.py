@@ -4,8 +4,9 @@ One Aho-Corasick automaton runs over the lower-cased text; an expression is only
 Tokens that carry a checksum are reported if it holds. Runs of hexadecimal digits have no keyword and take one plain scan.
 Offsets count code points, ends are exclusive.
 
-Cases: null text is empty and gives no spans; repeated rows are scanned each; overlapping kinds are all reported; whole texts
-are read. Nothing is shuffled, so skew and hot groups do not matter.
+Cases: null text is empty and gives no spans; repeated rows are scanned each; overlapping kinds are all reported, ties at one start
+in the order of the kinds; whole texts are read, however long; an empty table gives no rows; columns of the input may have any names.
+Nothing is shuffled, so skew and hot groups do not matter.
 """
 
 from __future__ import annotations
