@@ -75,7 +75,7 @@ WITH u AS (
   GROUP BY page_id, host, path
 )
 SELECT page_id, host, path, rule,
-  coalesce(action, CASE WHEN regexp_matches(host || path, '/(casino|porn|viagra|warez)/') THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce(action, CASE WHEN regexp_matches(host || path, '/(casino|poker|betting|slots|roulette|porn|xxx|escort|camgirls|viagra|cialis|pharmacy-online|warez|torrent|crack|keygen|serials|phishing|malware|adserver|adclick|banner-ads|cgi-bin|wp-admin|payday-loans)/|\.(exe|msi|apk|dmg|iso|rar|torrent)$') THEN 'block' ELSE 'allow' END) AS verdict
 FROM best
 """
 
