@@ -8,43 +8,64 @@ SHORT_TEXT_CHARS = 8192
 SHORT_TEXT_LINES = 8
 DIRECT_REGEX_CHARS = 128
 
-# --- Fixed values: display label <- raw detector labels, compared in lower case.
-LABELS = {
-    "JWT": ["jwt", "json-web-token", "json web token (base64url encoded)", "json-web-token-base64url-encoded", "json web token base64url encoded"],
-    "GitHub PAT": ["github-pat", "github-fine-grained-pat", "github personal access token (fine grained permissions)"],
-    "GitHub OAuth": ["github-oauth", "githuboauth2"],
-    "GitHub App": ["github-app-token"],
-    "GitHub Token": ["github"],
-    "OpenAI Key": ["openai-api-key", "openai"],
-    "Anthropic Key": ["anthropic-api-key"],
-    "API Key": ["generic-api-key", "generic api key"],
-    "Secret": ["generic-secret", "generic secret", "unknown"],
-    "Password": ["generic password"],
-    "Private Key": ["private-key", "privatekey"],
-    "SSH Key": ["ssh-private-key"],
-    "AWS Key": ["aws-access-token", "aws"],
-    "GCP Key": ["gcp-api-key"],
-    "Google Key": ["google-api-key"],
-    "Slack Token": ["slack-bot-token"],
-    "Slack Webhook": ["slack-webhook"],
-    "Stripe Key": ["stripe-api-key", "stripe"],
-    "Bearer Token": ["bearer-token", "http bearer token"],
-    "URL Credential": ["credentials in a url"],
-    "Postgres URI": ["credentials in postgresql connection uri"],
-    "DB URL": ["database-url"],
-    "Sourcegraph": ["sourcegraph access token", "sourcegraph-access-token", "sourcegraph"],
-    "LinkedIn Token": ["linkedin access token", "linkedin-access-token", "linkedin"],
-    "DockerHub": ["dockerhub"],
-    "NPM Token": ["npmtoken", "npm access token (fine grained)", "npm-access-token-fine-grained", "npm access token fine grained"],
-    "GitHub Secret": ["github secret key"],
-    "Google OAuth": ["google oauth credentials"],
-    "Google OAuth Secret": ["google oauth client secret"],
-    "Cloudflare Token": ["cloudflareapitoken"],
-    "PostHog Key": ["posthog project api key"],
-    "Postmark Token": ["postmark api token"],
-    "Basic Auth": ["curl basic authentication credentials"],
+# --- Fixed values: raw detector label, in lower case -> display label.
+RAW_TO_DISPLAY = {
+    "jwt": "JWT",
+    "json-web-token": "JWT",
+    "github-pat": "GitHub PAT",
+    "github-fine-grained-pat": "GitHub PAT",
+    "github-oauth": "GitHub OAuth",
+    "github-app-token": "GitHub App",
+    "github": "GitHub Token",
+    "openai-api-key": "OpenAI Key",
+    "openai": "OpenAI Key",
+    "anthropic-api-key": "Anthropic Key",
+    "generic-api-key": "API Key",
+    "generic-secret": "Secret",
+    "generic api key": "API Key",
+    "generic secret": "Secret",
+    "generic password": "Password",
+    "private-key": "Private Key",
+    "privatekey": "Private Key",
+    "ssh-private-key": "SSH Key",
+    "aws-access-token": "AWS Key",
+    "aws": "AWS Key",
+    "gcp-api-key": "GCP Key",
+    "google-api-key": "Google Key",
+    "slack-bot-token": "Slack Token",
+    "slack-webhook": "Slack Webhook",
+    "stripe-api-key": "Stripe Key",
+    "stripe": "Stripe Key",
+    "bearer-token": "Bearer Token",
+    "http bearer token": "Bearer Token",
+    "credentials in a url": "URL Credential",
+    "credentials in postgresql connection uri": "Postgres URI",
+    "database-url": "DB URL",
+    "json web token (base64url encoded)": "JWT",
+    "json-web-token-base64url-encoded": "JWT",
+    "json web token base64url encoded": "JWT",
+    "sourcegraph access token": "Sourcegraph",
+    "sourcegraph-access-token": "Sourcegraph",
+    "sourcegraph": "Sourcegraph",
+    "linkedin access token": "LinkedIn Token",
+    "linkedin-access-token": "LinkedIn Token",
+    "linkedin": "LinkedIn Token",
+    "dockerhub": "DockerHub",
+    "npmtoken": "NPM Token",
+    "npm access token (fine grained)": "NPM Token",
+    "npm-access-token-fine-grained": "NPM Token",
+    "npm access token fine grained": "NPM Token",
+    "github secret key": "GitHub Secret",
+    "githuboauth2": "GitHub OAuth",
+    "github personal access token (fine grained permissions)": "GitHub PAT",
+    "google oauth credentials": "Google OAuth",
+    "google oauth client secret": "Google OAuth Secret",
+    "cloudflareapitoken": "Cloudflare Token",
+    "posthog project api key": "PostHog Key",
+    "postmark api token": "Postmark Token",
+    "curl basic authentication credentials": "Basic Auth",
+    "unknown": "Secret",
 }
-RAW_TO_DISPLAY = {raw: display for display, raws in LABELS.items() for raw in raws}
 
 # --- Fixed values: words written in upper case in other labels.
 UPPER_WORDS = ["jwt", "api", "ssh", "aws", "gcp", "oauth", "pat", "url", "sdk", "http", "ai", "id"]
@@ -129,27 +150,59 @@ MIN_SCORE = 0.4
 
 # --- Fixed values: suffixes of files that are not read as text, and the size up to which files are.
 BINARY_SUFFIXES = [
-    ".bin", ".bmp", ".bz2", ".dat", ".db", ".db-shm", ".db-wal", ".dll", ".doc", ".docx", ".eot", ".exe", ".gif", ".gz", ".ico", ".jpeg",
-    ".jpg", ".mdb", ".mp3", ".mp4", ".ogg", ".otf", ".pdf", ".png", ".pyc", ".pyo", ".rar", ".so", ".sqlite", ".sqlite-shm", ".sqlite-wal",
-    ".svg", ".tar", ".ttf", ".vscdb", ".vscdb-shm", ".vscdb-wal", ".wav", ".webm", ".webp", ".woff", ".woff2", ".xls", ".xlsx", ".xz", ".zip",
-    ".zst",
+    ".pyc", ".pyo", ".so", ".dll", ".exe", ".bin", ".dat",
+    ".png", ".jpg", ".jpeg", ".gif", ".ico", ".bmp", ".webp", ".svg",
+    ".woff", ".woff2", ".ttf", ".eot", ".otf",
+    ".mp3", ".mp4", ".wav", ".ogg", ".webm",
+    ".zip", ".tar", ".gz", ".bz2", ".xz", ".zst", ".rar",
+    ".pdf", ".doc", ".docx", ".xls", ".xlsx",
+    ".sqlite", ".db", ".sqlite-shm", ".sqlite-wal",
+    ".vscdb", ".vscdb-shm", ".vscdb-wal", ".db-shm", ".db-wal",
+    ".mdb",
 ]
 MAX_FILE_BYTES = 10 * 1024 * 1024
 SNIFF_BYTES = 4096
 
 # --- Fixed values: credential files under the home folder that are looked at but never rewritten.
 MANAGED_FILES = [
-    ".aider.conf.yml", ".claude.json", ".claude/.credentials.json", ".claude/settings.json", ".cline/data/globalState.json",
-    ".cline/data/secrets.json", ".cline/data/settings/cline_mcp_settings.json", ".codeium/mcp_config.json",
-    ".codeium/windsurf/mcp_config.json", ".codex/.credentials.json", ".codex/auth.json", ".codex/config.toml",
-    ".config/Codeium/Windsurf/mcp_config.json", ".config/crush/crush.json", ".config/opencode/opencode.json",
-    ".config/opencode/opencode.jsonc", ".config/opencode/tui.json", ".config/opencode/tui.jsonc", ".continue/.env",
-    ".continue/config.json", ".continue/config.ts", ".continue/config.yaml", ".cursor/mcp.json", ".gemini/antigravity/mcp_config.json",
-    ".gemini/google_accounts.json", ".gemini/installation_id", ".gemini/mcp-oauth-tokens.json", ".gemini/oauth_creds.json",
-    ".gemini/settings.json", ".gemini/trustedFolders.json", ".gemini/user_id", ".local/share/crush/crush.json",
-    ".local/share/crush/mcp.json", ".local/share/opencode/auth.json", ".local/share/opencode/mcp-auth.json", ".windsurf/mcp.json",
+    ".claude/.credentials.json",
+    ".claude/settings.json",
+    ".claude.json",
+    ".codex/auth.json",
+    ".codex/.credentials.json",
+    ".codex/config.toml",
+    ".cursor/mcp.json",
+    ".windsurf/mcp.json",
     ".windsurf/mcp_config.json",
-]
+    ".codeium/mcp_config.json",
+    ".codeium/windsurf/mcp_config.json",
+    ".config/Codeium/Windsurf/mcp_config.json",
+    ".gemini/antigravity/mcp_config.json",
+    ".gemini/oauth_creds.json",
+    ".gemini/mcp-oauth-tokens.json",
+    ".gemini/settings.json",
+    ".gemini/google_accounts.json",
+    ".gemini/trustedFolders.json",
+    ".gemini/installation_id",
+    ".gemini/user_id",
+    ".local/share/opencode/auth.json",
+    ".local/share/opencode/mcp-auth.json",
+    ".config/opencode/opencode.json",
+    ".config/opencode/opencode.jsonc",
+    ".config/opencode/tui.json",
+    ".config/opencode/tui.jsonc",
+    ".local/share/crush/mcp.json",
+    ".local/share/crush/crush.json",
+    ".config/crush/crush.json",
+    ".aider.conf.yml",
+    ".continue/config.yaml",
+    ".continue/config.json",
+    ".continue/config.ts",
+    ".continue/.env",
+    ".cline/data/settings/cline_mcp_settings.json",
+    ".cline/data/secrets.json",
+    ".cline/data/globalState.json",
+]
 MANAGED_FOLDER = ".mcp-auth"
 MANAGED_NAME = ".mcp.json"
 MANAGED_TAILS = [

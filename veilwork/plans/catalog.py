@@ -229,10 +229,10 @@ def _vendor_secrets(spark, sf_dir) -> DataFrame:
 
 
 def _findings(spark, sf_dir) -> DataFrame:
-    docs, secrets = planted(spark, sf_dir), _vendor_secrets(spark, sf_dir)
-    hits = known.match_known(docs, secrets)
-    typed = findings.with_types(hits, secrets).join(docs.select("doc_id", "source"), "doc_id")
-    return findings.findings(typed)
+    # Id and source go through the match as one value, so nothing has to be joined back.
+    docs, secrets = planted(spark, sf_dir).select(F.struct("doc_id", "source").alias("own"), "text"), _vendor_secrets(spark, sf_dir)
+    hits = known.match_known(docs, secrets, "own").select("own.doc_id", "own.source", "secret", "hits")
+    return findings.findings(findings.with_types(hits, secrets))
 
 
 @query("secrets_distinct", f"{S.MATCHES} SELECT sha256(secret) AS secret_hash, min(label) AS label, count(*) AS hits, count(DISTINCT doc_id) AS files FROM matches GROUP BY secret")
@@ -255,7 +255,7 @@ def secret_min_quality(spark, sf_dir):
     return rows.select("doc_id", long(F.col("n")).alias("n"), X.good_secret(cut).alias("good"))
 
 
-_RAW = sorted({x for raws in K.LABELS.values() for x in raws} | {x.upper() for raws in K.LABELS.values() for x in raws[:1]})
+_RAW = [*K.RAW_TO_DISPLAY, *(x.upper() for x in list(K.RAW_TO_DISPLAY)[::2])]
 _RAW += ["some_new-api token", "Npm-Token", "NPMTOKEN", "Uri", "metabase", "Metabase", "aws  access_token", "Json Web Token (Base64url Encoded)", "AI id checker"]
 _RAW += K.HIGH_PRECISION + K.LOW_SIGNAL
 _RAW_ROWS = [(i, x) for i, x in enumerate(_RAW)]
@@ -824,9 +824,9 @@ def tree_scan(spark, sf_dir):
 
 def _tree_findings(spark, sf_dir) -> DataFrame:
     secrets = _vendor_secrets(spark, sf_dir)
-    read = _scanned(spark, sf_dir)
-    found = findings.findings(findings.with_types(known.match_known(read, secrets, "path"), secrets), "path")
-    return found.join(read.select("path", "managed"), "path")
+    read = _scanned(spark, sf_dir).select(F.struct("path", "managed").alias("own"), "text")
+    hits = known.match_known(read, secrets, "own").select("own.path", "own.managed", "secret", "hits")
+    return findings.findings(findings.with_types(hits, secrets), "path")
 
 
 @query("tree_preserved", f"{S.FINDINGS}, {_TREE_SQL} SELECT managed, count(DISTINCT path) AS files, count(*) AS findings, CAST(sum(hits) AS BIGINT) AS hits FROM findings JOIN scanned USING (doc_id) GROUP BY managed")

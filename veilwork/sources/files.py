@@ -50,7 +50,8 @@ def list_files(spark: SparkSession, roots: list[str]) -> DataFrame:
 
 
 def is_binary_name(path: Column) -> Column:
-    return F.exists(F.array(*map(F.lit, K.BINARY_SUFFIXES)), lambda s: F.endswith(path, s))
+    """A name that ends in one of the suffixes and is more than the suffix."""
+    return F.exists(F.array(*map(F.lit, K.BINARY_SUFFIXES)), lambda s: F.endswith(path, s) & ~F.endswith(path, F.concat(F.lit("/"), s)))
 
 
 def starts_as_text(content: Column) -> Column:

@@ -107,9 +107,6 @@ def labels(paths: DataFrame, targets: DataFrame, home: str) -> DataFrame:
     return owned.select(*paths.columns, F.coalesce("tool", other).alias("source"), F.when(F.col("tool").isNotNull(), F.col("relative")).otherwise(below).alias("relative"))
 
 
-#: Folders that editors built on the same base leave out.
-_FORK = ["bin", "extensions", "node_modules", "CachedProfilesData", "CachedExtensionVSIXs"]
-
 #: The tools, their candidate folders, and what is left out of each: (tool, roots, dirs, files, suffixes).
 REGISTRY = [
     ("claude", ["~/.claude"], ["backups", "cache", "image-cache", "marketplaces", "statsig", "telemetry"], [".credentials.json", "settings.json"], []),
@@ -129,11 +126,11 @@ REGISTRY = [
             "~/.config/Cursor/User/workspaceStorage",
             "~/AppData/Roaming/Cursor/User/workspaceStorage",
         ],
-        _FORK,
+        ["bin", "extensions", "node_modules", "CachedProfilesData", "CachedExtensionVSIXs"],
         ["mcp.json"],
         [],
     ),
-    ("antigravity", ["~/.antigravity-server"], [*_FORK, "logs"], ["mcp.json", "mcp_config.json"], []),
+    ("antigravity", ["~/.antigravity-server"], ["bin", "extensions", "node_modules", "CachedProfilesData", "CachedExtensionVSIXs", "logs"], ["mcp.json", "mcp_config.json"], []),
     ("aider", ["~/.aider"], [], [], []),
     ("continue", ["~/.continue"], [], ["config.yaml", "config.json", "config.ts", ".env"], []),
     (
@@ -143,7 +140,7 @@ REGISTRY = [
         ["mcp.json", "mcp_config.json"],
         [],
     ),
-    ("windsurf-server", ["~/.windsurf-server"], [*_FORK, "logs"], ["mcp.json", "mcp_config.json"], []),
+    ("windsurf-server", ["~/.windsurf-server"], ["bin", "extensions", "node_modules", "CachedProfilesData", "CachedExtensionVSIXs", "logs"], ["mcp.json", "mcp_config.json"], []),
     (
         "windsurf-app",
         [
@@ -151,7 +148,7 @@ REGISTRY = [
             "~/.config/Windsurf/User/workspaceStorage",
             "~/AppData/Roaming/Windsurf/User/workspaceStorage",
         ],
-        _FORK,
+        ["bin", "extensions", "node_modules", "CachedProfilesData", "CachedExtensionVSIXs"],
         ["mcp.json", "mcp_config.json"],
         [],
     ),
