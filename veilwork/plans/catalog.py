@@ -110,6 +110,20 @@ def pii_redacted_text(spark, sf_dir):
     return rows.select("doc_id", redact.replace_spans(F.col("text"), F.col("p")).alias("text"))
 
 
+@query("pii_model_merge", f'{S.MERGED} SELECT doc_id, label, s AS "start", e AS "end", sha256(v) AS value_hash FROM resolved')
+def pii_model_merge(spark, sf_dir):
+    """Rule spans and those of a recogniser, whose place capitalised words take: known labels that overlap no rule span, less those to keep."""
+
+    def merged(t):
+        labels = lambda n: F.when(n % 3 == 0, "GIVEN_NAME").when(n % 3 == 1, "CITY").otherwise("PHONE")
+        names = F.transform(X.find_spans(t, S.NAMES), lambda s: F.struct(s["start"], s["end"], labels(s["end"] - s["start"]).alias("label"), F.lit(9).alias("rule"), F.lit(0.9).alias("score")))
+        return X.let(detect.pii_spans(t), lambda rules: detect.merge_model(rules, names))
+
+    rows = detect.exploded(planted(spark, sf_dir).withColumn("spans", X.let(F.col("text"), merged)), ("doc_id", "text"), F.col("spans"), "s")
+    value = F.substr("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
+    return rows.select("doc_id", "s.label", long(F.col("s.start")).alias("start"), long(F.col("s.end")).alias("end"), F.sha2(value, 256).alias("value_hash"))
+
+
 @query("pii_exit_status", f"{S.RESOLVED} SELECT p.doc_id, count(r.s) AS spans, CASE WHEN count(r.s) > 0 THEN 2 ELSE 0 END AS status FROM planted p LEFT JOIN resolved r ON r.doc_id = p.doc_id GROUP BY p.doc_id")
 def pii_exit_status(spark, sf_dir):
     """What a check of each text would end with: 2 if personal data was found."""

@@ -118,14 +118,19 @@ def pii_matches(source: str, id: str, text: str = "text", labels=None) -> str:
     return " UNION ALL ".join(parts)
 
 
+def places(source: str, id: str, text: str, pattern: str) -> str:
+    """A query of rows (id, s, v): the places and values of all matches."""
+    marked = f"regexp_replace(translate({text}, chr(1) || chr(2), chr(3) || chr(3)), {q('(' + pattern + ')')}, chr(1) || '\\1' || chr(2), 'g')"
+    pieces = f"SELECT {id}, {text} AS txt, unnest(string_split({marked}, chr(1))) AS p, generate_subscripts(string_split({marked}, chr(1)), 1) AS k FROM {source}"
+    placed = f"SELECT *, CAST(coalesce(sum(length(replace(p, chr(2), ''))) OVER (PARTITION BY {id} ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s FROM ({pieces})"
+    return f"SELECT {id}, s, substr(txt, s + 1, instr(p, chr(2)) - 1) AS v FROM ({placed}) WHERE k > 1"
+
+
 def spans(source: str, id: str, text: str = "text") -> str:
-    """A query of rows (id, label, rule, s, e): the places of all matches, ends exclusive, before any is dropped for overlap."""
+    """A query of rows (id, label, rule, s, e, v): the places of all matches, ends exclusive, before any is dropped for overlap."""
     parts = []
     for i, (n, p) in enumerate(K.PII.items()):
-        marked = f"regexp_replace(translate({text}, chr(1) || chr(2), chr(3) || chr(3)), {q('(' + p + ')')}, chr(1) || '\\1' || chr(2), 'g')"
-        pieces = f"SELECT {id}, {text} AS txt, unnest(string_split({marked}, chr(1))) AS p, generate_subscripts(string_split({marked}, chr(1)), 1) AS k FROM {source}"
-        placed = f"SELECT *, CAST(coalesce(sum(length(replace(p, chr(2), ''))) OVER (PARTITION BY {id} ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s FROM ({pieces})"
-        valued = f"SELECT {id}, s, substr(txt, s + 1, instr(p, chr(2)) - 1) AS v FROM ({placed}) WHERE k > 1"
+        valued = places(source, id, text, p)
         if n == "URL":
             valued = f"SELECT {id}, s, {trim_url('v')} AS v FROM ({valued})"
         elif n == "IP_ADDRESS":
@@ -136,9 +141,9 @@ def spans(source: str, id: str, text: str = "text") -> str:
     return " UNION ALL ".join(parts)
 
 
-#: Resolved spans (doc_id, label, s, e, v) of the planted corpus: a chain over each document's spans in order.
-RESOLVED = f"""WITH RECURSIVE {PLANTED_SQL},
-spans AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, e DESC, rule) AS k FROM ({spans('planted', 'doc_id')})),
+def resolved(found: str) -> str:
+    """Common table expressions up to resolved (doc_id, label, s, e, v): a chain over each document's spans in ``found``, in order."""
+    return f"""spans AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, e DESC, rule) AS k FROM ({found})),
 chain AS (
   SELECT doc_id, label, s, e, v, k, e AS last, true AS kept FROM spans WHERE k = 1
   UNION ALL
@@ -147,6 +152,18 @@ chain AS (
 ),
 resolved AS (SELECT doc_id, label, s, e, v FROM chain WHERE kept)"""
 
+
+#: Resolved spans of the planted corpus.
+RESOLVED = f"WITH RECURSIVE {PLANTED_SQL}, {resolved(spans('planted', 'doc_id'))}"
+
+#: Words that stand for what a recogniser of names finds, and the labels they get by their length.
+NAMES = "[A-Z][a-z]{5,}"
+_MODEL = f"SELECT doc_id, CASE length(v) % 3 WHEN 0 THEN 'GIVEN_NAME' WHEN 1 THEN 'CITY' ELSE 'PHONE' END AS label, 9 AS rule, s, s + length(v) AS e, v FROM ({places('planted', 'doc_id', 'text', NAMES)})"
+#: Rule spans, and those model spans to redact that overlap none of them, resolved together.
+MERGED = f"""WITH RECURSIVE {PLANTED_SQL}, rules AS ({spans('planted', 'doc_id')}),
+apart AS (SELECT * FROM ({_MODEL}) m WHERE label NOT IN {in_list(K.KEEP_LABELS)} AND NOT EXISTS (SELECT 1 FROM rules r WHERE r.doc_id = m.doc_id AND r.s < m.e AND r.e > m.s)),
+{resolved("SELECT * FROM rules UNION ALL SELECT * FROM apart")}"""
+
 RUN = "[A-Za-z0-9_@+/.-]+={0,2}"
 #: What lies between such runs.
 NO_RUN = "[^A-Za-z0-9_@+/.-]+"
