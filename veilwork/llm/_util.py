@@ -34,6 +34,18 @@ def sole(key, make):
     return _held[key]
 
 
+#: Rows of an Arrow batch of texts, where the session has Spark's default of 10,000, which can be hundreds of MB a task on both sides.
+BATCH = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with its session set to Arrow batches that fit texts, unless it has a setting of its own."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH))
+    return df
+
+
 def slices(batches, rows: int = 512, cached: bool = False) -> Iterator:
     """The Arrow batches in pieces of so many rows, which are made Python objects one piece at a time.
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import durable, sieve, slices
+from ._util import durable, release, sieve, slices
 from .groups import components, with_components
 from .shingles import shingles
 
@@ -225,6 +225,7 @@ def meetings(keys: DataFrame, similar: tuple[int, int]) -> DataFrame:
     def run(batches):
         held = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)]
         open_key, block, filled = None, 0, 0
+        gone = None  # the last row of a part of a group that went out
 
         def large(key, n, fp):
             nonlocal open_key, block, filled
@@ -244,6 +245,8 @@ def meetings(keys: DataFrame, similar: tuple[int, int]) -> DataFrame:
         def out(key, n, fp, last: bool):
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])
+            if len(key) and gone == (key[0], fp[0]):
+                new[0] = False
             key, n, fp = key[new], n[new], fp[new]
             if not len(key):
                 return
@@ -267,8 +270,10 @@ def meetings(keys: DataFrame, similar: tuple[int, int]) -> DataFrame:
                 held = [c[cut:] for c in held]
             if len(held[0]) > HELD:
                 yield from out(*held, False)
-                held = [c[-1:] for c in held]  # the last row again, to see a copy of it
+                gone = held[0][-1], held[2][-1]
+                held = [c[-1:] for c in held]  # once more, as copies of it may follow
         yield from out(*held, True)
+        release()
 
     return keys.repartition("key").sortWithinPartitions("key", "n", "fp").mapInArrow(run, "a long, b long, key long, block int, n int")
 
@@ -298,6 +303,7 @@ def candidates(docs: DataFrame, distinct: DataFrame, similar: tuple[int, int]) -
             rows = zip(*(b.column(c).to_pylist() for c in ("bitsa", "bitsb", "na", "nb")), strict=True)
             keep = [near_prints(*r, similar) for r in rows]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        release()
 
     def grow(table):
         fps = table.column("a").to_pylist()

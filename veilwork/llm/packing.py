@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import packing_lp
-from ._util import durable, slices
+from ._util import durable, slices, small_batches
 from .tokens import WordIds, default_path, worker
 
 #: Least number of slices of a length, and pieces of the table for which there is one more.
@@ -52,7 +52,7 @@ def pieces(df: DataFrame, id: str, text: str, capacity: int, path: str) -> DataF
             )
 
     schema = f"id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long"
-    return df.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(make, schema)
+    return small_batches(df).select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(make, schema)
 
 
 def runs(packed: list[tuple[packing_lp.Configuration, int]]) -> dict[int, np.ndarray]:

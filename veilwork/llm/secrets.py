@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import slices
+from ._util import slices, small_batches
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "github", "npm")
@@ -125,7 +125,7 @@ def scan_documents(df: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, kind)], ["id", "spans"])
 
     schema = f"id {df.schema[id].dataType.simpleString()}, spans {SPANS}"
-    return df.select(F.col(id).alias("id"), F.col(text).alias("t")).mapInArrow(run, schema).withColumnRenamed("id", id)
+    return small_batches(df).select(F.col(id).alias("id"), F.col(text).alias("t")).mapInArrow(run, schema).withColumnRenamed("id", id)
 
 
 def redact_documents(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
@@ -138,7 +138,7 @@ def redact_documents(docs: DataFrame, text: str = "text", mark: str = "[SECRET]"
             columns = [new if i == at else c for i, c in enumerate(b.columns)]
             yield pa.RecordBatch.from_arrays(columns, b.schema.names)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = small_batches(docs).mapInArrow(run, docs.schema)
     if "n_chars" in docs.columns:
         changed = F.coalesce(F.length(text).cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
         out = out.withColumn("n_chars", changed)

@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import slices, sole
+from ._util import slices, small_batches, sole
 
 #: Characters whose class and case are the same in every Unicode version: Latin letters, common signs, plain white space.
 _OTHER = re.compile("[^\\t\\n\\x0b\\x0c\\r -~¡-įı-ňŊ-žƀ-ǃǍ-ǰ‐-‧‰-⁞€]")
 #: Special strings hold this in both vocabularies; such texts take the library's way.
 _SPECIAL = "<|"
 #: Words a worker's cache holds before it keeps only those of the texts at hand.
-CACHE = 700_000
+CACHE = 500_000
 #: Pre-tokens inside words that it holds beside.
 PARTS = 50_000
 #: Longer words are not nominated.
@@ -242,7 +242,7 @@ def count_tokens(df: DataFrame, id: str = "doc_id", text: str = "text", limit: i
     worker's own cache, which encodes misses in batches. Null and empty texts have 0 tokens; repeated rows stay.
     """
     path = path or default_path("byte_bpe_50k.json")
-    table = df.sparkSession.sparkContext.broadcast(frequent_pieces(df, text, path))
+    table = small_batches(df).sparkSession.sparkContext.broadcast(frequent_pieces(df, text, path))
     kind = df.schema[id].dataType.simpleString()
     token = uuid.uuid4().int
 

@@ -11,8 +11,9 @@ texts of the class, over all places whose class frequencies differ with a z valu
 a map over whole texts with a broadcast model of those places, which are 2**HASH_BITS at most.
 
 Cases: null and empty texts get the score of no terms; repeated rows are scored each; copies of a text count once in a class;
-a document labelled twice is toxic if one label says so; a null id is not held out; without labels of both classes every score is the share of toxic rows (0 if
-there is none). Inputs of a score are the words of the text alone.
+a document labelled twice is toxic if one label says so; of unlike texts with one id the one with the largest hash is learnt from; a
+null id is not held out; very long texts are scored whole; an empty table gives no rows; without labels of both classes every score is
+the share of toxic rows (0 if there is none). Inputs of a score are the words of the text alone.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import durable, slices, sole
+from ._util import durable, slices, small_batches, sole
 
 HASH_BITS = 20
 STEMS = (4, 5, 6)
@@ -121,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     known = labels.where(F.col(id).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(id)))
     known = known.groupBy(F.col(id).alias("_id")).agg(F.max((F.col(label) > 0).cast("int")).alias("y"))
     # Copies of a text count once in a class, for the smallest id.
-    texts = docs.select(F.col(id).alias("_id"), F.col(text).alias("t")).withColumn("h", F.xxhash64(F.coalesce("t", F.lit(""))))
+    texts = small_batches(docs).select(F.col(id).alias("_id"), F.col(text).alias("t")).withColumn("h", F.xxhash64(F.coalesce("t", F.lit(""))))
     texts_of = texts.select("_id", "h").join(known, "_id").groupBy("_id", "y").agg(F.max("h").alias("h"))
     known = durable(texts_of.groupBy("y", "h").agg(F.min("_id").alias("_id")))
     totals = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
@@ -177,13 +178,15 @@ class Scorer:
             self.known.clear()
         for t in tokens.difference(self.known):
             self.known[t] = self.rows(t)
-        return self.model.score(sorted(set().union(*map(self.known.__getitem__, tokens))))
+        # Most tokens have no place in the model and share one empty entry.
+        held = set(filter(None, map(self.known.__getitem__, tokens)))
+        return self.model.score(sorted(set().union(*held)))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """All rows and columns of ``docs`` with the score and whether it reaches the threshold; columns of those names are replaced."""
     columns = [c for c in docs.columns if c not in names]
-    docs = docs.select(*columns)
+    docs = small_batches(docs).select(*columns)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at, token = columns.index(text), uuid.uuid4().int
 
