@@ -175,7 +175,7 @@ def test_chats_read_back(spark):
     parts = ["### Assistant: ", " </turn>\n", "\\", "<", "#", ":", "\n", "é😀", "<|image|>", " "]
     text = lambda: "".join(rng.choices(parts, k=rng.randint(0, 8)))
     rows = [(i % 40, rng.randint(0, 3), rng.choice(["user", "assistant", "system", None, "odd: \\#role", "User", "=", ""]), rng.choice([None, text(), text()])) for i in range(300)]
-    rows.append((None, None, None, None))
+    rows += [(None, None, None, None), (41, 0, "assistant", "\\#<é" * 60_000), (42, 0, "user", ""), (42, 0, "user", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'z' AS formatted", "1 AS mask")
     out = chat_format.read_back(chat_format.format_chats(df.withColumn("parts", chat_format.text_part(F.col("text"))))).collect()
     want = {}
