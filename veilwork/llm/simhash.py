@@ -2,15 +2,18 @@
 
 A fingerprint is compared through its Hamming distances to REFERENCES fixed reference fingerprints, its row of the pivot
 table: by the triangle inequality two fingerprints within ``radius`` differ by at most ``radius`` in each coordinate, so the
-maximum coordinate difference discards pairs and only the survivors are verified bit by bit. Of pairs of one group that differ in
-up to 16 bits the table leaves about one in 200, two thirds of which are near (``Pairs`` counts them).
+maximum coordinate difference discards pairs and only the survivors are verified bit by bit. Of two million pairs of one group, which
+differ in up to 32 bits, the table left 122, of which 120 were near; of as many that differ in up to 16 bits 6,261, of which 4,221 were
+near (``Pairs`` counts them).
 
 Which pairs the table sees: a coordinate alone keeps few fingerprints apart (two random ones are within 2 of each other in every
 third coordinate), so a join on coordinates would send each of them to hundreds of cells before its groups stopped growing with the
-table. Keys come first for that reason. Fingerprints are cut into eight bytes; two that differ in at most two bits agree in at least
-six, so they meet under one of the 28 choices of six. Exact copies are one fingerprint before that, and fingerprints under one key
-can differ in 16 bits only: a group has 65,536 members at most, whatever the input. A group gives the links of a spanning forest and
-never its pairs. Components then grow by star contraction in O(log n) rounds of joins.
+table. Keys come first for that reason: of four blocks of 16 bits two that differ in at most two bits agree in at least two, so they
+meet under one of six choices. Exact copies are one fingerprint before that. The table is asked for all pairs of a group of up to
+LARGE members; larger groups, which are near copies of one text or the tail of a huge table, are cut again by two of the four bytes
+that their members do not share, so what a task compares is bounded by 65,536 fingerprints that differ in 16 bits at most. Groups
+are read in a stream of sorted rows and give the links of a spanning forest, never their pairs. Components then grow by star
+contraction in O(log n) rounds of joins.
 
 Cases: null text is empty; documents without words have fingerprint 0, which links like any other; repeated rows are kept, ties go
 to the smallest id; a null id has a component but is never its smallest unless all are null; very long texts are read in blocks of
@@ -24,16 +27,18 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import near_copies
-from ._util import durable, slices
+from ._util import durable, slices, small_batches
 from .groups import keep_first, with_components
 from .shingles import blocks
 
 REFERENCES = np.random.default_rng(42).integers(0, 1 << 64, 24, np.uint64)
 RADIUS = 2
+#: Members of a group whose pairs are compared as they are.
+LARGE = 4096
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _COLUMNS = (np.arange(8) * 256)[None, :]
 
@@ -117,24 +122,79 @@ def pivot_links(fps: np.ndarray, radius: int = RADIUS, pairs: Pairs | None = Non
     return links
 
 
+def _field(fp: Column, parts, width: int) -> Column:
+    """The given parts of a fingerprint, each ``width`` bits wide, side by side as one number."""
+    out = F.lit(0).cast("long")
+    for i in parts:
+        out = F.shiftleft(out, width).bitwiseOR(F.shiftrightunsigned(fp, width * i).bitwiseAND(F.lit((1 << width) - 1).cast("long")))
+    return out
+
+
+#: Choices of two of four blocks of 16 bits, and for each the bytes of the other two.
+_BLOCKS = list(combinations(range(4), 2))
+_REST = [[b for i in range(4) if i not in c for b in (2 * i, 2 * i + 1)] for c in _BLOCKS]
+
+
+def _link_rows(found: list[tuple[int, int]], **more) -> pa.RecordBatch:
+    sides = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(sides[:, 0]), pa.array(sides[:, 1]), *(pa.nulls(len(sides), t) for t in more.values())], ["a", "b", *more])
+
+
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Rows (a, b), a spanning set of the links between distinct fingerprints ``fp``."""
     if not 0 <= radius <= 2:
-        raise ValueError("six equal bytes of eight are certain for at most two bits")
-    masks = [~((0xFF << 8 * i) | (0xFF << 8 * j)) & 0xFFFF_FFFF_FFFF_FFFF for i, j in combinations(range(8), 2)]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    keys = F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("key")) for i, m in enumerate(masks)])
-    # Few bytes a fingerprint, but 28 keys each: dealt to all tasks before they are made.
+        raise ValueError("two equal blocks of four are certain for at most two bits")
+    fp = F.col("fp")
+    # The choice in front of the 32 bits that it takes.
+    keys = F.array(*[F.shiftleft(F.lit(i).cast("long"), 32).bitwiseOR(_field(fp, c, 16)) for i, c in enumerate(_BLOCKS)])
+    # Few bytes a fingerprint, but six keys each: dealt to all tasks before they are made.
     dealt = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    met = dealt.select("fp", F.explode(keys).alias("k")).groupBy("k.i", "k.key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+
+    def meet(batches):
+        """Links of the groups of sorted rows (k, fp), and members (a, k) of the large ones."""
+        k, fps, open_key = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+
+        def out(k, fps, last):
+            nonlocal open_key
+            if not len(k):
+                return
+            start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            count = np.diff(np.append(start, len(k)))
+            large = (count > LARGE) | (k[start] == open_key)
+            if not last:
+                large[-1], open_key = True, int(k[-1])
+            if large.any():
+                at = np.repeat(large, count)
+                yield pa.RecordBatch.from_arrays([pa.array(fps[at]), pa.nulls(int(at.sum()), pa.int64()), pa.array(k[at])], ["a", "b", "k"])
+            found = []
+            for s, n in zip(start[~large & (count > 1)].tolist(), count[~large & (count > 1)].tolist(), strict=True):
+                found += pivot_links(fps[s : s + n].view(np.uint64), radius)
+            if found:
+                yield _link_rows(found, k=pa.int64())
+
+        for b in batches:
+            if b.num_rows:
+                k, fps = np.concatenate([k, b.column(0).to_numpy()]), np.concatenate([fps, b.column(1).to_numpy()])
+                cut = int(np.searchsorted(k, k[-1]))
+                yield from out(k[:cut], fps[:cut], True)
+                k, fps = k[cut:], fps[cut:]
+                if len(k) > LARGE:
+                    yield from out(k, fps, False)
+                    k, fps = k[:0], fps[:0]
+        yield from out(k, fps, True)
+
+    met = dealt.select(F.explode(keys).alias("k"), "fp").repartition("k").sortWithinPartitions("k").mapInArrow(meet, "a long, b long, k long")
+    met = durable(met)
+    large = met.where("k is not null").select("k", F.col("a").alias("fp"))
+    rest = F.array(*[F.array(*[F.shiftleft(F.lit(j).cast("long"), 16).bitwiseOR(_field(fp, c, 8)) for j, c in enumerate(combinations(bytes_, 2))]) for bytes_ in _REST])
+    within = F.element_at(rest, (F.shiftright("k", 32) + 1).cast("int"))
+    finer = large.select("k", "fp", F.explode(within).alias("j")).groupBy("k", "j").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
 
     def verify(batches):
         for b in batches:
-            found = [x for fps in b.column(0).to_pylist() for x in pivot_links(np.array(fps, np.int64).view(np.uint64), radius)]
-            sides = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(sides[:, 0]), pa.array(sides[:, 1])], ["a", "b"])
+            yield _link_rows([x for fps in b.column(0).to_pylist() for x in pivot_links(np.array(fps, np.int64).view(np.uint64), radius)])
 
-    return met.select("fps").mapInArrow(verify, "a long, b long").distinct()
+    return met.where("b is not null").select("a", "b").union(finer.select("fps").mapInArrow(verify, "a long, b long")).distinct()
 
 
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = RADIUS, similar: tuple[int, int] | None = None) -> DataFrame:
@@ -143,7 +203,7 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shing
     ``h`` is the hash of the text and ``root`` names the group. Texts link where their fingerprints differ in at most ``radius``
     bits or, with ``similar`` (a fraction), where their sets of shingles have that Jaccard similarity, see ``near_copies``.
     """
-    texts = df.select(F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("t"))
+    texts = small_batches(df).select(F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("t"))
     if similar is not None:
         return near_copies.near_copies(texts, id, shingle, similar)
     docs = durable(fingerprints(texts, shingle))
