@@ -31,7 +31,7 @@ _OTHER = re.compile("[^\\t\\n\\x0b\\x0c\\r -~¡-įı-ňŊ-žƀ-ǃǍ-ǰ‐-‧‰
 #: Special strings hold this in both vocabularies; such texts take the library's way.
 _SPECIAL = "<|"
 #: Words a worker's cache holds before it keeps only those of the texts at hand.
-CACHE = 500_000
+CACHE = 700_000
 #: Pre-tokens inside words that it holds beside.
 PARTS = 50_000
 #: Longer words are not nominated.
@@ -82,6 +82,18 @@ _SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PR
 _SPACE = chr(_SHOWN[32])
 
 
+class _Known(dict):
+    """Words and their values; a missing one is learnt when it is asked for."""
+
+    def __init__(self, learn, held: dict):
+        super().__init__(held)
+        self.learn = learn
+
+    def __missing__(self, word: str):
+        value = self[word] = self.learn(word)
+        return value
+
+
 class Words:
     """A worker's cache from words to values that add up over pre-tokens; the frozen part outlives every reset.
 
@@ -92,7 +104,7 @@ class Words:
     def __init__(self, tok, pieces: re.Pattern, value, add, lead: str, frozen: dict | None = None):
         # ``value`` takes the tokens of a pre-token, ``add`` the values of several.
         self.merge, self.find, self.value, self.add, self.lead, self.frozen = tok.model.tokenize, pieces.findall, value, add, lead, frozen or {}
-        self.known, self.parts = dict(self.frozen), {}
+        self.known, self.parts = _Known(self.learn, self.frozen), {}
 
     def part(self, piece: str):
         if piece.isascii() and piece.isprintable():
@@ -110,38 +122,19 @@ class Words:
             out.append(parts[p])
         return self.add(out)
 
-    def _learn(self, missing: set[str]) -> None:
-        if len(self.parts) > PARTS:
-            self.parts.clear()
-        known, lead = self.known, self.lead
-        for w in missing:
-            known[w] = self.part(lead + w) if w.isalpha() else self.whole(lead + w)
-
-    def fill(self, lists: list[list[str]]) -> None:
-        here = set().union(*lists)
-        missing = here.difference(self.known)
-        if len(self.known) + len(missing) > CACHE + len(self.frozen):
-            # Frequent words are among those of the texts at hand.
-            self.known = self.frozen | {w: self.known[w] for w in here.difference(missing)}
-        if missing:
-            self._learn(missing)
+    def learn(self, word: str):
+        return self.part(self.lead + word) if word.isalpha() else self.whole(self.lead + word)
 
     def combine(self, lists: list[list[str] | None], join) -> list:
         """``join`` of the values of each list; None stays."""
-        out: list = [None] * len(lists)
-        late = []
         get = self.known.__getitem__
-        for i, ws in enumerate(lists):
-            if ws is not None:
-                try:
-                    out[i] = join(map(get, ws))
-                except KeyError:
-                    late.append(i)
-        if late:
-            self.fill([lists[i] for i in late])
-            get = self.known.__getitem__
-            for i in late:
-                out[i] = join(map(get, lists[i]))
+        out = [None if ws is None else join(map(get, ws)) for ws in lists]
+        if len(self.known) > CACHE + len(self.frozen):
+            # Frequent words are among those of the texts at hand.
+            here = set().union(*(ws for ws in lists if ws is not None)).union(self.frozen)
+            self.known = _Known(self.learn, {w: get(w) for w in here})
+        if len(self.parts) > PARTS:
+            self.parts.clear()
         return out
 
 
