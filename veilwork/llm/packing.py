@@ -26,14 +26,17 @@ from .tokens import WordIds, default_path, worker
 
 #: Least number of slices of a length, and pieces of the table for which there is one more.
 SLICES, SLICE_ROWS = 64, 500_000
+#: Words that a worker remembers.
+CACHE = 700_000
 
 
-def pieces(df: DataFrame, id: str, text: str, capacity: int, path: str) -> DataFrame:
+def pieces(df: DataFrame, id: str, text: str, capacity: int, path: str, cache: int) -> DataFrame:
     """Rows (id, piece, start, length, ids_crc32)."""
     kind = df.schema[id].dataType
 
     def make(batches):
-        encode = worker(WordIds, path)
+        encode = worker(WordIds, path, cache)
+        encode.words.most = cache
         width = 4 * capacity
         for b in slices(batches, cached=True):
             at, piece, start, length, crc = [], [], [], [], []
@@ -71,10 +74,10 @@ def runs(packed: list[tuple[packing_lp.Configuration, int]]) -> dict[int, np.nda
     return {n: np.array(x, np.int64) for n, x in out.items()}
 
 
-def pack(df: DataFrame, id: str = "doc_id", text: str = "text", capacity: int = 2048, path: str | None = None) -> DataFrame:
-    """Rows (id, piece, start, length, ids_crc32, sequence_id, offset), one a piece."""
+def pack(df: DataFrame, id: str = "doc_id", text: str = "text", capacity: int = 2048, path: str | None = None, cache: int = CACHE) -> DataFrame:
+    """Rows (id, piece, start, length, ids_crc32, sequence_id, offset), one a piece. ``cache``: words that a worker remembers, about 200 bytes each."""
     spark = df.sparkSession
-    cut = durable(pieces(df, id, text, capacity, path or default_path("word_bpe_49k.json")))
+    cut = durable(pieces(df, id, text, capacity, path or default_path("word_bpe_49k.json"), cache))
     slices_of_a_length = max(SLICES, cut.count() // SLICE_ROWS)
     cut = cut.withColumn("slice", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(slices_of_a_length)).cast("int"))
     counts = cut.groupBy("length", "slice").count()

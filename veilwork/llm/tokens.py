@@ -31,7 +31,7 @@ _OTHER = re.compile("[^\\t\\n\\x0b\\x0c\\r -~¡-įı-ňŊ-žƀ-ǃǍ-ǰ‐-‧‰
 #: Special strings hold this in both vocabularies; such texts take the library's way.
 _SPECIAL = "<|"
 #: Words a worker's cache holds before it keeps only those of the texts at hand.
-CACHE = 700_000
+CACHE = 450_000
 #: Pre-tokens inside words that it holds beside.
 PARTS = 50_000
 #: Longer words are not nominated.
@@ -104,7 +104,7 @@ class Words:
     def __init__(self, tok, pieces: re.Pattern, value, add, lead: str, frozen: dict | None = None):
         # ``value`` takes the tokens of a pre-token, ``add`` the values of several.
         self.merge, self.find, self.value, self.add, self.lead, self.frozen = tok.model.tokenize, pieces.findall, value, add, lead, frozen or {}
-        self.known, self.parts = _Known(self.learn, self.frozen), {}
+        self.known, self.parts, self.most = _Known(self.learn, self.frozen), {}, CACHE
 
     def part(self, piece: str):
         if piece.isascii() and piece.isprintable():
@@ -129,7 +129,7 @@ class Words:
         """``join`` of the values of each list; None stays."""
         get = self.known.__getitem__
         out = [None if ws is None else join(map(get, ws)) for ws in lists]
-        if len(self.known) > CACHE + len(self.frozen):
+        if len(self.known) > self.most + len(self.frozen):
             # Frequent words are among those of the texts at hand.
             here = set().union(*(ws for ws in lists if ws is not None)).union(self.frozen)
             self.known = _Known(self.learn, {w: get(w) for w in here})
