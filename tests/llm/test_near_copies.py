@@ -8,7 +8,7 @@ import numpy as np
 
 import corpus_pipeline
 from tests.llm.test_text_operators import collect
-from veilwork.llm import near_copies, simhash
+from veilwork.llm import near_copies, pivots, simhash
 from veilwork.llm._util import table
 
 
@@ -136,3 +136,53 @@ def test_rows_that_stay(spark):
         kept = simhash.keep_one(df, **how)
         assert kept.columns == df.columns
         assert Counter((r["doc_id"], r["text"] or "") for r in kept.collect()) == Counter([(3, b), (5, a), (8, "x"), (None, a), (None, a), (9, "")])
+
+
+def planted(shares, pairs=60):
+    """Pairs of a random set of 200 and its copy with that share of members replaced."""
+    rng = np.random.default_rng(7)
+    sets = []
+    for share in shares:
+        for _ in range(pairs):
+            a = np.unique(rng.integers(0, 1 << 62, 200).astype(np.uint64))
+            b = a.copy()
+            b[: int(share * len(a))] = rng.integers(0, 1 << 62, int(share * len(a))).astype(np.uint64)
+            sets.append((a, np.unique(b)))
+    return sets
+
+
+def test_pivot_tables_at_a_wide_radius():
+    """The tables discard no pair within the radius and nearly all of random ones; similar sets are within it."""
+    unsigned = lambda s: near_copies.simhash(s) % (1 << 64)
+    one, two = (np.array(x, np.uint64) for x in zip(*[(unsigned(a), unsigned(b)) for a, b in planted((0.02, 0.05, 0.1))], strict=True))
+    for a, b, met in ((one, two, 0.98), (np.repeat(one, 180), np.tile(two[::-1], 180), 0.0)):
+        pairs = pivots.Pairs()
+        found = pivots.pairs_within(a, b, near_copies.RADIUS, pairs)
+        want = [bin(int(x) ^ int(y)).count("1") <= near_copies.RADIUS for x, y in zip(a, b, strict=True)]
+        assert found.tolist() == want and sum(want) >= met * len(a)
+        assert pairs.met == len(a) and pairs.near == sum(want) <= pairs.left <= pairs.near + 1 + 0.005 * len(a)
+    text = " ".join(f"w{i}" for i in range(90))
+    assert unsigned(near_copies.shingles(text, 5)) == simhash.fingerprint(text, 5)
+
+
+def near_texts():
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    changed = lambda text, places: " ".join(f"x{rng.randrange(10**9)}" if i in places else w for i, w in enumerate(text))
+    docs = []
+    for i in range(30):
+        base = words(204)
+        docs += [(10 * i + j, changed(base, [20 + 30 * k for k in range(n)])) for j, n in enumerate((0, 2, 4))]
+    hot = words(104)
+    return docs + [(1000 + i, changed(hot, rng.sample(range(104), i % 3))) for i in range(100)]  # beyond SMALL
+
+
+def test_pivot_tables_find_the_links(spark, monkeypatch):
+    """Similar texts are linked by SimHash and pivot tables, also where the way for the rest finds nothing."""
+    texts = spark.createDataFrame(near_texts(), "id long, t string").repartition(3).selectExpr("id", "xxhash64(t) AS h", "t")
+    groups = lambda **how: {r["id"]: r["component_id"] for r in near_copies.near_copies(texts, "id", **how).collect()}
+    want = dict(plain_components(near_texts()))
+    assert groups(radius=-1) == want  # all pairs are the rest
+    monkeypatch.setattr(near_copies, "near_prints", lambda *_: False)
+    monkeypatch.setattr(near_copies, "may_reach", lambda similar, distance, a, b: np.zeros(np.shape(distance), bool))
+    assert sum(c != want[i] for i, c in groups().items()) <= 2  # a few are beyond the radius

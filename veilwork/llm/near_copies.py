@@ -1,19 +1,23 @@
 """Near copies by the exact Jaccard similarity of their sets of shingles: what ``simhash.near_duplicates`` does with ``similar``.
 
-A SimHash of 64 bits cannot tell texts of similarity 0.8: they differ in ten bits on average, at which radius random fingerprints
-cannot be kept apart by pivots or by blocks of bits. So candidates come from a prefix filter, and what is compared first is
-another fingerprint, whose Hamming distance bounds the sets themselves.
+SimHash fingerprints of 64 bits and pivot distance tables find the pairs, exact comparison of the sets decides. Texts of similarity
+0.8 differ in ten bits on average, so the radius is RADIUS bits. At that radius neither blocks of bits nor a join on coordinates
+keep random fingerprints apart (``simhash`` can do that for two bits only), so keys of another kind come first. And as no
+radius holds every pair that is similar, those beyond it have a way of their own, which loses none.
 
 1. Keys. Two sets with similarity p/q or more share a member among the first ``n - ceil(n * p / q) + 1`` of each, whatever the
    order that both are put in, so every pair that counts meets under a key. The order takes shingles that are frequent in a sample
    last, which makes groups small; the links found do not depend on it.
-2. Parity fingerprints. Each shingle flips one bit of about as many as there are shingles. Sets that differ in d members have
-   fingerprints that differ in at most d bits, so a larger distance than similar sets can have discards a pair for certain.
-   Pairs of small groups are compared one by one; groups beyond SMALL in blocks, which give a spanning forest, never their pairs.
-3. Sets. What is left is joined to candidate groups, and only the texts in these are read again. Inside a candidate group all
+2. SimHash and pivot tables (``pivots``). Of all pairs that meet, the tables discard those that cannot be within the radius, XOR
+   verifies the others, and what is within it goes to 4 at once. Pairs of small groups are asked for one by one; groups beyond
+   SMALL in blocks, which give a spanning forest, never their pairs.
+3. The rest: pairs beyond the radius. A parity fingerprint has about as many bits as there are shingles, and each shingle flips one.
+   Sets that differ in d members have fingerprints that differ in at most d bits, so a larger distance than similar sets can have
+   discards a pair for certain; others go to 4 as well.
+4. Sets. What is left is joined to candidate groups, and only the texts in these are read again. Inside a candidate group all
    sets are compared exactly, in blocks by products of their incidence matrices, which again give spanning forests.
 
-What is shuffled: about a fifth of the shingles as (key, print, size), a fingerprint or two for each candidate pair, and the sets
+What is shuffled: about a fifth of the shingles as (key, print, size), the fingerprints of both sides of each pair met, and the sets
 of texts that have a copy or nearly one. A group of c near copies costs c * c comparisons, spread over blocks.
 
 Cases: words are those of the fingerprints; a text of fewer words is one shingle; texts without words, null ones too, are copies
@@ -28,10 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import pivots
 from ._util import durable, release, sieve, slices
 from .groups import components, with_components
 from .shingles import shingles
 
+#: Bits that SimHash fingerprints of similar sets differ in, but for few, which the parity fingerprints find.
+RADIUS = 16
 #: Groups up to this size give their pairs.
 SMALL = 64
 #: About how many texts the sample of frequent shingles takes, and how many of those shingles the order knows.
@@ -60,6 +67,11 @@ def sizes_fit(similar: tuple[int, int], a, b):
     return similar[1] * np.minimum(a, b) >= similar[0] * np.maximum(a, b)
 
 
+def simhash(members: np.ndarray) -> int:
+    """The SimHash fingerprint of a set as a signed number, 0 for the empty one."""
+    return int(np.array(pivots.majority(pivots.byte_counts(members), len(members)), np.uint64).view(np.int64)) if len(members) else 0
+
+
 # Parity fingerprints ---------------------------------------------------------------------------------------------------
 
 
@@ -104,8 +116,9 @@ def spanning(n: int, near) -> list[tuple[int, int]]:
     return links
 
 
-def print_forest(prints: list[bytes], sizes: np.ndarray, similar: tuple[int, int]) -> list[tuple[int, int]]:
-    """Links (by place) of a spanning forest of those whose fingerprints do not rule similarity out."""
+def print_forest(prints: list[bytes], sizes: np.ndarray, similar: tuple[int, int], sims: np.ndarray | None = None, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """Links (by place) of a spanning forest of those within ``radius`` by their SimHash fingerprints ``sims`` (unsigned), and of the others whose parity fingerprints do not rule similarity out."""
+    rows = None if sims is None else pivots.table(sims)
     lengths = np.array([len(p) for p in prints])
     # By length: each fingerprint at its own and, as sizes differ by less than twice, at half of it.
     tables: dict[int, np.ndarray] = {}
@@ -118,8 +131,12 @@ def print_forest(prints: list[bytes], sizes: np.ndarray, similar: tuple[int, int
 
     def near(i: int, others: np.ndarray) -> np.ndarray:
         out = sizes_fit(similar, sizes[i], sizes[others])
-        for n in np.unique(lengths[others[out]]).tolist():
-            at = np.flatnonzero(out & (lengths[others] == n))
+        rest = out.copy()
+        if rows is not None:
+            at = np.flatnonzero(out)
+            rest[at[pivots.within(rows, sims, np.full(len(at), i), others[at], radius)]] = False
+        for n in np.unique(lengths[others[rest]]).tolist():
+            at = np.flatnonzero(rest & (lengths[others] == n))
             table = tables[min(n, int(lengths[i]))]
             distance = np.bitwise_count(table[others[at]] ^ table[i]).sum(1, dtype=np.int64)
             out[at] = may_reach(similar, distance, sizes[i], sizes[others[at]])
@@ -169,29 +186,29 @@ def prefix(members: np.ndarray, common: np.ndarray, counts: np.ndarray, similar:
 
 
 def keyed(texts: DataFrame, shingle: int, similar: tuple[int, int]) -> DataFrame:
-    """Rows (id, h, fp, n, bits, keys) of ``texts`` (id, h, t); a task gives bits and keys of equal sets once."""
+    """Rows (id, h, fp, n, sim, bits, keys) of ``texts`` (id, h, t); a task gives fingerprints and keys of equal sets once."""
     shared = texts.sparkSession.sparkContext.broadcast(frequent(texts, shingle))
 
     def make(batches):
         seen = set()
         for b in slices(batches):
-            fps, sizes, bits, keys = [], [], [], []
+            fps, sizes, sims, bits, keys = [], [], [], [], []
             for t in b.column(2).to_pylist():
                 s = shingles(t, shingle)
                 fp = digest(s)
                 again = fp in seen
                 fps.append(fp)
                 sizes.append(len(s))
+                sims.append(None if again else simhash(s))
                 bits.append(None if again else parity(s))
                 keys.append(s[:0] if again else prefix(s, *shared.value, similar))
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(fp)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), _lists(keys)], ["id", "h", "fp", "n", "bits", "keys"]
-            )
+            own = [pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sims, pa.int64()), pa.array(bits, pa.binary()), _lists(keys)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *own], ["id", "h", "fp", "n", "sim", "bits", "keys"])
 
-    return texts.mapInArrow(make, f"id {texts.schema['id'].dataType.simpleString()}, h long, fp long, n int, bits binary, keys array<long>")
+    return texts.mapInArrow(make, f"id {texts.schema['id'].dataType.simpleString()}, h long, fp long, n int, sim long, bits binary, keys array<long>")
 
 
 MET = {"a": pa.int64(), "b": pa.int64(), "key": pa.int64(), "block": pa.int32(), "n": pa.int32()}
@@ -291,28 +308,36 @@ def block_pairs(members: DataFrame, similar: tuple[int, int], *keys: str) -> Dat
     return members.join(sides, [*keys, "block"])
 
 
-def candidates(docs: DataFrame, distinct: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """Rows (a, b): links that join all sets that may be similar."""
+def unsigned(column) -> np.ndarray:
+    return column.to_numpy().view(np.uint64)
+
+
+def candidates(docs: DataFrame, distinct: DataFrame, similar: tuple[int, int], radius: int = RADIUS) -> DataFrame:
+    """Rows (a, b): links that join all sets within ``radius`` that meet under a key, and all others that may be similar."""
     met = durable(meetings(docs.select(F.explode("keys").alias("key"), "n", "fp"), similar))
-    prints = distinct.select("fp", "n", "bits")
-    side = lambda x: prints.select(F.col("fp").alias(x), F.col("n").alias("n" + x), F.col("bits").alias("bits" + x))
+    prints = distinct.select("fp", "n", "sim", "bits")
+    side = lambda x: prints.select(F.col("fp").alias(x), *[F.col(c).alias(c + x) for c in ("n", "sim", "bits")])
     pairs = met.where("b is not null").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
 
     def test(batches):
         for b in batches:
-            rows = zip(*(b.column(c).to_pylist() for c in ("bitsa", "bitsb", "na", "nb")), strict=True)
-            keep = [near_prints(*r, similar) for r in rows]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            keep = pivots.pairs_within(unsigned(b.column("sima")), unsigned(b.column("simb")), radius)
+            rest = b.filter(pa.array(~keep))
+            rows = zip(*(rest.column(c).to_pylist() for c in ("bitsa", "bitsb", "na", "nb")), strict=True)
+            keep[~keep] = [near_prints(*r, similar) for r in rows]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
         release()
 
     def grow(table):
         fps = table.column("a").to_pylist()
-        found = print_forest(table.column("bits").to_pylist(), table.column("n").to_numpy().astype(np.int64), similar)
+        found = print_forest(table.column("bits").to_pylist(), table.column("n").to_numpy().astype(np.int64), similar, unsigned(table.column("sim")), radius)
+        if table.num_rows > SMALL:
+            release()
         return pa.table({"a": pa.array([fps[i] for i, _ in found], pa.int64()), "b": pa.array([fps[j] for _, j in found], pa.int64())})
 
-    passed = pairs.select("a", "b", "bitsa", "bitsb", "na", "nb").mapInArrow(test, "a long, b long")
+    passed = pairs.select("a", "b", "sima", "simb", "bitsa", "bitsb", "na", "nb").mapInArrow(test, "a long, b long")
     large = block_pairs(met.where("key is not null").select("a", "key", "block", "n"), similar, "key").select("a", "key", "i", "j", "n")
-    grown = large.join(prints.select(F.col("fp").alias("a"), "bits"), "a").groupBy("key", "i", "j").applyInArrow(grow, "a long, b long")
+    grown = large.join(prints.select(F.col("fp").alias("a"), "sim", "bits"), "a").groupBy("key", "i", "j").applyInArrow(grow, "a long, b long")
     return passed.union(grown)
 
 
@@ -331,13 +356,16 @@ def forest(sets: list[np.ndarray], similar: tuple[int, int]) -> list[tuple[int,
         x = np.zeros((n, min(step, int(term[-1]) + 1 - a)), np.float32)
         x[row[lo:hi], term[lo:hi] - a] = 1
         inter += x @ x.T
-    near = reach(similar, inter.astype(np.int64), sizes[:, None], sizes[None, :])
+    near = np.zeros((n, n), bool)
+    for a in range(0, n, 256):  # whole numbers of 64 bits for a part of the rows at a time
+        near[a : a + 256] = reach(similar, inter[a : a + 256].astype(np.int64), sizes[a : a + 256, None], sizes[None, :])
+    del inter
     return spanning(n, lambda i, others: near[i, others])
 
 
-def links(texts: DataFrame, docs: DataFrame, distinct: DataFrame, shingle: int, similar: tuple[int, int]) -> DataFrame:
-    """Rows (a, b) that link all similar sets: ``docs`` are the rows of ``keyed``, ``distinct`` the rows (fp, least, n, bits)."""
-    close = durable(components(candidates(docs, distinct, similar)))
+def links(texts: DataFrame, docs: DataFrame, distinct: DataFrame, shingle: int, similar: tuple[int, int], radius: int = RADIUS) -> DataFrame:
+    """Rows (a, b) that link all similar sets: ``docs`` are the rows of ``keyed``, ``distinct`` the rows (fp, least, n, sim, bits)."""
+    close = durable(components(candidates(docs, distinct, similar, radius)))
     wanted = durable(distinct.join(close, F.col("fp") == F.col("node")).select("least", "fp", "n", "root"))
 
     def make(batches):
@@ -371,13 +399,15 @@ def links(texts: DataFrame, docs: DataFrame, distinct: DataFrame, shingle: int,
     def grow(table):
         fps = table.column("fp").to_pylist()
         found = forest(_sets(table.column("s")), similar)
+        if table.num_rows > SMALL:
+            release()
         return pa.table({"a": pa.array([fps[i] for i, _ in found], pa.int64()), "b": pa.array([fps[j] for _, j in found], pa.int64())})
 
     return asked.join(sets.select("fp", "s"), "fp").select("root", "i", "j", "fp", "s").groupBy("root", "i", "j").applyInArrow(grow, "a long, b long")
 
 
-def near_copies(texts: DataFrame, id: str, shingle: int = 5, similar: tuple[int, int] = (4, 5)) -> DataFrame:
+def near_copies(texts: DataFrame, id: str, shingle: int = 5, similar: tuple[int, int] = (4, 5), radius: int = RADIUS) -> DataFrame:
     """Rows (id, h, fp, root, component_id), one a row of ``texts`` (id, h, t); component_id is the smallest id of those linked to it."""
     docs = durable(keyed(texts, shingle, similar))
-    distinct = durable(docs.groupBy("fp").agg(F.min("id").alias("least"), F.max("n").alias("n"), F.max("bits").alias("bits")))
-    return with_components(docs.select("id", "h", "fp"), distinct.select("fp", "least"), links(texts, docs, distinct, shingle, similar), id)
+    distinct = durable(docs.groupBy("fp").agg(F.min("id").alias("least"), *[F.max(c).alias(c) for c in ("n", "sim", "bits")]))
+    return with_components(docs.select("id", "h", "fp"), distinct.select("fp", "least"), links(texts, docs, distinct, shingle, similar, radius), id)

@@ -33,14 +33,12 @@ from pyspark.sql import functions as F
 from . import near_copies
 from ._util import durable, slices, small_batches
 from .groups import keep_first, with_components
+from .pivots import REFERENCES, Pairs, byte_counts, majority
 from .shingles import blocks
 
-REFERENCES = np.random.default_rng(42).integers(0, 1 << 64, 24, np.uint64)
 RADIUS = 2
 #: Members of a group whose pairs are compared as they are.
 LARGE = 4096
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
-_COLUMNS = (np.arange(8) * 256)[None, :]
 
 
 def fingerprint(text: str, shingle: int = 3) -> int:
@@ -53,15 +51,14 @@ def fingerprint(text: str, shingle: int = 3) -> int:
         if k > 0:
             parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
             h = np.fromiter((hashed(p, 42) for p in parts), np.uint64, k)
-            counts += np.bincount((h.view(np.uint8).reshape(-1, 8) + _COLUMNS).ravel(), minlength=2048).reshape(8, 256)
+            counts += byte_counts(h)
             n += k
             tail = words[k:]
         else:
             tail = words
     if n == 0:
         return hashed(b" ".join(tail), 42) if tail else 0
-    ones = counts @ _BITS
-    return int(np.packbits((2 * ones > n).ravel(), bitorder="little").view(np.uint64)[0])
+    return majority(counts, n)
 
 
 def fingerprints(texts: DataFrame, shingle: int = 3) -> DataFrame:
@@ -75,12 +72,6 @@ def fingerprints(texts: DataFrame, shingle: int = 3) -> DataFrame:
     return texts.mapInArrow(make, f"id {texts.schema['id'].dataType.simpleString()}, h long, fp long")
 
 
-class Pairs:
-    """How many pairs were met, left by the pivot table, and near."""
-
-    met = left = near = 0
-
-
 def pivot_links(fps: np.ndarray, radius: int = RADIUS, pairs: Pairs | None = None) -> list[tuple[int, int]]:
     """Spanning links of the fingerprints (unsigned, distinct) within ``radius`` of each other."""
     n, pairs = len(fps), pairs or Pairs()
@@ -201,7 +192,9 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shing
     """Rows (id, h, fp, root, component_id), one a row of ``df``: component_id is the smallest id of the documents linked to it.
 
     ``h`` is the hash of the text and ``root`` names the group. Texts link where their fingerprints differ in at most ``radius``
-    bits or, with ``similar`` (a fraction), where their sets of shingles have that Jaccard similarity, see ``near_copies``.
+    bits or, with ``similar`` (a fraction), where their sets of shingles have that Jaccard similarity: SimHash fingerprints and
+    pivot tables of a wider radius find these, sets are compared exactly, and pairs beyond that radius have a way of their own, see
+    ``near_copies``.
     """
     texts = small_batches(df).select(F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("t"))
     if similar is not None:
