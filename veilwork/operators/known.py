@@ -1,9 +1,9 @@
 """Known secrets in documents: findings and literal redaction.
 
-The secrets go to every task as one Aho-Corasick automaton, so a document is read once whatever their number. More secrets than
-MOST, or more characters in them than MOST_CHARS, are matched in several rounds, which bounds the memory of a task. Rounds only
-collect what they find beside each text; what is kept or replaced is decided once, over the finds of all rounds, so results do
-not depend on how the secrets were dealt.
+Few secrets go to every task as one Aho-Corasick automaton, so a document is read once whatever their number. More than MOST, or
+more characters in them than MOST_CHARS, are dealt out: a join finds the secrets that a text may hold, see ``grams``, and an
+automaton of these alone reads it. What is kept or replaced is decided by text, over all that it holds, so results do not depend on
+how the secrets were dealt, and the memory of a task does not grow with their number.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,129 +19,116 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import constants as K
+from . import grams
 
-#: Secrets, and characters in them, of one round.
-MOST, MOST_CHARS = 200_000, 20_000_000
-_built: dict[tuple, object] = {}
+#: Secrets, and characters in them, that every task may hold.
+MOST, MOST_CHARS = 2_000, 200_000
 
 
-def _rounds(secrets: DataFrame) -> Iterator[list[str]]:
-    """The different secrets in rounds, at least one."""
-    rows = secrets.select("secret").where("secret <> ''").distinct()
-    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("secret")), F.lit(0)).alias("chars")).first()
-    parts = max(-(-facts["n"] // MOST), -(-facts["chars"] // MOST_CHARS), 1)
-    if parts > 1:
-        parts += parts // 8 + 1  # hashes do not deal quite evenly
-    for i in range(parts):
-        part = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("secret"), F.lit(parts)) == i)
-        yield sorted(r[0] for r in part.collect())
+class Bank:
+    """Some secrets, all looked for at once."""
 
-
-def _automaton(key: tuple, secrets: list[str]):
-    if key not in _built:
+    def __init__(self, secrets: list[str]):
         import ahocorasick
 
-        _built.clear()
-        a = ahocorasick.Automaton()
+        self.secrets = secrets
+        self.automaton = ahocorasick.Automaton()
         for i, s in enumerate(secrets):
-            a.add_word(s, i)
+            self.automaton.add_word(s, i)
         if secrets:
-            a.make_automaton()
-        _built[key] = a
+            self.automaton.make_automaton()
+
+    def ends(self, text: str):
+        """(last place, which secret) of all occurrences."""
+        return self.automaton.iter(text) if self.secrets else ()
+
+    def counts(self, text: str) -> dict[str, int]:
+        """Occurrences of each secret that do not overlap others of itself."""
+        out: dict[str, int] = {}
+        end: dict[int, int] = {}
+        for last, i in self.ends(text):
+            s = self.secrets[i]
+            start = last + 1 - len(s)
+            if start >= end.get(i, 0):
+                out[s] = out.get(s, 0) + 1
+                end[i] = last + 1
+        return out
+
+
+_NONE = Bank([])
+_built: dict[int, Bank] = {}
+
+
+def _bank(key: int, secrets: list[str]) -> Bank:
+    if key not in _built:
+        _built.clear()
+        _built[key] = Bank(secrets)
     return _built[key]
 
 
-def _counts(automaton, secrets: list[str], text: str) -> dict[int, int]:
-    """Occurrences of each secret that do not overlap others of itself."""
-    out: dict[int, int] = {}
-    end: dict[int, int] = {}
-    for last, i in automaton.iter(text) if secrets else ():
-        start = last + 1 - len(secrets[i])
-        if start >= end.get(i, 0):
-            out[i] = out.get(i, 0) + 1
-            end[i] = last + 1
-    return out
+def _with_banks(rows: DataFrame, secrets: DataFrame | None, run, schema, more=None, all_rows: bool = True) -> DataFrame:
+    """``run`` over pieces of ``rows`` (row, t) and, for each row, a bank of the secrets that its text may hold.
+
+    ``more`` and ``all_rows`` are those of ``grams.with_secrets``.
+    """
+    few: list[str] = []
+    if secrets is not None:
+        kept = secrets.select("secret").where("secret <> ''").distinct()
+        facts = kept.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("secret")), F.lit(0)).alias("chars")).first()
+        if facts["n"] > MOST or facts["chars"] > MOST_CHARS:
+
+            def each(batches):
+                for b in grams.slices(batches):
+                    yield run(b, (Bank(x) if x else _NONE for x in b.column(2).to_pylist()))
 
+            return grams.with_secrets(rows, kept, more, all_rows).mapInArrow(each, schema)
+        few = sorted(r[0] for r in kept.collect())
+    shared, key = rows.sparkSession.sparkContext.broadcast(few), uuid.uuid4().int
 
-def _packed(docs: DataFrame, text: str) -> DataFrame:
-    """Rows (row, t): the row as one value, so that no name of its columns can clash, and its text."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("t"))
+    def same(batches):
+        bank = _bank(key, shared.value)
+        for b in grams.slices(batches):
+            yield run(b, repeat(bank))
 
+    return rows.mapInArrow(same, schema)
 
-def _hits(docs: DataFrame, id: str, text: str, words: list[str], hits) -> DataFrame:
-    """Rows (id, secret, hits) of one round; ``hits`` gives (secret, hits) for an automaton, the secrets and a text."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
-    key = (uuid.uuid4().int, 0)
 
-    def run(batches):
-        automaton = _automaton(key, shared.value)
-        for b in batches:
-            at, found, count = [], [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                for s, n in sorted(hits(automaton, shared.value, t or "")):
-                    at.append(i)
-                    found.append(s)
-                    count.append(n)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string()), pa.array(count, pa.int64())], ["id", "secret", "hits"])
+def _hits(docs: DataFrame, secrets: DataFrame, id: str, text: str, counts) -> DataFrame:
+    """Rows (id, secret, hits); ``counts`` gives the hits of each secret for a bank and a text."""
 
+    def run(b, banks):
+        at, found, hits = [], [], []
+        for i, (t, bank) in enumerate(zip(b.column(1).to_pylist(), banks)):  # noqa: B905
+            for s, n in sorted(counts(bank, t or "").items()):
+                at.append(i)
+                found.append(s)
+                hits.append(n)
+        own = b.column(0).take(pa.array(at, pa.int64())).flatten()[0]
+        return pa.RecordBatch.from_arrays([own, pa.array(found, pa.string()), pa.array(hits, pa.int64())], ["id", "secret", "hits"])
+
+    rows = docs.select(F.struct(F.col(id).alias("id")).alias("row"), F.col(text).alias("t"))
     kind = docs.schema[id].dataType.simpleString()
-    return docs.select(F.col(id).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {kind}, secret string, hits long")
+    return _with_banks(rows, secrets, run, f"id {kind}, secret string, hits long", all_rows=False).withColumnRenamed("id", id)
 
 
 def match_known(docs: DataFrame, secrets: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (id, secret, hits) for the secrets that occur in a document."""
-    out = None
-    for words in _rounds(secrets):
-        part = _hits(docs, id, text, words, lambda a, w, t: [(w[i], n) for i, n in _counts(a, w, t).items()])
-        out = part if out is None else out.unionByName(part)
-    return out.withColumnRenamed("id", id)
-
+    return _hits(docs, secrets, id, text, lambda bank, t: bank.counts(t))
 
-def _collected(packed: DataFrame, secrets: DataFrame, find, kind: str) -> DataFrame:
-    """``packed`` with ``found``, an array of ``kind``: what ``find`` gives in each round for an automaton, the secrets, a text and their number."""
-    rounds = list(_rounds(secrets)) if secrets is not None else []
-    out = packed.withColumn("found", F.array().cast(kind))
-    for turn, words in enumerate(rounds):
-        shared = packed.sparkSession.sparkContext.broadcast(words)
 
-        def run(batches, shared=shared, key=(uuid.uuid4().int, turn)):
-            automaton = _automaton(key, shared.value)
-            for b in batches:
-                old = b.column(2).to_pylist()
-                new = [x + find(automaton, shared.value, t, len(rounds)) if t else x for x, t in zip(old, b.column(1).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(new, b.schema.field(2).type)], ["row", "t", "found"])
-
-        out = out.mapInArrow(run, out.schema)
-    return out
+def _alternation(bank: Bank, text: str) -> dict[str, int]:
+    seen: dict[str, int] = {}
+    last = 0
+    for start, n, s in sorted((e + 1 - len(bank.secrets[i]), -len(bank.secrets[i]), bank.secrets[i]) for e, i in bank.ends(text)):
+        if start >= last:
+            last = start - n
+            seen[s] = seen.get(s, 0) + 1
+    return seen
 
 
 def alternation_hits(docs: DataFrame, secrets: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (id, secret, hits) as a literal matcher of all secrets at once finds them: leftmost, longest, none overlapping."""
-
-    def spans(automaton, words, t, _):
-        return [{"start": e + 1 - len(words[i]), "secret": words[i]} for e, i in automaton.iter(t)] if words else []
-
-    rows = docs.select(F.struct(F.col(id).alias("id")).alias("row"), F.col(text).alias("t"))
-    found = _collected(rows, secrets, spans, "array<struct<start:bigint,secret:string>>").select("row.id", "found")
-
-    def run(batches):
-        for b in batches:
-            at, out, hits = [], [], []
-            for i, all_spans in enumerate(b.column(1).to_pylist()):
-                seen: dict[str, int] = {}
-                last = 0
-                for start, n, s in sorted((x["start"], -len(x["secret"]), x["secret"]) for x in all_spans):
-                    if start >= last:
-                        last = start - n
-                        seen[s] = seen.get(s, 0) + 1
-                for s, n in sorted(seen.items()):
-                    at.append(i)
-                    out.append(s)
-                    hits.append(n)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(out, pa.string()), pa.array(hits, pa.int64())], ["id", "secret", "hits"])
-
-    kind = docs.schema[id].dataType.simpleString()
-    return found.mapInArrow(run, f"id {kind}, secret string, hits long").withColumnRenamed("id", id)
+    return _hits(docs, secrets, id, text, _alternation)
 
 
 def longest_first(secrets) -> list[str]:
@@ -180,34 +168,29 @@ def redact_known(docs: DataFrame, secrets: DataFrame, text: str = "text", json_l
     """``docs`` with its text redacted and ``redactions`` counted; ``json_lines``: values of JSON lines first, see ``redact.json_line``."""
     from .redact import json_line
 
-    def present(automaton, words, t, rounds):
-        found = set(_counts(automaton, words, t))
-        if json_lines and (found or rounds > 1):
-            for s in _decoded(t):
-                found.update(_counts(automaton, words, s))
-        return [words[i] for i in found]
-
     columns = [c for c in docs.columns if c != "redactions"]
     at = columns.index(text)
+
+    def redacted(t: str, bank: Bank) -> tuple[str, int]:
+        found = set(bank.counts(t))
+        if not found:
+            return t, 0
+        if not json_lines:
+            return redact_line(t, longest_first(found))
+        for s in _decoded(t):
+            found.update(bank.counts(s))
+        ordered = longest_first(found)
+        done = [json_line(line, ordered) for line in t.splitlines(keepends=True)]
+        return "".join(x for x, _ in done), sum(k for _, k in done)
+
+    def run(b, banks):
+        done = [redacted(t, bank) if t else (t, 0) for t, bank in zip(b.column(1).to_pylist(), banks)]  # noqa: B905
+        fields = b.column(0).flatten()[1:]
+        fields.insert(at, pa.array([t for t, _ in done], pa.string()))
+        return pa.RecordBatch.from_arrays([*fields, pa.array([n for _, n in done], pa.int64())], [*columns, "redactions"])
+
     docs = docs.select(*[F.col(f"`{c}`") for c in columns])
-    held = _collected(_packed(docs, text), secrets, present, "array<string>")
-
-    def run(batches):
-        for b in batches:
-            new, count = [], []
-            for t, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                n = 0
-                if found:
-                    ordered = longest_first(found)
-                    if json_lines:
-                        done = [json_line(line, ordered) for line in t.splitlines(keepends=True)]
-                        t, n = "".join(x for x, _ in done), sum(k for _, k in done)
-                    else:
-                        t, n = redact_line(t, ordered)
-                new.append(t)
-                count.append(n)
-            fields = b.column(0).flatten()
-            fields[at] = pa.array(new, pa.string())
-            yield pa.RecordBatch.from_arrays([*fields, pa.array(count, pa.int64())], [*columns, "redactions"])
-
-    return held.mapInArrow(run, T.StructType([*docs.schema, T.StructField("redactions", T.LongType())]))
+    # The other columns as one value, so that no name can clash; a value before them, as there may be none.
+    rest = F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`") for c in columns if c != text])
+    schema = T.StructType([*docs.schema, T.StructField("redactions", T.LongType())])
+    return _with_banks(docs.select(rest.alias("row"), F.col(f"`{text}`").alias("t")), secrets, run, schema, _decoded if json_lines else None)
