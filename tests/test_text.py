@@ -3,15 +3,19 @@
 import json
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tests.comparing import both
 from veilwork.functions import constants as K
 from veilwork.functions import text as X
 from veilwork.operators import detect, findings, known, redact
 from veilwork.plans import catalog
+from veilwork.sources.tables import table
 
 GHP = "ghp_" + "a1B2" * 9
 MIXED = "Ab3dEf6hIj9lMn2pQr5tUv8xYz1bCd4fGh7jKl0nOp3rSt6vWx9zAb2dEf5hIj8l"
@@ -122,6 +126,24 @@ def test_normalize(spark):
     assert row["text"] == "mi nombre es jose garcia." and row["offsets"][13] == 13
 
 
+def test_folding_makes_no_places(spark, sf_dir, tmp_path):
+    """A batch of texts costs little beside its own size, and null texts stay null as in SQL."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("aÀéZß ﬁŉ😀", k=rng.randint(0, 30))) for _ in range(700)]
+    assert detect.folded.func(pa.array([*texts, None])).to_pylist() == [*(detect.normalized(t)[0] for t in texts), None]
+    batch = pa.array(["Ab c" * 250] * 4000)
+    tracemalloc.start()
+    detect.folded.func(batch)
+    detect.normalize.func(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12e6
+    turns = table(spark, sf_dir, "conversations")
+    turns.withColumn("text", F.when(F.col("turn") % 3 != 0, F.col("text"))).write.parquet(str(tmp_path / "conversations.parquet"))
+    got, want = both(spark, str(tmp_path), catalog.QUERIES["text_normalize"], catalog.ORACLES["text_normalize"])
+    assert got == want
+
+
 def test_model_spans_yield_to_rules(spark):
     def model(texts):
         return [[("GIVEN_NAME", 0, 4, 0.9), ("CITY", 5, 9, 0.9), ("PHONE", 10, 20, 0.3), ("EMAIL", 22, 30, 0.8)] for _ in texts]

@@ -6,6 +6,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,13 +100,22 @@ def merge_model(rule_spans: Column, model_spans: Column) -> Column:
     return resolve(F.concat(rule_spans, apart.cast(SPANS)))
 
 
+def _plain(c: str) -> str:
+    return c.lower() if c < "\x80" else "".join(d for d in unicodedata.normalize("NFKD", c.lower()) if unicodedata.category(d) != "Mn")
+
+
+def fold(text: str) -> str:
+    """Lower case without accents."""
+    return text.lower() if text.isascii() else "".join(map(_plain, text))
+
+
 def normalized(text: str) -> tuple[str, list[int]]:
     """Lower case without accents, and for each character of it the place in ``text`` that it comes from."""
     if text.isascii():
         return text.lower(), list(range(len(text)))
     out, places = [], []
     for i, c in enumerate(text):
-        piece = c.lower() if c < "\x80" else "".join(d for d in unicodedata.normalize("NFKD", c.lower()) if unicodedata.category(d) != "Mn")
+        piece = _plain(c)
         out.append(piece)
         places += [i] * len(piece)
     return "".join(out), places
@@ -180,10 +190,24 @@ def bio_decode(tokens: DataFrame, *keys: str, order: str = "pos", tag: str = "ta
 
 
 _NORMALIZED = T.StructType([T.StructField("text", T.StringType()), T.StructField("offsets", T.ArrayType(T.IntegerType()))])
+#: Texts that are Python objects at once.
+_ROWS = 256
 
 
-@F.pandas_udf(_NORMALIZED)
-def normalize(texts: pd.Series) -> pd.DataFrame:
+def _in_pieces(texts: pa.Array, make, kind: pa.DataType) -> pa.Array:
+    """What ``make`` gives for each text, a few texts at a time."""
+    parts = [pa.array([make(t) for t in texts.slice(at, _ROWS).to_pylist()], kind) for at in range(0, len(texts), _ROWS)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
+@F.arrow_udf(_NORMALIZED)
+def normalize(texts: pa.Array) -> pa.Array:
     """Lower case without accents, and for each character the place it comes from."""
-    rows = [normalized(t or "") for t in texts]
-    return pd.DataFrame({"text": [t for t, _ in rows], "offsets": [p for _, p in rows]})
+    kind = pa.struct([("text", pa.string()), ("offsets", pa.list_(pa.int32()))])
+    return _in_pieces(texts, lambda t: dict(zip(("text", "offsets"), normalized(t or ""), strict=True)), kind)
+
+
+@F.arrow_udf(T.StringType())
+def folded(texts: pa.Array) -> pa.Array:
+    """Lower case without accents; the places, many times the size of the text, are not made."""
+    return _in_pieces(texts, lambda t: t if t is None else fold(t), pa.string())

@@ -133,7 +133,7 @@ def pii_exit_status(spark, sf_dir):
 
 @query("text_normalize", "SELECT conv_id, turn, strip_accents(lower(text)) AS text FROM conversations")
 def text_normalize(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", detect.normalize("text")["text"].alias("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", detect.folded("text").alias("text"))
 
 
 _TOKENS_SQL = """tokens AS (
