@@ -484,9 +484,12 @@ done AS (
 )"""
 
 
-def _redacted(spark, sf_dir) -> DataFrame:
-    secrets = _vendor_secrets(spark, sf_dir).where(X.is_high_precision(X.short_label(F.col("raw_label"))))
-    return known.redact_known(planted(spark, sf_dir), secrets)
+def _strong_secrets(spark, sf_dir) -> DataFrame:
+    return _vendor_secrets(spark, sf_dir).where(X.is_high_precision(X.short_label(F.col("raw_label"))))
+
+
+def _redacted(spark, sf_dir, secrets: DataFrame | None = None) -> DataFrame:
+    return known.redact_known(planted(spark, sf_dir), _strong_secrets(spark, sf_dir) if secrets is None else secrets)
 
 
 @query("literal_redact", f"{_LITERAL} SELECT doc_id, text FROM done")
@@ -505,8 +508,8 @@ def redaction_counts(spark, sf_dir):
 
 @query("redact_verify", f"{_LITERAL} SELECT doc_id FROM done JOIN (SELECT DISTINCT secret FROM found WHERE {S.high_precision(S.short_label('raw_label'))}) ON contains(text, secret)")
 def redact_verify(spark, sf_dir):
-    secrets = _vendor_secrets(spark, sf_dir).where(X.is_high_precision(X.short_label(F.col("raw_label"))))
-    return redact.survivors(_redacted(spark, sf_dir), secrets)
+    secrets = _strong_secrets(spark, sf_dir)
+    return redact.survivors(_redacted(spark, sf_dir, secrets), secrets)
 
 
 @query(
