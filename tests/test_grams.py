@@ -75,7 +75,7 @@ def some_null(spark, sf_dir, tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["redact_verify", "redact_verify_partly", "jsonl_redact", "literal_redact", "findings_alternation", "docs_with_secrets", "redaction_totals"])
+@pytest.mark.parametrize("name", ["redact_verify", "redact_verify_partly", "jsonl_redact", "literal_redact", "findings_alternation", "docs_with_secrets", "redaction_totals", "restore_snapshot", "tree_preserved", "docs_clean"])
 def test_dealt_out_equals_sql(spark, some_null, name, monkeypatch):
     monkeypatch.setattr(known, "MOST", 0)
     got, want = both(spark, some_null, catalog.QUERIES[name], catalog.ORACLES[name])
